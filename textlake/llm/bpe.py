@@ -165,22 +165,28 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(_decoder(vocabulary or default_vocabulary()), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def _digester(path: str):
+def _digester(path: str, with_ids: bool):
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
             ids = [*map(bpe.encode, _texts(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids)), pa.array([sha(bpe.decode(x).encode()) for x in ids])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": batch.column(0),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_sha256": pa.array(map(sha, ids), pa.string()),
+                "decoded_sha256": pa.array([sha(bpe.decode(x).encode()) for x in ids], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = pa.array(ids, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them, in one pass over docs."""
+def digests(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, in one pass over docs; with_ids: the packed ids too."""
     limit_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_digester(vocabulary or default_vocabulary()), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(_digester(vocabulary or default_vocabulary(), with_ids), schema)

@@ -45,12 +45,24 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chats(events_of_rows(rows.unionByName(extra))))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_orc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan
 
@@ -69,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_chat": op5_chat,
+    "op6_html": op6_html,
     "op7_bpe": op7_bpe,
+    "op8_token_orc": op8_token_orc,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
