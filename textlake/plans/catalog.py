@@ -1,10 +1,464 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine and the same in SQL."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DatasetConfig
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import chunking, cleaning, crawl, datasets, dedup, jobs, ranking, retrieval, storage, vectors
+from ..sources import documents as sources
+from ..sources import registry
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Query text and vector of the search queries.
+ASKED = "the of and thing in the die der la que"
+ASKED_VECTOR = [((k * 37) % 64 - 31.5) / 64 for k in range(64)]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# pieces of SQL
+def _words(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '\s+'), lambda x: x <> '')"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_MEASURES = f"""
+  SELECT *, len({_words('text')}) AS n, {_LINES} AS ls,
+    length(regexp_replace(text, '\\s+', '', 'g')) AS chars, length(text) - length(translate(text, '#|<>{{}}[]\\', '')) AS symbols FROM documents"""
+_RATES = f"""
+  SELECT *, CASE WHEN len(ls) > 0 THEN 1 - len(list_distinct(ls)) / len(ls) ELSE 0 END AS rep,
+    CASE WHEN n > 0 THEN chars / n ELSE 0 END AS avg_len, symbols / greatest(n, 1) AS sym FROM ({_MEASURES})"""
+_PASSES = "n >= 50 AND rep <= 0.3 AND avg_len >= 3 AND sym <= 0.1"
+_SCORE = "CASE WHEN n = 0 THEN 0 WHEN len(ls) > 0 THEN (least(1, ln(n + 1) / ln(500)) + (1 - rep) + least(1, avg_len / 6)) / 3 ELSE (least(1, ln(n + 1) / ln(500)) + least(1, avg_len / 6)) / 2 END"
+_SPAM = "len(regexp_extract_all(text, '(?i)(" + "|".join(T.SPAM_PHRASES) + ")'))"
+
+
+@query(rf"""SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(nfc_normalize(regexp_replace(regexp_replace('<p>' || text || '</p>   <b>' || chr(10) || chr(10) || chr(10) || chr(10) || chr(7) || 'end</b>', '<[^>]+>', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g')")} AS text FROM documents""")
+def clean_text(spark, sf_dir):
+    marked = F.concat(F.lit("<p>"), "text", F.lit("</p>   <b>\n\n\n\n\x07end</b>"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(marked).alias("text"))
+
+
+@query(rf"""SELECT page_id, {_strip(r"regexp_replace(regexp_replace(regexp_replace(html, '\r\n|\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')")} AS text FROM pages""")
+def legacy_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_text_legacy(F.col("html")).alias("text"))
+
+
+@query(f"SELECT doc_id, len({_words('text')})::BIGINT AS n_words, greatest(1, length(text) // 4)::BIGINT AS n_tokens FROM documents")
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.count_words(F.col("text")).alias("n_words"), T.approx_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, {_PASSES} AS passes, round(rep, 6)::DOUBLE AS repetition, round(avg_len, 6)::DOUBLE AS avg_word_len, symbols::BIGINT AS symbols FROM ({_RATES})")
+def quality_filter(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.quality_passes(c).alias("passes"), F.round(T.repetition(c), 6).alias("repetition"), F.round(T.avg_word_len(c), 6).alias("avg_word_len"), T.symbol_count(c).cast("long").alias("symbols"))
+
+
+@query(f"SELECT doc_id, round({_SCORE}, 6)::DOUBLE AS quality_score FROM ({_RATES})")
+def quality_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.quality_score(F.col("text")), 6).alias("quality_score"))
+
+
+@query(f"SELECT doc_id, lang, source, round({_SCORE}, 6)::DOUBLE AS quality_score FROM ({_RATES}) WHERE lang IN ('en', 'fr') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02 AND NOT (regexp_matches(text, '{T.EMAIL}') OR regexp_matches(text, '{T.PHONE}') OR regexp_matches(text, '{T.SSN}'))")
+def cleaning_pipeline(spark, sf_dir):
+    kept = cleaning.pipeline(table(spark, sf_dir, "documents"), ("en", "fr"), remove_pii=True)
+    return kept.select("doc_id", "lang", "source", F.round("quality_score", 6).alias("quality_score"))
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{T.EMAIL}') AS email, regexp_matches(text, '{T.PHONE}') AS phone, regexp_matches(text, '{T.SSN}') AS ssn FROM documents")
+def pii_flags(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", c.rlike(T.EMAIL).alias("email"), c.rlike(T.PHONE).alias("phone"), c.rlike(T.SSN).alias("ssn"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(t, '(?i)(" + "|".join(T.SPAM_PHRASES) + f")'))::BIGINT AS hits, round(len(regexp_extract_all(t, '(?i)(" + "|".join(T.SPAM_PHRASES) + f")')) / greatest(len({_words('t')}), 1), 6)::DOUBLE AS density FROM (SELECT doc_id, replace(text, ' the ', ' Buy now ') AS t FROM documents)")
+def spam_density(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace(F.col("text"), F.lit(" the "), F.lit(" Buy now ")))
+    return docs.select("doc_id", T.spam_hits(F.col("text")).cast("long").alias("hits"), F.round(T.spam_density(F.col("text")), 6).alias("density"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY ALL")
+def language_mix(spark, sf_dir):
+    return cleaning.where(table(spark, sf_dir, "documents"), {"lang": {"$in": ["en", "de"]}, "n_chars": {"$gt": 5}}).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
+def exact_dedup(spark, sf_dir):
+    return dedup.exact(table(spark, sf_dir, "documents"))
+
+
+@query()
+def minhash_dedup(spark, sf_dir):
+    return dedup.greedy_marks(table(spark, sf_dir, "documents"))
+
+
+@query()
+def stored_duplicates(spark, sf_dir):
+    signed = dedup.signatures(table(spark, sf_dir, "documents"))
+    return dedup.like_any(signed.where("doc_id % 100 = 0"), signed)
+
+
+@query()
+def dataset_build(spark, sf_dir):
+    return datasets.build(table(spark, sf_dir, "documents"), DatasetConfig(languages=("en", "de")))
+
+
+@query(f"""SELECT doc_id, i::INT AS chunk_index, array_to_string(w[i * 448 + 1 : i * 448 + 512], ' ') AS content, least(i * 448 + 512, len(w))::INT - (i * 448)::INT AS token_count, (i * 448)::INT AS start_word, least(i * 448 + 512, len(w))::INT AS end_word
+FROM (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 512) / 448))::BIGINT + 1)) AS i FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE len(w) > 0)""")
+def word_chunks(spark, sf_dir):
+    return chunking.word_chunks(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, i::INT AS chunk_index, substring(text, i * 448 + 1, 512) AS content FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 448 + 1)) AS i FROM documents WHERE length(text) > 0)")
+def fixed_chunks(spark, sf_dir):
+    return chunking.fixed_chunks(table(spark, sf_dir, "documents"))
+
+
+@query(rf"""WITH p AS (SELECT doc_id, source, list_transform(list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: len({_words('p')}) > 20), lambda p: {_strip('p')})[1:10] AS ps FROM documents),
+e AS (SELECT doc_id, source, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM p)
+SELECT doc_id, i::INT AS sample_index, 'Summarize the following passage.' AS instruction, substring(p, 1, 500) AS input, substring(p, 1, 200) || CASE WHEN length(p) > 200 THEN '...' ELSE '' END AS output, source FROM e""")
+def instruction_samples(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
+    return chunking.instruction_samples(docs)
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return chunking.recursive_chunks(table(spark, sf_dir, "documents"))
+
+
+_Q = "[" + ", ".join(f"{x!r}::DOUBLE" for x in ASKED_VECTOR) + "]"
+_COS = f"list_cosine_similarity(embedding::DOUBLE[], {_Q})"
+
+
+@query(f"SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), ASKED_VECTOR).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings WHERE label IN (1, 3, 5) ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def filtered_topk(spark, sf_dir):
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), ASKED_VECTOR, spec={"label": {"$in": [1, 3, 5]}}).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def filter_fallback(spark, sf_dir):
+    return vectors.search(table(spark, sf_dir, "embeddings"), ASKED_VECTOR, spec={"label": 999}).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(1 / (60 + row_number() OVER (ORDER BY {_COS} DESC, vec_id)), 6)::DOUBLE AS rrf FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def hybrid_topk(spark, sf_dir):
+    return vectors.hybrid(table(spark, sf_dir, "embeddings"), ASKED_VECTOR).select("vec_id", F.round("rrf", 6).alias("rrf"))
+
+
+@query("""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (
+    SELECT q.vec_id AS query_id, p.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def knn_batch(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    return vectors.knn(points.where("vec_id % 100 = 0"), points).withColumn("score", F.round("score", 6))
+
+
+def _bm25_sql(terms: str, average: float, idf: str) -> str:
+    return f"list_sum([0.0] || list_transform({terms}, lambda q: {idf} * f(t, q) * 2.5 / (f(t, q) + 1.5 * (0.25 + 0.75 * len(t) / {average}))))".replace("f(t, q)", "len(list_filter(t, lambda y: y = q))")
+
+
+_ASKED_TERMS = "[" + ", ".join(f"'{w}'" for w in ASKED.split()) + "]"
+_ASKED_SET = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(ASKED.split())) + "]"
+_TOKENS = f"(SELECT doc_id, {_words('lower(text)')} AS t FROM documents)"
+
+
+@query(f"SELECT doc_id, round({_bm25_sql(_ASKED_TERMS, 200, 'ln(2)')}, 6)::DOUBLE AS score FROM {_TOKENS}")
+def bm25_current(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(ranking.bm25(F.lit(ASKED), F.col("text")), 6).alias("score"))
+
+
+@query(f"SELECT doc_id, round({_bm25_sql(_ASKED_SET, 100, '1')}, 6)::DOUBLE AS score FROM {_TOKENS}")
+def bm25_legacy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(ranking.bm25_legacy(F.lit(ASKED), F.col("text")), 6).alias("score"))
+
+
+def _candidates(spark, sf_dir, lexical) -> DataFrame:
+    """Every vector with its document's lexical score; a query for each label."""
+    points = table(spark, sf_dir, "embeddings").withColumn("vector_score", F.round(vectors.cosine(F.col("embedding"), vectors.literal(ASKED_VECTOR)), 6))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.round(lexical(F.lit(ASKED), F.col("text")), 6).alias("bm25_score"))
+    return points.join(docs, "vec_id").select(F.col("label").alias("query_id"), "vec_id", F.col("vec_id").alias("pos"), "vector_score", "bm25_score")
+
+
+def _rrf_sql(bm25: str, tie: str) -> str:
+    return f"""WITH c AS (SELECT label AS query_id, vec_id, vec_id AS pos, round({_COS}, 6) AS v, round({bm25}, 6)::DOUBLE AS b FROM embeddings JOIN {_TOKENS} d ON d.doc_id = vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, pos) AS vr, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, pos) AS br FROM c),
+s AS (SELECT *, 0.7::DOUBLE / (60 + vr) + 0.3::DOUBLE / (60 + br) AS s FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, {tie})::INT AS rank FROM s)
+SELECT query_id, vec_id, round(s, 6)::DOUBLE AS score, rank FROM k WHERE rank <= 5"""
+
+
+@query(_rrf_sql(_bm25_sql(_ASKED_TERMS, 200, "ln(2)"), "vr"))
+def rrf_rerank(spark, sf_dir):
+    return ranking.rerank(_candidates(spark, sf_dir, ranking.bm25)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_rrf_sql(_bm25_sql(_ASKED_SET, 100, "1"), "pos"))
+def rrf_legacy(spark, sf_dir):
+    return ranking.rerank_legacy(_candidates(spark, sf_dir, ranking.bm25_legacy)).select("query_id", "vec_id", F.round("final_score", 6).alias("score"), "rank")
+
+
+def _intent_sql() -> str:
+    quote = lambda w: "'" + w.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, '{name}', [{', '.join(map(quote, words))}])" for k, (name, (_, words, _)) in enumerate(registry.CATEGORIES.items()))
+    return f"""WITH k(ord, category, words) AS (VALUES {rows}),
+h AS (SELECT conv_id, turn, ord, category, len(list_filter(words, lambda w: contains(lower(text), w))) AS n, len(words) AS m FROM conversations, k),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, ord) AS r FROM h)
+SELECT conv_id, turn, CASE WHEN n > 0 THEN category ELSE 'general' END AS category, round(CASE WHEN n > 0 THEN n / m ELSE 0 END, 6)::DOUBLE AS intent_confidence FROM b WHERE r = 1"""
+
+
+@query(_intent_sql())
+def intent_route(spark, sf_dir):
+    asked = retrieval.classify(table(spark, sf_dir, "conversations"), registry.categories(spark))
+    return asked.select("conv_id", "turn", "category", F.round("intent_confidence", 6).alias("intent_confidence"))
+
+
+def _registry_sql() -> str:
+    return ", ".join(f"({k}, '{name}', '{url}', '{lang}', {depth}, {n})" for k, (name, (_, _, own)) in enumerate(registry.CATEGORIES.items()) for url, lang, depth, n in own)
+
+
+_HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+_DOMAIN = f"CASE WHEN regexp_replace({_HOST}, '^www\\.', '') = '' THEN 'unknown' ELSE regexp_replace({_HOST}, '^www\\.', '') END"
+
+
+@query(f"""WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}),
+m AS (SELECT {_DOMAIN} AS domain, min_by(category, ord) AS category FROM s GROUP BY 1),
+p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.matichon.co.th/' || page_id WHEN page_id % 3 = 1 THEN 'https://arxiv.org/abs/' || page_id ELSE url END AS url FROM pages)
+SELECT page_id, {_DOMAIN} AS source_domain, coalesce(m.category, 'general') AS category FROM p LEFT JOIN m ON m.domain = {_DOMAIN}""")
+def category_resolve(spark, sf_dir):
+    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.matichon.co.th/"), "page_id")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://arxiv.org/abs/"), "page_id")).otherwise(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", own.alias("url"))
+    return registry.resolve_category(pages, registry.sources(spark)).select("page_id", "source_domain", "category")
+
+
+@query(f"WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}) SELECT category, max(depth)::INT AS crawl_depth, max(n)::INT AS crawl_pages FROM s GROUP BY 1")
+def crawl_limits(spark, sf_dir):
+    return registry.crawl_limits(spark)
+
+
+@query(f"WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}) SELECT DISTINCT {_DOMAIN} AS domain FROM s")
+def registry_domains(spark, sf_dir):
+    return registry.domains(spark)
+
+
+@query(f"WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}), i AS (SELECT DISTINCT {_DOMAIN} AS d FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'https://arxiv.org/x' ELSE url END AS url FROM pages)) SELECT DISTINCT category FROM s WHERE category NOT IN (SELECT category FROM s JOIN i ON i.d = {_DOMAIN})")
+def auto_crawl(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(U.domain(F.when(F.col("page_id") % 2 == 0, F.lit("https://arxiv.org/x")).otherwise(F.col("url"))).alias("domain")).distinct()
+    return registry.should_auto_crawl(spark, pages)
+
+
+@query(f"SELECT page_id, {_DOMAIN} AS domain, regexp_matches(url, '^https?://[^/?#]+') AS valid FROM pages")
+def domain_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.domain(F.col("url")).alias("domain"), U.is_valid_url(F.col("url")).alias("valid"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) AS head, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' END AS url FROM pages))
+SELECT page_id, head || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '')), '&') END AS url FROM p""")
+def url_normalize(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit("")).otherwise(F.lit("/"))))
+    return pages.select("page_id", U.normalize_url(F.col("url")).alias("url"))
+
+
+@query("""SELECT page_id, pos::INT AS pos, links[pos + 1] AS link FROM (SELECT page_id, links, unnest(range(0, len(links))) AS pos FROM (
+  SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS links FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|mailto:|tel:|javascript:)')) AS l FROM pages)))""")
+def page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(U.links(F.col("html"))).alias("pos", "link"))
+
+
+@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CASE WHEN regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) = '' THEN 'en' ELSE regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) END AS lang FROM pages""")
+def page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.title(F.col("html")).alias("title"), U.html_lang(F.col("html")).alias("lang"))
+
+
+def _drop_sql() -> str:
+    html = "html"
+    for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript"):
+        html = rf"regexp_replace({html}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return html
+
+
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace({_drop_sql()}, '(?s)<!--.*?-->|<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def page_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.rough_text(F.col("html")).alias("text"))
+
+
+@query()
+def page_parse(spark, sf_dir):
+    return sources.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "text")
+
+
+@query("""WITH RECURSIVE e AS (SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2]) AS dst FROM pages), r AS (
+  SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 5 AND dst IN (SELECT page_id FROM pages))
+SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
+def bfs_crawl(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    edges = pages.select(F.col("page_id").alias("src"), F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("dst"))
+    edges = edges.join(pages.select(F.col("page_id").alias("dst")), "dst", "left_semi")
+    return crawl.bfs(edges, spark.createDataFrame([(0,)], "node long"), 5)
+
+
+_CONTEXT = "FROM (SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents) WHERE rank <= 5"
+
+
+def _ranked(spark, sf_dir) -> DataFrame:
+    place = F.expr("row_number() over (partition by source order by n_chars desc, doc_id)")
+    docs = table(spark, sf_dir, "documents").withColumn("rank", place).where("rank <= 5")
+    url = F.when(F.col("lang") == "en", F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string")))
+    return docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("document_id"), F.when(F.col("lang") != "de", F.col("lang")).alias("document_title"), url.alias("url"), F.col("text").alias("content"), "rank", F.lit(1.0).alias("score"))
+
+
+@query(f"SELECT source AS query_id, string_agg('[' || rank || '] **' || CASE WHEN lang <> 'de' THEN lang ELSE doc_id::VARCHAR END || '**' || CASE WHEN lang = 'en' THEN ' — https://x.org/' || doc_id ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context {_CONTEXT} GROUP BY source")
+def prompt_context(spark, sf_dir):
+    return retrieval.context(_ranked(spark, sf_dir))
+
+
+@query(f"SELECT source AS query_id, rank AS \"index\", doc_id AS document_id, CASE WHEN lang <> 'de' THEN lang END AS title, CASE WHEN lang = 'en' THEN 'https://x.org/' || doc_id END AS url, substring(text, 1, 300) AS excerpt, 1.0::DOUBLE AS score {_CONTEXT}")
+def citations(spark, sf_dir):
+    return retrieval.citations(_ranked(spark, sf_dir))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 10")
+def list_documents(spark, sf_dir):
+    return storage.page(table(spark, sf_dir, "documents"), 10, 10, "n_chars", lang="en").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def count_by_status(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM events GROUP BY 1")
+def job_latest(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "event_id", "ts")
+    return jobs.latest(log).select("job_id", "status", "event_id", "n_events")
+
+
+@query("SELECT user_id AS job_id, CASE WHEN count(*) > 0 THEN least(99, floor(count(*) FILTER (event_type = 'click') / count(*) * 100))::INT ELSE 0 END AS progress FROM events GROUP BY 1")
+def job_progress(spark, sf_dir):
+    done = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count_if(F.col("event_type") == "click").alias("processed"), F.count("*").alias("total"))
+    return done.select("job_id", jobs.progress().alias("progress"))
+
+
+def _logs(spark, sf_dir) -> DataFrame:
+    """First user turns as queries, assistant turns as passages, a score from the conversation's number."""
+    said = table(spark, sf_dir, "conversations")
+    asked = said.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query_text"))
+    passages = said.where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct(F.col("text").alias("content"), F.lit(1.0).alias("score")).alias("c")))).alias("c"))
+    score = F.when(F.col("conv_id") % 7 != 0, F.col("conv_id") % 5 + 1)
+    return asked.join(passages, "conv_id", "left").select(F.col("conv_id").alias("id"), "query_text", F.transform("c", lambda x: x["c"]).alias("retrieved_chunks"), score.alias("feedback_score"))
+
+
+_LOGS = "logs AS (SELECT u.conv_id AS id, u.q AS query_text, a.c AS chunks, CASE WHEN u.conv_id % 7 <> 0 THEN u.conv_id % 5 + 1 END AS score FROM (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY 1) u LEFT JOIN (SELECT conv_id, list(text ORDER BY turn) AS c FROM conversations WHERE role = 'assistant' GROUP BY 1) a USING (conv_id))"
+
+
+@query(f"""WITH {_LOGS}, n AS (SELECT count(*) AS t, count(score) AS l, count(*) FILTER (score >= 4 AND chunks IS NOT NULL) AS p, count(*) FILTER (score <= 2 AND chunks IS NOT NULL) AS m FROM logs)
+SELECT t AS total_logs, l AS labelled_logs, p * 3 AS positive_pairs, m AS negative_pairs, t - l AS unlabelled_logs, p * 3 >= 50 AS ready_to_train, CASE WHEN p * 3 < 50 THEN 'Need ~50 positive pairs; estimated ' || p * 3 || ' from ' || p || ' high-rated logs. Collect more 4–5 star feedback.' END AS reason FROM n""")
+def feedback_stats(spark, sf_dir):
+    return jobs.feedback_stats(_logs(spark, sf_dir))
+
+
+@query(rf"WITH {_LOGS} SELECT {_strip('query_text')} AS query, {_strip('c')} AS chunk, true AS is_positive FROM (SELECT query_text, unnest(chunks) AS c FROM logs WHERE score >= 4) WHERE {_strip('c')} <> '' AND {_strip('query_text')} <> ''")
+def training_pairs(spark, sf_dir):
+    return jobs.training_pairs(_logs(spark, sf_dir))
+
+
+_SAMPLES = f"SELECT doc_id, text, source, lang AS language, len({_words('text')})::BIGINT AS word_count FROM documents WHERE lang IN ('en', 'es') AND len({_words('text')}) BETWEEN 50 AND 100000"
+
+
+@query(_SAMPLES)
+def dataset_samples(spark, sf_dir):
+    return datasets.samples(table(spark, sf_dir, "documents"), DatasetConfig(languages=("en", "es")))
+
+
+@query(f"SELECT fmt, text, source, language, word_count::INT AS word_count FROM ({_SAMPLES}), (VALUES ('jsonl'), ('parquet'), ('huggingface')) f(fmt)")
+def dataset_writers(spark, sf_dir):
+    rows = datasets.samples(table(spark, sf_dir, "documents"), DatasetConfig(languages=("en", "es")))
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlake-")
+    out = None
+    for fmt in datasets.FORMATS:
+        path = f"{top}/dataset-{fmt}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        datasets.write_dataset(rows, path, fmt)
+        back = datasets.read_dataset(spark, path, fmt).select(F.lit(fmt).alias("fmt"), "text", "source", "language", "word_count")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("SELECT vec_id, label + CASE WHEN vec_id % 5 = 0 THEN 100 ELSE 0 END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, 7 FROM embeddings WHERE vec_id % 7 = 0")
+def vector_upsert(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    new = points.where("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1000000).withColumn("label", F.lit(7))
+    batch = points.where("vec_id % 5 = 0").withColumn("label", F.col("label") + 100).unionByName(new)
+    return storage.upsert(points, batch).select("vec_id", "label")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label <> 3")
+def vector_delete(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    return storage.delete(points, points.where("label = 3")).select("vec_id", "label")
+
+
+@query("SELECT d.doc_id, d.text, sha256(d.text) AS content_hash FROM documents d WHERE d.doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = d.text) AND d.text NOT IN (SELECT text FROM documents WHERE source = 'src1')")
+def ingest_new(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    stored = docs.where("source = 'src1'").select(F.sha2("text", 256).alias("content_hash"))
+    return dedup.new_only(docs.select("doc_id", "text"), stored).select("doc_id", "text", "content_hash")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    counted = ingest.event_counts(table(spark, sf_dir, "events"))
+    return counted.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text")
+def stream_ingest(spark, sf_dir):
+    """The document table as a file stream, each text once; the same as the batch."""
+    path = f"{sf_dir}/documents.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
+    name = "textlake_" + spark.sparkContext.applicationId.replace("-", "_") + "_" + str(abs(hash(sf_dir)))
+    firsts = stream.select("doc_id", F.sha2("text", 256).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    running = firsts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select("doc_id", "content_hash")
