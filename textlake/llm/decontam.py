@@ -48,18 +48,20 @@ def item_words(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def embed(windows: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
-    """CGK walks over the rows of windows, put out at the given steps: array of (row, step); 0 past a row's end."""
-    rows, n = windows.shape
+_STEP = np.random.default_rng(SEED + 1).integers(0, 1 << 64, (64, 4096), dtype=np.uint64)  # random bits of (walk, step), repeated beyond
+
+
+def embed(windows: np.ndarray, n: np.ndarray, walk: np.ndarray, steps: int) -> np.ndarray:
+    """CGK walks over the rows of windows, row r with n[r] words and its own walk: array of (row, step); 0 past a row's end."""
+    rows, width = windows.shape
     place = np.zeros(rows, np.int64)
-    out = np.zeros((rows, len(steps)), np.uint64)
-    wanted = {int(s): k for k, s in enumerate(steps)}
-    row = np.arange(rows)
-    for s in range(int(steps.max()) + 1):
-        symbol = np.where(place < n, windows[row, np.minimum(place, n - 1)], np.uint64(0))
-        if s in wanted:
-            out[:, wanted[s]] = symbol
-        place += (mix(symbol + np.uint64((seed * 1_000_003 + s + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(1)).astype(np.int64)
+    out = np.zeros((rows, steps), np.uint64)
+    flat, at = windows.ravel(), np.arange(rows) * width
+    for s in range(steps):
+        symbol = flat[at + np.minimum(place, width - 1)]
+        symbol[place >= n] = 0
+        out[:, s] = symbol
+        place += (((symbol ^ _STEP[walk % 64, s % 4096]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64)
     return out
 
 
@@ -90,31 +92,30 @@ class Tables:
         self.map_bits = max(16, int(len(self.pairs) * 16).bit_length())
         self.bitmap = np.zeros(1 << self.map_bits, bool)
         self.bitmap[(self.pairs >> np.uint64(64 - self.map_bits)).astype(np.int64)] = True
-        # for every length, the positions that each table samples, and its items' keys
+        # for every length, walk and table, the positions sampled, and every item's keys;
+        # the walk passes a symbol in two steps on average, so the first 2n steps are inside the window
         rng = np.random.default_rng(SEED)
-        self.steps, self.keys = {}, {}
-        for n in sorted(set(self.length.tolist()) - {1}):
-            # the walk passes a symbol in two steps on average, so the first 2n steps are inside the window
-            self.steps[n] = [[rng.choice(2 * n, min(bits, 2 * n), replace=False) for _ in range(tables)] for _ in range(walks)]
-            of = np.flatnonzero(self.length == n)
-            rows = np.stack([self.items[k][1] for k in of])
+        self.walks, self.width = walks, int(self.length.max(initial=1))
+        self.sampled_at = np.zeros((self.width + 1, walks, tables, bits), np.int64)
+        for n in sorted(set(self.length.tolist())):
+            self.sampled_at[n] = rng.integers(0, 2 * n, (walks, tables, bits))
+        self.item_keys = np.zeros((len(self.items), walks, tables), np.uint64)
+        rows = np.zeros((len(self.items), self.width), np.uint64)
+        for k, (_, w) in enumerate(self.items):
+            rows[k, : len(w)] = w
+        for low in range(0, len(rows), WINDOWS):
             for walk in range(walks):
-                keys = np.zeros((tables, len(self.items)), np.uint64)
-                keys[:, of] = self.sampled(rows, n, walk)
-                self.keys[n, walk] = keys
-
-    def sampled(self, windows: np.ndarray, n: int, walk: int) -> np.ndarray:
-        """For each table of a walk, a hash of the sampled positions of every window."""
-        steps = self.steps[n][walk]
-        wanted = np.unique(np.concatenate(steps))
-        shown = embed(windows, wanted, walk)
-        out = []
-        for at in steps:
-            key = np.full(len(windows), n, np.uint64)
-            for k in np.searchsorted(wanted, at):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + shown[:, k])
-            out.append(key)
-        return np.stack(out)
+                part = slice(low, low + WINDOWS)
+                self.item_keys[part, walk] = self.keys(rows[part], self.length[part], np.full(len(rows[part]), walk))
+
+    def keys(self, windows: np.ndarray, n: np.ndarray, walk: np.ndarray) -> np.ndarray:
+        """For every window and table of its walk, a hash of the sampled positions."""
+        shown = embed(windows, n, walk, 2 * int(n.max(initial=0)))
+        at = self.sampled_at[n, walk]
+        key = np.broadcast_to(n.astype(np.uint64)[:, None], at.shape[:2])
+        for b in range(at.shape[2]):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.take_along_axis(shown, at[:, :, b], axis=1))
+        return key
 
     def distance(self, k: int, text: list[int]) -> tuple[int, int]:
         """Least edit distance of item k to a stretch of text, and the stretch's end (Myers' bit vectors, free ends)."""
@@ -157,69 +158,75 @@ class Tables:
             k, t = int(item[part[0]]), int(text[part[0]])
             n, e = int(self.length[k]), int(self.edits[k])
             a, b = int(first[t]), int(first[t + 1])
+            # a stretch that holds the pairs from part to ahead[part] starts at the first or before, and reaches the last
             marks = np.zeros(b - a + 2, np.int64)
-            low = np.maximum(at[part] - a - n - e, 0)
-            np.add.at(marks, low, 1)
-            np.add.at(marks, np.minimum(at[part] - a + e, b - a) + 1, -1)
-            yield t, k, np.flatnonzero(np.cumsum(marks)[: max(1, b - a - n + 1)])
+            np.add.at(marks, np.clip(at[ahead[part]] + 2 - a - n - e, 0, b - a), 1)
+            np.add.at(marks, at[part] - a + 1, -1)
+            yield t, k, np.flatnonzero(np.cumsum(marks)[: b - a] > 0)
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For every text, (item, start, end, distance) of its leaks."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        rows: dict[int, list] = defaultdict(list)
+        rows: list[tuple[int, int, np.ndarray]] = []
         held: dict[int, np.ndarray] = {}
         for i, j in chunks(texts) if len(self.items) else ():
             _, _, _, value, first = hashed(texts[i:j], lower=True)
             if len(self.pairs) and len(value) > 1:
                 for t, k, starts in self.places(value, first):
-                    words = held.setdefault(i + t, value[first[t] : first[t + 1]].copy())
-                    rows[int(self.length[k])].append((i + t, k, starts, words))
+                    held.setdefault(i + t, value[first[t] : first[t + 1]].copy())
+                    rows.append((i + t, k, starts))
             for x, k in self.single.items():
                 for w in np.flatnonzero(value == np.uint64(x)):
                     t = int(np.searchsorted(first, w, side="right")) - 1
                     best.setdefault((i + t, k), (int(w - first[t]), int(w - first[t]) + 1, 0))
-        for n, groups in rows.items():
-            text = np.concatenate([np.full(len(s), t) for t, _, s, _ in groups])
-            item = np.concatenate([np.full(len(s), k) for _, k, s, _ in groups])
-            start = np.concatenate([s for _, _, s, _ in groups])
-            seen: set[tuple[int, int, int]] = set()
+        if rows:
+            text, item = (np.concatenate([np.full(len(g[2]), g[c]) for g in rows]) for c in (0, 1))
+            start = np.concatenate([g[2] for g in rows])
             for low in range(0, len(text), WINDOWS):
                 cut = slice(low, low + WINDOWS)
-                self.match(n, text[cut], item[cut], start[cut], held, seen, best)
+                self.match(text[cut], item[cut], start[cut], held, best)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         for (t, k), v in sorted(best.items()):
             out[t].append((k, *v))
         return out
 
-    def match(self, n: int, text: np.ndarray, item: np.ndarray, start: np.ndarray, held: dict[int, np.ndarray], seen: set, best: dict) -> None:
-        """Embed the windows (text, start), look them up in their item's keys, and confirm those that agree."""
-        windows = np.zeros((len(text), n), np.uint64)
-        for r, (t, s) in enumerate(zip(text.tolist(), start.tolist(), strict=True)):
-            part = held[t][s : s + n]
+    def match(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, held: dict[int, np.ndarray], best: dict) -> None:
+        """Embed the windows (text, start), look them up in their item's keys, and confirm those that agree.
+
+        Most leaks are exact and show in the first walk; the windows of what it leaves open go through all others at once.
+        """
+        n = self.length[item]
+        windows = np.zeros((len(text), self.width), np.uint64)
+        for r, (t, s, m) in enumerate(zip(text.tolist(), start.tolist(), n.tolist(), strict=True)):
+            part = held[t][s : s + m]
             windows[r, : len(part)] = part
-        mark = item.astype(np.uint64)
-        for k in range(n):
-            mark = (mark ^ windows[:, k]) * np.uint64(0x9FB21C651E98DF25)
-            mark ^= mark >> np.uint64(31)
+        mark = windows[:, 0] + item.astype(np.uint64)
+        for k in range(1, self.width):
+            mark = (mark * np.uint64(0x9FB21C651E98DF25)) ^ windows[:, k] ^ (mark >> np.uint64(29))
         _, one, back = np.unique(mark, return_index=True, return_inverse=True)  # a passage that many texts share is embedded once
-        for walk in range(len(self.steps[n])):
-            open_ = np.array([best.get(x, (0, 0, 1))[2] > 0 for x in zip(text.tolist(), item.tolist(), strict=True)])
+        pair = text * len(self.items) + item
+        seen = np.zeros(len(text), bool)
+        for walks in (np.arange(1), np.arange(1, self.walks)):
+            solved = np.array([t * len(self.items) + k for (t, k), v in best.items() if v[2] == 0], np.int64)
+            open_ = ~seen & ~np.isin(pair, solved)
             need = np.unique(back[open_])
-            if not len(need):
-                break
             agree = np.zeros(len(one), bool)
-            agree[need] = (self.sampled(windows[one[need]], n, walk) == self.keys[n, walk][:, item[one[need]]]).any(axis=0)
+            step = max(1, WINDOWS // len(walks))
+            for low in range(0, len(need), step):
+                part = need[low : low + step]
+                rows, walk = np.repeat(one[part], len(walks)), np.tile(walks, len(part))
+                same = (self.keys(windows[rows], n[rows], walk) == self.item_keys[item[rows], walk]).any(axis=1)
+                agree[part] = same.reshape(len(part), len(walks)).any(axis=1)
             for r in np.flatnonzero(agree[back] & open_).tolist():
-                t, k, s = int(text[r]), int(item[r]), int(start[r])
+                t, k, s, limit = int(text[r]), int(item[r]), int(start[r]), int(self.edits[item[r]])
                 had = best.get((t, k))
-                if (t, k, s) in seen or had and had[2] == 0:
+                seen[r] = True
+                if had and had[2] == 0:
                     continue
-                seen.add((t, k, s))
-                limit = int(self.edits[k])
                 low = max(0, s - limit)
-                cost, end = self.distance(k, held[t][low : s + n + limit].tolist())
+                cost, end = self.distance(k, held[t][low : s + int(n[r]) + limit].tolist())
                 if cost <= limit and (had is None or cost < had[2]):
-                    best[t, k] = (max(low, low + end - n), low + end, cost)
+                    best[t, k] = (max(low, low + end - int(n[r])), low + end, cost)
 
 
 def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
