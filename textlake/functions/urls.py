@@ -112,20 +112,26 @@ def author(html: Column) -> Column:
     return F.coalesce(first, F.trim(meta(html, "author")))
 
 
+def rfc_date(c: Column) -> Column:
+    """Timestamp of `Mon, 06 May 2024 07:08:09 GMT` and the like, null if it is none."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|Z)$", "+0000")
+    return F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
 def published_at(html: Column) -> Column:
     """From JSON-LD, meta elements, then time elements; the first that can be parsed."""
     raw = [F.element_at(F.filter(F.transform(json_ld(html), lambda j: F.get_json_object(j, "$.datePublished")), lambda x: x.isNotNull()), 1)]
     raw += [meta(html, n) for n in ("article:published_time", "og:article:published_time", "datePublished", "pubdate", "publishdate", "date")]
     raw.append(F.nullif(F.regexp_extract(html, r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit("")))
-    forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss Z")
-    return F.coalesce(*(F.try_to_timestamp(r, F.lit(f)) for r in raw for f in forms))
+    forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    return F.coalesce(*(x for r in raw for x in (*(F.try_to_timestamp(r, F.lit(f)) for f in forms), rfc_date(r))))
 
 
 def tags(html: Column) -> Column:
     """Sorted distinct keywords of meta elements, rel=tag links and JSON-LD."""
     empty = F.array().cast("array<string>")
-    split = lambda c: F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    split = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     of_meta = F.coalesce(split(meta(html, "keywords")), empty)
-    of_links = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*rel="tag"[^>]*>(.*?)</a>'), 1), F.trim)
+    of_links = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*rel="tag"[^>]*>(.*?)</a>'), 1), lambda x: F.trim(x))
     of_json = F.flatten(F.transform(json_ld(html), lambda j: F.coalesce(F.from_json(F.get_json_object(j, "$.keywords"), "array<string>"), split(F.get_json_object(j, "$.keywords")), empty)))
     return F.array_sort(F.array_distinct(F.concat(of_meta, of_links, of_json)))

@@ -190,14 +190,14 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     rows = feeds.select("feed_url", F.explode(found).alias("item"))
     any_of = lambda *c: F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in c))
     date = any_of(get("pubDate"), get("published"), get("updated"))
-    forms = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss zzz", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd")
+    forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd")
     return rows.select(
         "feed_url",
         any_of(get("title")).alias("title"),
         any_of(F.regexp_extract("item", r'(?is)<link[^>]*href="([^"]*)"', 1), get("link"), get("guid"), get("id")).alias("url"),
         T.one_line(T.strip_tags(F.coalesce(any_of(get("description"), get("summary"), get("content")), F.lit("")))).alias("summary"),
         any_of(get("dc:creator"), get("author")).alias("author"),
-        F.coalesce(*(F.try_to_timestamp(date, F.lit(f)) for f in forms)).alias("published_at"),
+        F.coalesce(U.rfc_date(date), *(F.try_to_timestamp(date, F.lit(f)) for f in forms)).alias("published_at"),
     ).where("url is not null").orderBy(F.desc_nulls_last("published_at"), "url")
 
 
