@@ -69,3 +69,18 @@ def test_stream_equals_batch(spark, tmp_path, sample_text):
     got = spark.read.parquet(out)
     assert got.count() == 3 and got.select("content_hash").distinct().count() == 3
     assert ingest.first_texts(spark.read.parquet(f"file://{tmp_path}/in/*")).select(F.count("*").alias("n")).first().n == 4
+
+
+def test_articles_and_robots(spark):
+    from textlake.operators import robots
+    from textlake.sources import article
+
+    long = "word " * 40
+    rows = [("https://www.bbc.com/x", f'<body><article>no</article><div class="article__body-content"><p>{long}<nav>n</nav></div><span class="byline__name"> Ann </span>'), ("https://e.org", f"<body><article>tiny</article><p>{long}</body>"), ("https://e.org/2", None)]
+    out = article.articles(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert out[0].content == long.strip() and out[0].author == "Ann"
+    assert out[1].content == "tiny " + long.strip() and out[2].content == ""
+    assert article.articles(spark.createDataFrame(rows, "url string, html string"), legacy=True).first().content.startswith("no ")
+    files = spark.createDataFrame([("e.org", 200, "User-agent: *\nDisallow: /a\nAllow: /a/b"), ("f.org", 500, "User-agent: *\nDisallow: /")], "origin string, status int, body string")
+    pages = spark.createDataFrame([(1, "https://e.org/a/x"), (2, "https://e.org/a/b"), (3, "https://f.org/"), (4, "https://e.org")], "page_id int, url string")
+    assert {r.page_id: r.allowed for r in robots.allowed(pages, robots.parse_rules(files)).collect()} == {1: False, 2: True, 3: True, 4: True}

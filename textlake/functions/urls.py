@@ -108,7 +108,7 @@ def json_ld(html: Column) -> Column:
 
 def author(html: Column) -> Column:
     """From JSON-LD (name of the first author), else the author meta element."""
-    first = F.element_at(F.filter(F.transform(json_ld(html), lambda j: F.coalesce(F.get_json_object(j, "$.author.name"), F.get_json_object(j, "$.author[0].name"), F.get_json_object(j, "$.author[0]"), F.get_json_object(j, "$.author"))), lambda x: x.isNotNull()), 1)
+    first = F.get(F.filter(F.transform(json_ld(html), lambda j: F.coalesce(F.get_json_object(j, "$.author.name"), F.get_json_object(j, "$.author[0].name"), F.get_json_object(j, "$.author[0]"), F.get_json_object(j, "$.author"))), lambda x: x.isNotNull()), 0)
     return F.coalesce(first, F.trim(meta(html, "author")))
 
 
@@ -120,7 +120,7 @@ def rfc_date(c: Column) -> Column:
 
 def published_at(html: Column) -> Column:
     """From JSON-LD, meta elements, then time elements; the first that can be parsed."""
-    raw = [F.element_at(F.filter(F.transform(json_ld(html), lambda j: F.get_json_object(j, "$.datePublished")), lambda x: x.isNotNull()), 1)]
+    raw = [F.get(F.filter(F.transform(json_ld(html), lambda j: F.get_json_object(j, "$.datePublished")), lambda x: x.isNotNull()), 0)]
     raw += [meta(html, n) for n in ("article:published_time", "og:article:published_time", "datePublished", "pubdate", "publishdate", "date")]
     raw.append(F.nullif(F.regexp_extract(html, r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit("")))
     forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DatasetConfig
+from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunking, cleaning, crawl, datasets, dedup, jobs, ranking, retrieval, storage, vectors
+from ..operators import chunking, cleaning, crawl, datasets, dedup, jobs, ranking, retrieval, robots, storage, vectors
+from ..sources import article
 from ..sources import documents as sources
 from ..sources import registry
 from ..streaming import ingest
@@ -462,3 +464,32 @@ def stream_ingest(spark, sf_dir):
     running = firsts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name).select("doc_id", "content_hash")
+
+
+def _language_sql(text: str) -> str:
+    hits = ", ".join("len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in stops) + ")))" for stops in L.STOP_WORDS.values())
+    names = "[" + ", ".join(f"'{n}'" for n in L.STOP_WORDS) + "]"
+    return f"SELECT doc_id, CASE WHEN length({_strip('t')}) >= 20 AND list_max(h) > 0 THEN {names}[list_position(h, list_max(h))] END AS language FROM (SELECT doc_id, t, [{hits}] AS h FROM (SELECT doc_id, {text} AS t, {_words(f'lower({text})')} AS w FROM documents))"
+
+
+@query(_language_sql("text"))
+def language_detect(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", L.detect_language(F.col("text")).alias("language"))
+
+
+@query(f"SELECT doc_id, coalesce(language, 'unknown') AS language FROM ({_language_sql('substring(text, 1, 2000)')})")
+def language_legacy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", L.detect_language_or_unknown(F.col("text")).alias("language"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS path FROM pages)
+SELECT page_id, NOT (host LIKE '%.com' AND starts_with(path, '/en') AND NOT starts_with(path, '/en/1')) AS allowed FROM p""")
+def robots_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    files = pages.select(F.lower(U.authority(F.col("url"))).alias("origin")).distinct().select("origin", F.when(F.col("origin").endswith(".com"), 200).otherwise(404).alias("status"), F.lit("User-agent: bot\nDisallow: /\n\nUser-agent: *\nDisallow: /en # all\nAllow: /en/1").alias("body"))
+    return robots.allowed(pages, robots.parse_rules(files)).select("page_id", "allowed")
+
+
+@query()
+def article_scrape(spark, sf_dir):
+    return article.articles(table(spark, sf_dir, "pages")).select("page_id", "title", "content", "author", "published_at", "tags", "language")
