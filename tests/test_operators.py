@@ -200,3 +200,25 @@ def test_crawl(spark):
     got = crawl.crawl(pages, ["https://e.org/"], 2, 50)
     assert [(r.url, r.depth) for r in got.collect()] == [("https://e.org/", 0), ("https://e.org/a", 1), ("https://e.org/c", 2)]
     assert "https://o.org/x" in {r.url for r in crawl.crawl(pages, ["https://e.org/"], 1, 50, True).collect()}
+
+
+def test_ingestion(spark, sample_text):
+    from textlake.plans import ingestion
+    from textlake.sources import registry
+
+    texts = [sample_text, sample_text, sample_text.replace("fox", "cat", 1), "short", "w " * 100]
+    done = ingestion.outcomes(docs_of(spark, texts), min_words=20)
+    assert ingestion.stats(done).first().asDict() == {"total": 5, "rejected": 2, "near_dup": 0, "exact_dup": 1, "indexed": 2}
+    near = ingestion.outcomes(docs_of(spark, texts), min_words=20, near="drop")
+    assert ingestion.stats(near).first().near_dup >= 1
+    assert {len(r.vector) for r in ingestion.points(done).collect()} == {384}
+    rows = spark.createDataFrame([(1, "https://arxiv.org/x", None, {"category": "no", "k": "v"})], "id int, url string, language string, metadata map<string,string>")
+    r = ingestion.enrich(rows, registry.sources(spark)).first()
+    assert (r.category, r.language, r.source_type) == ("academic_ai", "unknown", "web") and r.metadata["category"] == "academic_ai" and r.metadata["k"] == "v"
+
+
+def test_job_events(spark):
+    log = jobs.event(spark, "a", "running", 5, 10).unionByName(jobs.event(spark, "b", "success"))
+    assert {r.job_id: r.progress for r in log.collect()} == {"a": 50, "b": 100}
+    with pytest.raises(ValueError):
+        jobs.event(spark, "a", "odd")

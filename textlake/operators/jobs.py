@@ -53,3 +53,16 @@ def with_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:
     last = feedback.where(F.col("score").between(1, 5)).groupBy("query_id").agg(F.max_by("score", "ts").alias("_score"))
     joined = logs.join(last, logs["id"] == last["query_id"], "left").drop("query_id")
     return joined.withColumn("feedback_score", F.coalesce("_score", "feedback_score")).drop("_score")
+
+
+def event(spark, job_id: str, status: str, processed: int = 0, total: int = 0, error: str | None = None, result: str | None = None) -> DataFrame:
+    """One row to append to the job log: started (running), success, failed, progress."""
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    row = spark.createDataFrame([(job_id, status, processed, total, error, result)], "job_id string, status string, processed long, total long, error string, result string")
+    return row.withColumn("ts", F.current_timestamp()).withColumn("progress", F.when(F.col("status") == "success", 100).otherwise(progress()))
+
+
+def recent(log: DataFrame, job_type: str, limit: int = 50) -> DataFrame:
+    """The newest jobs of a type."""
+    return log.where(F.col("job_type") == job_type).orderBy(F.desc_nulls_last("ts"), "job_id").limit(limit)

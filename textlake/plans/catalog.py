@@ -18,6 +18,7 @@ from ..sources import article
 from ..sources import documents as sources
 from ..sources import registry
 from ..streaming import ingest
+from . import ingestion
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -493,3 +494,30 @@ def robots_filter(spark, sf_dir):
 @query()
 def article_scrape(spark, sf_dir):
     return article.articles(table(spark, sf_dir, "pages")).select("page_id", "title", "content", "author", "published_at", "tags", "language")
+
+
+@query(f"""WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}), m AS (SELECT {_DOMAIN} AS domain, min_by(category, ord) AS category FROM s GROUP BY 1),
+p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://www.set.or.th/' || page_id WHEN page_id % 4 = 1 THEN NULL ELSE url END AS url, CASE WHEN page_id % 3 = 0 THEN ' ' ELSE regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) END AS l FROM pages)
+SELECT page_id, coalesce({_DOMAIN}, 'unknown') AS source_domain, coalesce(m.category, 'general') AS category, CASE WHEN trim(l) = '' THEN 'unknown' ELSE l END AS language, CASE WHEN url IS NULL THEN 'upload' ELSE 'web' END AS source_type FROM p LEFT JOIN m ON m.domain = {_DOMAIN}""")
+def payload_enrich(spark, sf_dir):
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.set.or.th/"), "page_id")).when(F.col("page_id") % 4 != 1, F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.when(F.col("page_id") % 3 == 0, F.lit(" ")).otherwise(U.html_lang(F.col("html"))).alias("language"))
+    return ingestion.enrich(pages, registry.sources(spark)).select("page_id", "source_domain", "category", "language", "source_type")
+
+
+_CLEANED = _strip("regexp_replace(text, ' {2,}', ' ', 'g')")
+
+
+@query(f"""WITH c AS (SELECT doc_id, lang, {_CLEANED} AS text FROM documents), documents AS (SELECT * FROM c),
+k AS (SELECT doc_id, sha256(text) AS h FROM ({_RATES}) WHERE lang IN ('en', 'de') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h)
+SELECT count(*) AS total, count(*) FILTER (k.doc_id IS NULL) AS rejected, 0::BIGINT AS near_dup, count(*) FILTER (k.doc_id IS NOT NULL AND f.first <> k.doc_id) AS exact_dup, count(*) FILTER (f.first = k.doc_id) AS indexed FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN f USING (h)""")
+def ingest_stats(spark, sf_dir):
+    return ingestion.stats(ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de")))
+
+
+@query()
+def ingest_points(spark, sf_dir):
+    """Embedded chunks of all documents that pass, near-duplicates left out."""
+    done = ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de", "fr", "es"), near="drop")
+    return ingestion.points(done).select("id", "doc_id", "chunk_index", "token_count", F.size("vector").alias("dim"))
