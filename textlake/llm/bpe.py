@@ -30,7 +30,7 @@ PAIRS = 1_000_000
 _models: dict[str, PrefixBpe] = {}
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in the vocabulary file: printable ones for themselves, the others from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
@@ -41,7 +41,7 @@ class PrefixBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}

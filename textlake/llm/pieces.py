@@ -7,8 +7,8 @@ import re
 import regex
 import public_tokenizers
 
-#: Pieces whose ids a worker remembers at most.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers at most: about 200 MB.
+REMEMBERED = 1_000_000
 
 _GENERAL = regex.compile(public_tokenizers.PATTERN)
 # the same pattern on Latin-1 bytes: letters, numbers and white space of that range spelled out

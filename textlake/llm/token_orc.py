@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import byte_letters
 from .pieces import PieceEncoder, default_vocabulary
 from .store import limit_batches, materialise, scratch_path
 
@@ -41,8 +42,11 @@ def library_encoder(path: str) -> PieceEncoder:
 
         tokenizer = Tokenizer.from_file(path)
 
+        # pieces are already split, so the library's merges alone are asked for, on the letters that stand for bytes
+        merge, letters = tokenizer.model.tokenize, {b: c for c, b in byte_letters().items()}
+
         def new(pieces: list[bytes]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+            return [b"".join(t.id.to_bytes(4, "little") for t in merge(p.decode("latin-1").translate(letters))) for p in pieces]
 
         _encoders[path] = PieceEncoder(new, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
     return _encoders[path]
