@@ -17,6 +17,7 @@ from textlake.llm import html_extract as H
         ('<body><div class="cookie-notice">x</div><main><p>m</p></main><form>f</form></body>', "m"),
         ("<p>it's <b class=x'>q</b> don't</p><style>p{}", "it's q don't"),
         ("<table><tr><td>1<td>2</table>", "1\n\n2"),
+        ('<p>a <img alt = "x > y" src=z>b <a title=">">c</a> it"s <!-- > -->d<!doctype x>', 'a b c it"s d'),
         ("<article><p>a</article><div>between</div><article><p>b</article>", "a\n\nb"),
     ],
 )
