@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows of one or two longs (32 MB of keys).
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows that one task writes easily.
+TASK_ROWS = 100_000
 #: Arrow batches: rows and bytes at most.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
@@ -34,10 +36,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    rows: what df holds at most, of narrow rows, if known; it is then written by no more tasks than that takes, as
+    a file costs more than thousands of such rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

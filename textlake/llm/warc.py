@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import limit_batches, materialise, release, scratch_path
+from .store import keyed_join, limit_batches, materialise, release, scratch_path
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -49,8 +49,9 @@ def records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     equal = rows.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = materialise(equal, "equal", rows.count())
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(equal, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("last")).alias("refers_to"))
+    return keyed_join(rows, equal, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("last")).alias("refers_to"))
 
 
 def _header(name: str, value: Column) -> Column:
@@ -141,17 +142,18 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def reached(candidates: DataFrame) -> DataFrame:
     """(file, at) of the candidates (file, at, next) on the chain from each file's start, by pointer jumping."""
+    n = candidates.count()
     jump = candidates.where("next is not null").select("file", "at", "next")
     front = candidates.where("at = 0").select("file", "at")
     done, used = front, []
     while True:
-        new = materialise(done.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")).join(candidates.select("file", "at"), ["file", "at"], "left_semi"), "reached")
+        new = materialise(done.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")).join(candidates.select("file", "at"), ["file", "at"], "left_semi"), "reached", n)
         if new.isEmpty():
             release(new, *used)
             return done
         done = done.unionByName(new)
         twice = jump.join(jump.select("file", F.col("at").alias("next"), F.col("next").alias("far")), ["file", "next"]).select("file", "at", F.col("far").alias("next"))
-        jump = materialise(twice, "jump")
+        jump = materialise(twice, "jump", n)
         used.append(jump)
 
 
@@ -189,11 +191,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     found = materialise(_pieces(spark, path).mapInArrow(_candidates(with_payload), _SCHEMA), "candidates")
     sizes = found.groupBy("file", "block").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each read range
-    base = materialise(sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "base")
+    n = found.count()
+    base = materialise(sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "base", n)
     placed = found.join(base, ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).where("at >= 0 and next is not null")
-    chain = reached(materialise(placed.select("file", "at", "next"), "chain"))
+    chain = reached(materialise(placed.select("file", "at", "next"), "chain", n))
     out = placed.join(chain, ["file", "at"], "left_semi").select("file", "at", "next", "head", "whole", *(x.split()[0] for x in _FIELDS.split(", ")), "payload")
-    broken = materialise(out.where("not whole").select("file", "at", "next", "head", "length"), "broken")
+    broken = materialise(out.where("not whole").select("file", "at", "next", "head", "length"), "broken", n)
     if not broken.isEmpty():
         out = out.join(_joined_payload(spark, path, broken, base), ["file", "at"], "left")
         out = out.withColumn("digest", F.coalesce("digest", base32_sha1(F.col("joined"))))
