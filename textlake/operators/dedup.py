@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import JACCARD, NUM_PERM
 from ..plans.scratch import checkpointed
+from .vectors import blocks
 
 PRIME = (1 << 31) - 1
 BANDS, ROWS = 8, 16
@@ -120,10 +122,8 @@ def deduplicate(docs: DataFrame, mode: str = "mark", kind: str = "char", min_cha
 
 def like_any(queries: DataFrame, stored: DataFrame, threshold: float = JACCARD) -> DataFrame:
     """(query_id, is_duplicate): whether a stored signature agrees in threshold of its values; queries are a stated set, met in blocks."""
-    rows = queries.select("doc_id", "signature").collect()
     out = []
-    for low in range(0, max(1, len(rows)), 2000):
-        block = rows[low : low + 2000]
+    for block in blocks(queries.select("doc_id", "signature"), "doc_id", 2000):
         ids, matrix = np.array([r.doc_id for r in block], np.int64), np.array([r.signature for r in block], np.int32).reshape(-1, NUM_PERM)
 
         def run(parts: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
@@ -133,8 +133,6 @@ def like_any(queries: DataFrame, stored: DataFrame, threshold: float = JACCARD)
                     hit |= ((matrix == np.asarray(signature, np.int32)).mean(axis=1) >= threshold) & (ids != doc)
             yield pd.DataFrame({"query_id": ids[hit]})
 
-        out.append((ids, stored.select("doc_id", "signature").mapInPandas(run, "query_id long").distinct()))
-    found = out[0][1]
-    for _, more in out[1:]:
-        found = found.unionByName(more)
+        out.append(stored.select("doc_id", "signature").mapInPandas(run, "query_id long").distinct())
+    found = reduce(DataFrame.unionByName, out) if out else queries.sparkSession.createDataFrame([], "query_id long")
     return queries.select(F.col("doc_id").alias("query_id")).join(found.withColumn("hit", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("is_duplicate"))

@@ -70,18 +70,26 @@ def hybrid(points: DataFrame, query: list[float], k: int = TOP_K, spec: dict | N
     return hits.withColumn("rrf", 1 / (60 + place)).orderBy(F.desc("rrf")).limit(k)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 500) -> DataFrame:
+def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list]:
+    """A stated query set in blocks of about size rows, by hash of the key; one block is on the driver at a time."""
+    n = max(1, -(-rows.count() // size))
+    for b in range(n):
+        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == b)).collect()
+        if part:
+            yield part
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k nearest points of every query other than itself.
 
     Queries are a stated set: blocks of them go to the tasks, each task keeps its k best for every query, and a second
     step ranks those; points are never paired with each other.
     """
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").collect()
     schema = "query_id long, vec_id long, score double"
     parts = []
-    for low in range(0, len(rows), block):
-        ids = np.array([r.vec_id for r in rows[low : low + block]], np.int64)
-        matrix = np.array([r.embedding for r in rows[low : low + block]], np.float64)
+    for rows in blocks(queries.select("vec_id", "embedding"), "vec_id", block):
+        ids = np.array([r.vec_id for r in rows], np.int64)
+        matrix = np.array([r.embedding for r in rows], np.float64)
         norms = np.sqrt((matrix**2).sum(axis=1))
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix, norms=norms) -> Iterator[pd.DataFrame]:

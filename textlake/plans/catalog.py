@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from ..sources import documents as sources
 from ..sources import registry
 from ..streaming import ingest
 from . import ingestion
+from .scratch import shared_dir as _shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -414,11 +414,9 @@ def dataset_samples(spark, sf_dir):
 @query(f"SELECT fmt, text, source, language, word_count::INT AS word_count FROM ({_SAMPLES}), (VALUES ('jsonl'), ('parquet'), ('huggingface')) f(fmt)")
 def dataset_writers(spark, sf_dir):
     rows = datasets.samples(table(spark, sf_dir, "documents"), DatasetConfig(languages=("en", "es")))
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlake-")
     out = None
     for fmt in datasets.FORMATS:
-        path = f"{top}/dataset-{fmt}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        path = f"{_shared(spark)}/dataset-{fmt}-{uuid.uuid4().hex}"
         datasets.write_dataset(rows, path, fmt)
         back = datasets.read_dataset(spark, path, fmt).select(F.lit(fmt).alias("fmt"), "text", "source", "language", "word_count")
         out = back if out is None else out.unionByName(back)
@@ -460,11 +458,15 @@ def stream_ingest(spark, sf_dir):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     one_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
     stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
-    name = "textlake_" + spark.sparkContext.applicationId.replace("-", "_") + "_" + str(abs(hash(sf_dir)))
     firsts = stream.select("doc_id", F.sha2("text", 256).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-    running = firsts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select("doc_id", "content_hash")
+    out, epochs = f"{_shared(spark)}/stream-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
+        epochs.append(epoch)
+
+    firsts.writeStream.outputMode("complete").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/{epochs[-1]}").select("doc_id", "content_hash")
 
 
 def _language_sql(text: str) -> str:

@@ -6,16 +6,27 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="textlake-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return f"file://{_own[app]}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a local folder only where that is unset."""
+    """A reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            at = tempfile.mkdtemp(prefix="textlake-")
-            atexit.register(shutil.rmtree, at, ignore_errors=True)
-        context.setCheckpointDir(at)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
