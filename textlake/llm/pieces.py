@@ -11,9 +11,9 @@ import public_tokenizers
 REMEMBERED = 1_000_000
 
 _GENERAL = regex.compile(public_tokenizers.PATTERN)
-# the same pattern on Latin-1 bytes: letters, numbers and white space of that range spelled out
+# the same pattern on Latin-1 bytes: letters, numbers and white space of that range spelled out, and runs of letters, the most frequent, first
 _L, _N, _S = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
-_LATIN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[%b]+| ?[%b]+| ?[^%b%b%b]+|[%b]+(?![^%b])|[%b]+" % (_L, _N, _S, _L, _N, _S, _S, _S))
+_LATIN = re.compile(rb" ?[%b]+| ?[%b]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^%b%b%b]+|[%b]+(?![^%b])|[%b]+" % (_L, _N, _S, _L, _N, _S, _S, _S))
 
 
 def default_vocabulary() -> str:

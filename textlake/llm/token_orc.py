@@ -44,9 +44,10 @@ def library_encoder(path: str) -> PieceEncoder:
 
         # pieces are already split, so the library's merges alone are asked for, on the letters that stand for bytes
         merge, letters = tokenizer.model.tokenize, {b: c for c, b in byte_letters().items()}
+        packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
         def new(pieces: list[bytes]) -> list[bytes]:
-            return [b"".join(t.id.to_bytes(4, "little") for t in merge(p.decode("latin-1").translate(letters))) for p in pieces]
+            return [b"".join([packed[t.id] for t in merge(p.decode("latin-1").translate(letters))]) for p in pieces]
 
         _encoders[path] = PieceEncoder(new, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
     return _encoders[path]
