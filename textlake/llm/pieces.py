@@ -7,8 +7,8 @@ import re
 import regex
 import public_tokenizers
 
-#: Pieces whose ids a worker remembers at most: about 200 MB.
-REMEMBERED = 1_000_000
+#: Pieces whose ids a worker remembers at most: about 60 MB.
+REMEMBERED = 300_000
 
 _GENERAL = regex.compile(public_tokenizers.PATTERN)
 # the same pattern on Latin-1 bytes: letters, numbers and white space of that range spelled out, and runs of letters, the most frequent, first
@@ -23,8 +23,8 @@ def default_vocabulary() -> str:
 class PieceEncoder:
     """text -> ids as packed little-endian unsigned 32-bit integers, by way of `encode_new`, which takes new pieces as UTF-8 bytes."""
 
-    def __init__(self, encode_new, specials: dict[str, int]):
-        self.encode_new = encode_new
+    def __init__(self, encode_new, specials: dict[str, int], remembered: int = REMEMBERED):
+        self.encode_new, self.remembered = encode_new, remembered
         self.specials = {s: i.to_bytes(4, "little") for s, i in specials.items()}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
         self.latin: dict[bytes, bytes] = {}
@@ -37,7 +37,7 @@ class PieceEncoder:
             utf8 = lambda p: p.decode("latin-1").encode()
         except UnicodeEncodeError:
             known, found, utf8 = self.general, _GENERAL.findall(text), str.encode
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         out = list(map(known.get, found))
         if None in out:

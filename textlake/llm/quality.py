@@ -11,6 +11,7 @@ keep() and are ignored by assess(). An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import limit_batches
+from .store import limit_batches, materialise
 from .words import chunks, grams, hashed
 
 #: Labelled documents that the model is fitted on, at most.
@@ -155,21 +156,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     if len({r.quality > 0 for r in chosen}) < 2:
         return Model()
+    # every fourth of each kind is held out and goes to the end
+    chosen.sort(key=lambda r: (r.quality, r.doc_id))
+    train = [r for k, r in enumerate(chosen) if k % 4]
+    order = train + [r for k, r in enumerate(chosen) if k % 4 == 0]
     few = F.broadcast(spark.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id long, quality int"))  # `sample` rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").mapInArrow(_featurise, "doc_id long, x binary, quality int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    if len({r.quality > 0 for r in rows}) < 2:
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").mapInArrow(_featurise, "doc_id long, x binary, quality int")
+    # one array, filled partition by partition; of rows that repeat an id the greatest counts
+    at, seen = {r.doc_id: k for k, r in enumerate(order)}, {}
+    x = np.zeros((len(order), BINS), np.float32)
+    for r in materialise(found, "features").coalesce(8).toLocalIterator():
+        mark = hashlib.blake2b(r.x, digest_size=8).digest()
+        if mark >= seen.get(r.doc_id, b""):
+            seen[r.doc_id] = mark
+            x[at[r.doc_id]] = np.frombuffer(r.x, np.float16)
+    there = [k for k, r in enumerate(order) if r.doc_id in seen]
+    for new, old in enumerate(there):
+        if new != old:
+            x[new] = x[old]
+    y = np.array([order[k].quality > 0 for k in there], np.float32)
+    x, m = x[: len(there)], sum(k < len(train) for k in there)
+    if len(set(y.tolist())) < 2:
         return Model()
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
-    y = np.array([r.quality > 0 for r in rows], np.float32)
-    held = np.zeros(len(y), bool)
-    for kind in (0, 1):
-        held[np.flatnonzero(y == kind)[::4]] = True  # both kinds are in either part
-    if len(set(y[~held])) < 2:
-        held[:] = False
-    w, b = _logistic(x[~held], y[~held])
-    slope, offset = _calibrate(x[held] @ w + b, y[held]) if held.any() else (1.0, 0.0)
-    return Model(w, b, slope, offset)
+    if len(set(y[:m].tolist())) < 2 or m == len(y):
+        return Model(*_logistic(x, y))
+    w, b = _logistic(x[:m], y[:m])
+    return Model(w, b, *_calibrate(x[m:] @ w + b, y[m:]))
 
 
 def _assessor(model: Model):

@@ -30,6 +30,8 @@ from .store import limit_batches, materialise, scratch_path
 END = 0
 SCHEMA = "doc_id long, part int, pos long, ids array<int>"
 ROW_STRIDE, STRIPE_BYTES = 1000, 32 << 20
+#: Pieces whose ids a worker remembers at most: about 200 MB.
+REMEMBERED = 1_000_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -49,7 +51,7 @@ def library_encoder(path: str) -> PieceEncoder:
         def new(pieces: list[bytes]) -> list[bytes]:
             return [b"".join([packed[t.id] for t in merge(p.decode("latin-1").translate(letters))]) for p in pieces]
 
-        _encoders[path] = PieceEncoder(new, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
+        _encoders[path] = PieceEncoder(new, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, REMEMBERED)
     return _encoders[path]
 
 
