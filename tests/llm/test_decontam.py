@@ -55,6 +55,17 @@ def test_recall_and_exactness():
         assert hit >= least * len(items), (share, hit)
 
 
+def test_long_items():
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (100, 200, 400) for _ in range(8)]
+    tables = decontam.Tables(list(enumerate(decontam.item_words([" ".join(w).encode() for w in items]))))
+    bodies = [[rng.choice(vocab) for _ in range(60)] + edited(rng, w, len(w) // 5, vocab) + [rng.choice(vocab) for _ in range(60)] for w in items]
+    found = tables.scan([" ".join(b).encode() for b in bodies])
+    for k, (body, leaks) in enumerate(zip(bodies, found, strict=True)):
+        assert [(item, cost) for item, _, _, cost in leaks] == [(k, distance(items[k], body))]
+
+
 def test_queries(spark):
     rng, vocab, items = make(2, 20)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (92, "lone"), (93, "two words"), (3, " ".join(items[3]))], "item_id long, text string")

@@ -4,7 +4,8 @@ Texts and items are word sequences (A-Z lower-cased). An item leaks into a docum
 floor(edit_share * words) word edits of the item. For windows of an item's length at every word that may lie in such a stretch, the CGK random walk
 (a symbol is put out again or the walk moves on, as a random function of step and symbol says) turns edit
 distance into Hamming distance; in each of WALKS walks, TABLES tables sample BITS positions, and a window that agrees with an item in one
-is a candidate. Candidates are confirmed by exact edit distance of the item to the best stretch around the window.
+is a candidate. Candidates are confirmed by exact edit distance of the item to the best stretch around the window. Walks drift
+apart over long items, so where they show no unedited copy, the exact distance is taken over all windows that are left: no leak is missed.
 
 Windows that cannot match are set aside before they are embedded, without loss: k edits leave at least n - 1 - 2k of an item's
 word pairs whole, so places with fewer of the items' pairs nearby hold no leak. Items of two words or fewer, and those for which
@@ -152,7 +153,7 @@ class Tables:
         ahead = np.arange(len(group)) + self.least[item] - 1
         known = ahead < len(group)
         ahead[~known] = 0
-        near = known & (group[ahead] == group) & (at[ahead] - at <= self.length[item] + self.edits[item])
+        near = known & (group[ahead] == group) & (at[ahead] - at <= self.length[item] + self.edits[item] - 2)  # within the longest stretch, so that none of the marks below is void
         keep = np.flatnonzero(near)
         for part in np.split(keep, np.flatnonzero(np.diff(group[keep])) + 1) if len(keep) else []:
             k, t = int(item[part[0]]), int(text[part[0]])
@@ -185,6 +186,8 @@ class Tables:
             for low in range(0, len(text), WINDOWS):
                 cut = slice(low, low + WINDOWS)
                 self.match(text[cut], item[cut], start[cut], held, best)
+            for t, k, starts in rows:
+                self.settle(t, k, starts, held[t], best)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         for (t, k), v in sorted(best.items()):
             out[t].append((k, *v))
@@ -228,6 +231,18 @@ class Tables:
                 if cost <= limit and (had is None or cost < had[2]):
                     best[t, k] = (max(low, low + end - int(n[r])), low + end, cost)
 
+    def settle(self, t: int, k: int, starts: np.ndarray, text: np.ndarray, best: dict) -> None:
+        """The exact distance of item k to the text at all its windows, unless an unedited copy is known."""
+        n, limit = int(self.length[k]), int(self.edits[k])
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > n + limit) + 1):
+            had = best.get((t, k))
+            if had and had[2] == 0:
+                return
+            low = int(run[0])
+            cost, end = self.distance(k, text[low : int(run[-1]) + n + limit].tolist())
+            if cost <= limit and (had is None or cost < had[2]):
+                best[t, k] = (max(low, low + end - n), low + end, cost)
+
 
 def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of BLOCK, by id; each block is read on its own."""
