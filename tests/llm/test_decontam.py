@@ -66,6 +66,11 @@ def test_long_items():
         assert [(item, cost) for item, _, _, cost in leaks] == [(k, distance(items[k], body))]
 
 
+def test_repeated_one_word_items():
+    tables = decontam.Tables(list(enumerate(decontam.item_words([b"Foo", b"foo", b"bar", b"foo"]))))
+    assert tables.scan([b"a FOO and foo", b"none"]) == [[(0, 1, 2, 0), (1, 1, 2, 0), (3, 1, 2, 0)], []]
+
+
 def test_queries(spark):
     rng, vocab, items = make(2, 20)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (92, "lone"), (93, "two words"), (3, " ".join(items[3]))], "item_id long, text string")

@@ -75,7 +75,10 @@ class Tables:
         edits = (edit_share * self.length).astype(np.int64)
         self.edits = np.where(self.length - 1 - 2 * edits > 0, edits, 0)
         self.least = self.length - 1 - 2 * self.edits
-        self.single = {int(w[0]): k for k, (_, w) in enumerate(self.items) if len(w) == 1}
+        self.single: dict[int, list[int]] = defaultdict(list)  # one-word items by word
+        for k, (_, w) in enumerate(self.items):
+            if len(w) == 1:
+                self.single[int(w[0])].append(k)
         self.masks: list[dict[int, int]] = []
         for _, w in self.items:
             mask: dict[int, int] = defaultdict(int)
@@ -176,10 +179,11 @@ class Tables:
                 for t, k, starts in self.places(value, first):
                     held.setdefault(i + t, value[first[t] : first[t + 1]].copy())
                     rows.append((i + t, k, starts))
-            for x, k in self.single.items():
+            for x, same in self.single.items():
                 for w in np.flatnonzero(value == np.uint64(x)):
                     t = int(np.searchsorted(first, w, side="right")) - 1
-                    best.setdefault((i + t, k), (int(w - first[t]), int(w - first[t]) + 1, 0))
+                    for k in same:
+                        best.setdefault((i + t, k), (int(w - first[t]), int(w - first[t]) + 1, 0))
         if rows:
             text, item = (np.concatenate([np.full(len(g[2]), g[c]) for g in rows]) for c in (0, 1))
             start = np.concatenate([g[2] for g in rows])
