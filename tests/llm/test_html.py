@@ -40,3 +40,11 @@ def test_style_tree(spark):
     assert by[3].text == "Text number 3 is its own." and by[103].text == "Our site\n\nText number 1 is its own."
     assert by[200].text == "" and by[None].text == "é" and by[202].n_chars == 199_999
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def test_shared_headings_of_articles(spark):
+    # most pages of a host share their heading; neither it nor the others' own headings are boilerplate
+    page = lambda k, h: f'<body><div class="top"><p>Brand</p></div><article><h1>{h}</h1><p>Text number {k} is its own.</p></article></body>'
+    rows = [(k, f"http://a.org/{k}", page(k, "A series" if k < 18 else f"Title {k}")) for k in range(20)]
+    out = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"{'A series' if k < 18 else f'Title {k}'}\n\nText number {k} is its own." for k in range(20)}

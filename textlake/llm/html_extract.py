@@ -5,7 +5,8 @@ footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go
 merged: an element is known by its path of tags and classes. Its presentation importance is the entropy, over the host's
 distinct pages, of the tag sequences below it, its content importance that of the texts below it, both from 0 (the same on
 every page) to 1 (different on every page). Branches whose composite importance is under LIMIT are removed from
-each page. Only hosts with MIN_PAGES pages of different text tell anything; article elements themselves, and all text of a page, never go.
+each page. Only hosts with MIN_PAGES pages of different text tell anything; nothing below an article element goes, as edited copies
+and series share headings and passages, nor all text of a page.
 
 Statistics are counts by (host, path, digest) with partial aggregation, so a host with a third of the pages is no
 single task; the table of removed branches is joined back by broadcast if small, else by a shuffled join.
@@ -198,6 +199,8 @@ def _digest(parts: list[str]) -> int:
 def extract(page: str, removed: frozenset[int] = frozenset()) -> str:
     tree = parse(page)
     tops = roots(tree)
+    if tops[0].tag == "article":
+        removed = frozenset()
     blocks = [b for top in tops for b in walk(top, removed)]
     if removed and not blocks:  # all of a page's text is never boilerplate
         blocks = [b for top in tops for b in walk(top, frozenset())]
