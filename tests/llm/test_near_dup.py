@@ -65,6 +65,27 @@ def test_against_brute_force(spark):
     assert none.component_id is None and none.kept
 
 
+def test_single_links_in_a_crowded_family(spark, monkeypatch):
+    """Classes with one true link, in a family that regions of this size cannot hold."""
+    monkeypatch.setattr(near_dup, "REGION", 4)
+    monkeypatch.setattr(near_dup, "CELL", 20_000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+
+    def edit(words, k):
+        out = list(words)
+        for at in rng.sample(range(len(out)), k):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    family = [edit(base, 2) for _ in range(300)]
+    texts = family + [edit(w, 7) for w in family[:60]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want, sizes = components(docs)
+    out = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(d, n, c) for (d, _), n, c in zip(docs, sizes, want, strict=True)]
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

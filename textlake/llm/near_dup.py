@@ -8,6 +8,10 @@ with the longest common prefixes. Candidates come in three rounds: first neighbo
 and every crowded region's hub, then each class's best match in other components of its regions, then all members of
 a region that are in different components still; signatures must agree. Links are confirmed on full sets. Work per class and tree is bounded by REGION.
 
+What that bound leaves out is made up for last: classes that meet in regions crowded at the first depth are a family, and in
+every family with more than one component, all classes outside its largest component are held against all of its classes by
+full sets, in a grid of cells of at most about CELL shingles a side.
+
 Defined results: null or blank text -> n_shingles 0, linked with nothing, component_id its own doc_id. Rows that
 repeat a doc_id are one document: they share a component (n_shingles is of the row). A null doc_id gets
 component_id null and is kept, but takes no part in linking. Extra columns are ignored. An empty table gives no rows.
@@ -30,6 +34,8 @@ from .store import keyed_join, limit_batches, materialise, release
 from .words import chunks, grams, hashed, mix
 
 VALUES, TREES, REGION = 128, 32, 192
+#: Shingles on each side of a cell of the last round.
+CELL = 500_000
 #: Depths at which a crowded region is cut; the last is the whole signature.
 DEPTHS = (4, 8, 14, 24, 40, 128)
 #: Trees whose neighbours and hubs make the first round of candidates.
@@ -168,6 +174,99 @@ def _confirm(percent: int):
     return run
 
 
+class _Cell:
+    """Classes outside a family's largest component, as an index from shingles to them; links() holds others against them."""
+
+    def __init__(self, docs: list[int], comps: list[int], sets: list[np.ndarray], percent: int):
+        self.docs, self.percent = docs, percent
+        self.size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.shingles, begin = np.unique(flat[order], return_index=True)
+        self.begin = np.append(begin, len(flat))
+        names, self.comp = np.unique(np.array(comps, np.int64), return_inverse=True)
+        self.names = names.tolist()
+        self.number = {c: k for k, c in enumerate(self.names)}
+        self.root = np.arange(len(self.names))  # of every component, the one it is linked to here
+
+    def links(self, doc: int, comp: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        if comp not in self.number:
+            self.number[comp] = len(self.names)
+            self.names.append(comp)
+            self.root = np.append(self.root, self.number[comp])
+        mine = self.number[comp]
+        if (self.root[self.comp] == self.root[mine]).all():
+            return
+        at = np.searchsorted(self.shingles, own)
+        at[at == len(self.shingles)] = 0
+        at = at[self.shingles[at] == own]
+        many = self.begin[at + 1] - self.begin[at]
+        spot = np.repeat(self.begin[at] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
+        both = np.bincount(self.owner[spot], minlength=len(self.docs))
+        for k in np.flatnonzero((both > 0) & (100 * both >= self.percent * (len(own) + self.size - both))).tolist():
+            one, two = self.root[self.comp[k]], self.root[mine]
+            if one != two:
+                self.root[self.root == one] = two
+                yield min(doc, self.docs[k]), max(doc, self.docs[k])
+
+
+def _cells(percent: int):
+    """Rows (cell, other, doc, comp, shingles), sorted by cell and other -> links between components, enough to join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, cell = None, [], None
+        for batch in batches:
+            found = []
+            for key, other, doc, comp, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != now:
+                    now, rest, cell = key, [], None
+                own = np.frombuffer(own, np.uint64)
+                if not other:
+                    rest.append((doc, comp, own))
+                elif rest:
+                    cell = cell or _Cell(*map(list, zip(*rest, strict=True)), percent)
+                    found += cell.links(doc, comp, own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between components whose classes meet in crowded regions; None if no family has two components.
+
+    crowded: (region, doc); comps: (node, comp), of linked classes at least; sizes: (doc, n_shingles) of all classes.
+    """
+    crowded = crowded.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = crowded.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("region")
+    crowded = materialise(crowded.join(mixed, "region").select("region", "doc"), "crowded")
+    n = crowded.count()
+    if not n:
+        return None
+    hubs = crowded.groupBy("region").agg(F.min("doc").alias("hub"))
+    families = components(crowded.join(hubs, "region").where("doc <> hub").select(F.col("doc").alias("u"), F.col("hub").alias("v")), n)
+    named = families.select(F.col("node").alias("doc"), F.col("comp").alias("family")).join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    named = materialise(named.join(sizes, "doc"), "families", n)
+    parts = named.groupBy("family", "comp").agg(F.sum("n_shingles").alias("held"))
+    # a grid of cells: classes outside the largest component by all classes
+    grid = parts.groupBy("family").agg(F.max_by("comp", F.struct("held", "comp")).alias("largest"), F.max("held").alias("most"), F.sum("held").alias("held"), F.count("*").alias("k")).where("k > 1")
+    grid = materialise(grid.select("family", "largest", F.ceil((F.col("held") - F.col("most")) / CELL).cast("int").alias("rests"), F.ceil(F.col("held") / CELL).cast("int").alias("others")), "grid", n)
+    if grid.isEmpty():
+        return None
+    rows = keyed_join(named, grid, "family", "inner").withColumn("rest", F.pmod(F.xxhash64("doc"), F.col("rests")).cast("int")).withColumn("other", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("others")).cast("int"))
+    keep = rows.where("comp <> largest").select("family", "doc", "comp", "rest", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(False).alias("side"))
+    meet = rows.select("family", "doc", "comp", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), "other", F.lit(True).alias("side"))
+    ids = materialise(rows.select(F.col("doc").alias("doc_id")), "ids", n)
+    sets = materialise(keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    own = sets.dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "doc")  # rows that repeat an id can have several
+    both = keep.unionByName(meet).withColumn("cell", F.xxhash64("family", "rest", "other")).join(own, "doc")
+    both = both.repartition("cell").sortWithinPartitions("cell", "side").select("cell", "side", "doc", "comp", "shingles")
+    out = materialise(both.mapInArrow(_cells(percent), "a long, b long"), "links")
+    release(crowded, families, named, grid, ids, sets)
+    return out
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose full shingle sets have that similarity."""
     n = pairs.count()
@@ -180,6 +279,13 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _joined(comps: DataFrame, links: DataFrame | None, ties: DataFrame | None = None) -> DataFrame:
+    edges, n = comps.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")), comps.count()
+    if links is not None:
+        edges, n = edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), n + links.count()
+    return components(edges, n) if ties is None else components(edges.unionByName(ties))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -228,8 +334,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         more = confirm(docs, pairs, percent)
         tested = tested.unionByName(pairs)
         # a component so far is a star around its smallest member
-        edges = comps.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comps = components(edges if best else edges.unionByName(ties), None if not best else comps.count() + more.count())
+        comps = _joined(comps, more)
+    dense = levels[0].where(F.col("n") > REGION).select("region", "doc")
+    more = _families(docs, dense, comps, known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc"), percent)
+    comps = _joined(comps, more, ties)
 
     by_class = classes.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("set_key", F.coalesce("comp", "doc").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
