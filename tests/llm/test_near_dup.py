@@ -1,5 +1,6 @@
 """Near-duplicates against brute-force components, with a crowded region."""
 
+import math
 import random
 import re
 
@@ -86,6 +87,12 @@ def test_single_links_in_a_crowded_family(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(d, n, c) for (d, _), n, c in zip(docs, sizes, want, strict=True)]
 
 
+def test_signature_filter_loses_under_one_in_a_billion():
+    n = near_dup.VALUES
+    need = math.ceil((0.85 - near_dup.SLACK) * n)
+    assert sum(math.comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(need)) < 1e-9
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

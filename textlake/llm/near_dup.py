@@ -40,8 +40,8 @@ CELL = 500_000
 DEPTHS = (4, 8, 14, 24, 40, 128)
 #: Trees whose neighbours and hubs make the first round of candidates.
 FIRST_TREES = 4
-#: Estimated similarity from which a pair of the later rounds is confirmed: four standard errors below the threshold.
-SLACK = 0.13
+#: How far below the threshold the estimated similarity of a pair of the later rounds may be: a true pair is lost with under 1e-10.
+SLACK = 0.24
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
