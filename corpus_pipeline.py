@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near-duplicates."""
-    return near_dup.keep_one(docs)
+    """One document, that of the smallest id, of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dup.keep_one(docs, percent=80, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

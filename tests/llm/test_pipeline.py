@@ -38,3 +38,11 @@ def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_dedup_drops_copies_with_an_added_block(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words[:100])), (2, " ".join(words)), (3, "another text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]

@@ -1,6 +1,6 @@
 """MinHash near-duplicates by an LSH forest.
 
-A document's set holds the hashes of its distinct 3-word shingles (A-Z lower-cased); with one or two words
+A document's set holds the hashes of its distinct shingles of width words (A-Z lower-cased), 3 unless asked for; with fewer words
 the whole sequence is one shingle. Documents with equal sets are one class. Classes get a MinHash signature,
 and the forest orders them by several permutations of it (the trees). In every tree, a region is the classes that share a
 prefix of the order: it is deepened where it is crowded, so each ends with at most REGION classes, which are those
@@ -76,19 +76,25 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, keys, sigs = [], [], []
-        for s in shingle_sets(_utf8(batch.column(1))):
-            n.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+def _sketch(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, sigs = [], [], []
+            for s in shingle_sets(_utf8(batch.column(1)), width):
+                n.append(len(s))
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sigs.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(_utf8(batch.column(1)))], pa.binary())], ["doc_id", "shingles"])
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(_utf8(batch.column(1)), width)], pa.binary())], ["doc_id", "shingles"])
+
+    return run
 
 
 def _regions(depth: int):
@@ -233,7 +239,7 @@ def _cells(percent: int):
     return run
 
 
-def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame | None:
+def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int, width: int) -> DataFrame | None:
     """Links (a, b) between components whose classes meet in crowded regions; None if no family has two components.
 
     crowded: (region, doc); comps: (node, comp), of linked classes at least; sizes: (doc, n_shingles) of all classes.
@@ -258,7 +264,7 @@ def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: Data
     keep = rows.where("comp <> largest").select("family", "doc", "comp", "rest", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(False).alias("side"))
     meet = rows.select("family", "doc", "comp", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), "other", F.lit(True).alias("side"))
     ids = materialise(rows.select(F.col("doc").alias("doc_id")), "ids", n)
-    sets = materialise(keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = materialise(keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
     own = sets.dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "doc")  # rows that repeat an id can have several
     both = keep.unionByName(meet).withColumn("cell", F.xxhash64("family", "rest", "other")).join(own, "doc")
     both = both.repartition("cell").sortWithinPartitions("cell", "side").select("cell", "side", "doc", "comp", "shingles")
@@ -267,11 +273,11 @@ def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: Data
     return out
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int = 3) -> DataFrame:
     """The pairs (a, b) of documents whose full shingle sets have that similarity."""
     n = pairs.count()
     ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids", 2 * n)
-    sets = materialise(keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = materialise(keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     out = materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links", 10 * n)
@@ -286,12 +292,12 @@ def _joined(comps: DataFrame, links: DataFrame | None, ties: DataFrame | None =
     return components(edges, n) if ties is None else components(edges.unionByName(ties))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     limit_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialise(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
+    sketches = materialise(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
     known = sketches.where("doc_id is not null and set_key is not null")
     n = sketches.count()
     classes = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("doc")), "classes", n)
@@ -317,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = members.where(F.col("tree") < FIRST_TREES).withColumn("before", F.lag("doc").over(order)).where("before <> doc")
     first = first.unionByName(near.select(F.least("doc", "before").alias("a"), F.greatest("doc", "before").alias("b")))
     first = materialise(first.distinct(), "first", n_live)
-    links = confirm(docs, first, percent)
+    links = confirm(docs, first, percent, width)
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), links.count())
     # rows that repeat an id with other words tie their classes
     twice = known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").select("doc_id")
@@ -331,12 +337,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         rows = named.join(mixed, "region").join(heads, "doc").repartition("region").sortWithinPartitions("region", "doc").select("region", "doc", "comp", "sig")
         pairs = rows.mapInArrow(_across(percent / 100 - SLACK, best), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs", n_live)
-        more = confirm(docs, pairs, percent)
+        more = confirm(docs, pairs, percent, width)
         tested = tested.unionByName(pairs)
         # a component so far is a star around its smallest member
         comps = _joined(comps, more)
     dense = levels[0].where(F.col("n") > REGION).select("region", "doc")
-    more = _families(docs, dense, comps, known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc"), percent)
+    more = _families(docs, dense, comps, known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc"), percent, width)
     comps = _joined(comps, more, ties)
 
     by_class = classes.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("set_key", F.coalesce("comp", "doc").alias("component_id"))
@@ -345,7 +351,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     """The rows of docs but those linked to a document of a smaller id, with all their columns."""
-    gone = materialise(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "gone", docs.count())
+    gone = materialise(near_duplicates(docs, percent, width).where("not kept").select("doc_id").distinct(), "gone", docs.count())
     return keyed_join(docs, gone, "doc_id", "left_anti")
