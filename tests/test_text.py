@@ -98,3 +98,14 @@ def test_measures_agree_with_python(spark, texts):
         assert r.rep == pytest.approx(1 - len(set(lines)) / len(lines) if lines else 0)
         assert r.len == pytest.approx(sum(map(len, words)) / len(words) if words else 0)
         assert r.sym == len(re.findall(r"[#|<>{}\[\]\\]", r.text))
+
+
+def test_clean_with_mojibake_repair(spark):
+    from pyspark.sql import functions as F
+
+    from textlake.operators import cleaning
+
+    docs = spark.createDataFrame([("CafÃ©  au lait", "Ã©t")], "text string, title string")
+    fix = lambda c: F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
+    assert tuple(cleaning.clean(docs, repair=fix).first())[:2] == ("Café au lait", "ét")
+    assert cleaning.clean(docs).first().text == "CafÃ© au lait"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -12,11 +13,12 @@ from ..config import MAX_REPETITION, MAX_SPAM_DENSITY, MIN_WORDS
 from ..functions import text as T
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """Clean text (and title, if there) and add word_count."""
-    out = docs.withColumn("text", T.clean_text(F.coalesce("text", F.lit(""))))
+def clean(docs: DataFrame, repair: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Clean text (and title, if there) and add word_count; repair: mojibake repair, done before all else, none by default."""
+    repair = repair or (lambda c: c)
+    out = docs.withColumn("text", T.clean_text(repair(F.coalesce("text", F.lit("")))))
     if "title" in docs.columns:
-        out = out.withColumn("title", T.clean_text(F.col("title")))
+        out = out.withColumn("title", T.clean_text(repair(F.col("title"))))
     return out.withColumn("word_count", T.count_words(F.col("text")))
 
 
