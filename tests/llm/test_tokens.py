@@ -1,6 +1,7 @@
 """BPE by dynamic programming and ORC files of token ids against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -28,11 +29,30 @@ def test_encode(library):
     fast = token_orc.library_encoder(pieces.default_vocabulary())
     for t in texts():
         ids = library.encode(t or "", add_special_tokens=False).ids
-        for encode in (model.encode, fast.ids):
-            assert np.frombuffer(encode(t or ""), "<u4").tolist() == ids
+        for packed in (model.encode(t or ""), *fast([t or ""])):
+            assert np.frombuffer(packed, "<u4").tolist() == ids
         assert model.decode(model.encode(t or "")) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_memory_of_pieces_is_bounded():
+    asked = []
+    encoder = pieces.PieceEncoder(lambda p: asked.append(p) or p.encode(), {}, 10)
+    for k in range(1000):
+        assert encoder.ids(f" often w{k}") == f" often w{k}".encode()
+        assert len(encoder.memo) + len(encoder.memo.old) <= 10
+    assert asked.count(" often") == 1
+    assert encoder.ids("y" * 1000) == b"y" * 1000 and "y" * 1000 not in encoder.memo
+
+
+def test_other_files_go_through_the_library_whole(tmp_path, library):
+    spec = json.loads(library.to_str())
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(spec))
+    lower = Tokenizer.from_file(str(tmp_path / "lower.json"))
+    for t in texts():
+        assert np.frombuffer(token_orc.library_encoder(str(tmp_path / "lower.json"))([t or ""])[0], "<u4").tolist() == lower.encode(t or "", add_special_tokens=False).ids
+
+
 def frame(spark):
     rows = [(i * 2, t, "x") for i, t in enumerate(texts())]
     return rows, spark.createDataFrame([*rows, (4, "again", "x"), (None, "none", "x")], "doc_id long, text string, ids string")

@@ -26,6 +26,8 @@ from .store import limit_batches
 
 #: Compatibility tests that a worker remembers at most.
 PAIRS = 1_000_000
+#: Pieces that a worker remembers at most: about 60 MB; in the pipeline, memory is shared with other stages.
+PIECES = 400_000
 
 _models: dict[str, PrefixBpe] = {}
 
@@ -64,7 +66,7 @@ class PrefixBpe:
                 self.automaton.add_word(s.decode("latin-1"), (i, len(s)))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.encoder = PieceEncoder(self.encode_pieces, special)
+        self.encoder = PieceEncoder(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes(), special, PIECES)
 
     def compatible(self, left: int, right: int) -> bool:
         """BPE of left's and right's bytes is left, right: no merge across their border comes before the merges that close it off.
@@ -115,9 +117,6 @@ class PrefixBpe:
             n = start[n]
         return out[::-1]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        return [np.array(self.encode_piece(p), "<u4").tobytes() for p in pieces]
-
     def encode(self, text: str) -> bytes:
         return self.encoder.ids(text)
 

@@ -7,8 +7,10 @@ import re
 import regex
 import public_tokenizers
 
-#: Pieces whose ids a worker remembers at most: about 60 MB.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers at most, in two generations: about 150 MB.
+REMEMBERED = 1_000_000
+#: Longer pieces are not remembered.
+LONGEST = 64
 
 _GENERAL = regex.compile(public_tokenizers.PATTERN)
 # the same pattern on Latin-1 bytes: letters, numbers and white space of that range spelled out, and runs of letters, the most frequent, first
@@ -20,33 +22,46 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Memo(dict):
+    """Ids of pieces met lately, in two generations: a full young one becomes the old one, and what is met again moves back.
+
+    So frequent pieces stay, and memory is bounded whatever the texts hold. Latin-1 pieces are keys as bytes, others as strings.
+    """
+
+    def __init__(self, encode_piece, remembered: int):
+        self.encode_piece, self.half, self.old = encode_piece, max(1, remembered // 2), {}
+
+    def __missing__(self, piece: bytes | str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode_piece(piece if isinstance(piece, str) else piece.decode("latin-1"))
+        if len(piece) <= LONGEST:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
-    """text -> ids as packed little-endian unsigned 32-bit integers, by way of `encode_new`, which takes new pieces as UTF-8 bytes."""
+    """text -> ids as packed little-endian unsigned 32-bit integers, by way of `encode_piece`, which takes a new piece."""
 
-    def __init__(self, encode_new, specials: dict[str, int], remembered: int = REMEMBERED):
-        self.encode_new, self.remembered = encode_new, remembered
+    def __init__(self, encode_piece, specials: dict[str, int], remembered: int = REMEMBERED):
+        self.memo = _Memo(encode_piece, remembered)
         self.specials = {s: i.to_bytes(4, "little") for s, i in specials.items()}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
-        self.latin: dict[bytes, bytes] = {}
-        self.general: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         try:
-            raw, known = text.encode("latin-1"), self.latin
-            found = _LATIN.findall(raw)
-            utf8 = lambda p: p.decode("latin-1").encode()
+            found = _LATIN.findall(text.encode("latin-1"))
         except UnicodeEncodeError:
-            known, found, utf8 = self.general, _GENERAL.findall(text), str.encode
-        if len(known) > self.remembered:
-            known.clear()
-        out = list(map(known.get, found))
-        if None in out:
-            new = list({p for p, ids in zip(found, out, strict=True) if ids is None})
-            known.update(zip(new, self.encode_new([utf8(p) for p in new]), strict=True))
-            out = [known[p] for p in found]
-        return b"".join(out)
+            found = _GENERAL.findall(text)
+        return b"".join(map(self.memo.__getitem__, found))
 
     def ids(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.specials):
             return self._ids(text)
         return b"".join(self.specials.get(part) or self._ids(part) for part in self.cut.split(text) if part)
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(x) for x in texts]

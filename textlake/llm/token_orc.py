@@ -5,16 +5,17 @@ and its place in it. Readers work on stripes in parallel, and point lookups skip
 statistics and Bloom filters. Where a document starts in the whole sequence follows from the sums of the
 parts before its own and of the rows before it in its part.
 
-Ids are those of the tokenizers library, asked once for each piece that a worker has not met lately. Every document ends
+Ids are those of the tokenizers library, whose merges are asked for pieces that a worker has not met lately. Every document ends
 with END. Defined results: a null text has END alone; rows that repeat a doc_id follow each other; null ids come
 first. Extra columns are ignored. An empty table gives an empty folder and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,38 +31,69 @@ from .store import limit_batches, materialise, scratch_path
 END = 0
 SCHEMA = "doc_id long, part int, pos long, ids array<int>"
 ROW_STRIDE, STRIPE_BYTES = 1000, 32 << 20
-#: Pieces whose ids a worker remembers at most: about 200 MB.
-REMEMBERED = 1_000_000
+#: Rows that the ORC reader decodes at a time.
+READ_ROWS = 256
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
-def library_encoder(path: str) -> PieceEncoder:
-    """One for each worker and vocabulary."""
+def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """texts -> packed ids, as the library encodes whole texts; one for each worker and vocabulary.
+
+    Where the file asks for nothing but byte-level splitting, pieces are split here and the library's merges asked for new ones only;
+    files with a normalizer, another splitter, or other special rules go through the library whole.
+    """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        _encoders[path] = _by_piece(tokenizer).ids_of if _plain(spec) else _whole(tokenizer)
+    return _encoders[path]
 
-        # pieces are already split, so the library's merges alone are asked for, on the letters that stand for bytes
-        merge, letters = tokenizer.model.tokenize, {b: c for c, b in byte_letters().items()}
-        packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
-        def new(pieces: list[bytes]) -> list[bytes]:
-            return [b"".join([packed[t.id] for t in merge(p.decode("latin-1").translate(letters))]) for p in pieces]
+def _plain(spec: dict) -> bool:
+    """The file is byte-level BPE with the usual splitting, and nothing else changes its ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")
+    splits = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    marks = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens", ()))
+    return model.get("type") == "BPE" and not odd and spec.get("normalizer") is None and splits and marks
 
-        _encoders[path] = PieceEncoder(new, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, REMEMBERED)
-    return _encoders[path]
+
+def _whole(tokenizer):
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return ids_of
+
+
+def _by_piece(tokenizer) -> PieceEncoder:
+    merge, letters = tokenizer.model.tokenize, {b: c for c, b in byte_letters().items()}
+    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    blank = letters[32]
+
+    def new(piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalnum() and piece[0] == " ":  # most pieces
+            word = blank + piece[1:]
+        else:
+            word = piece.encode().decode("latin-1").translate(letters)
+        return b"".join([packed[t.id] for t in merge(word)])
+
+    return PieceEncoder(new, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
 
 
 def _encoder(path: str):
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, pos = library_encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, pos = library_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encoder.ids(x or "") + end for x in batch.column(1).to_pylist()]
+            ids = [x + end for x in encode([x or "" for x in batch.column(1).to_pylist()])]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
@@ -75,11 +107,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     limit_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
     out = rows.mapInArrow(_encoder(vocabulary or default_vocabulary()), SCHEMA)
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "lz4"}
     out.write.options(**options).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the files; a batch of the reader is READ_ROWS documents, whose ids it unpacks."""
+    spark.conf.set("spark.sql.orc.columnarReaderBatchSize", str(READ_ROWS))
     return spark.read.schema(SCHEMA).orc(path)
 
 
@@ -89,10 +123,12 @@ def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoders.clear()  # the worker may have encoded before
     for batch in batches:
         lists = batch.column(3)
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        offsets = lists.offsets.to_numpy()
+        held = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+        crc = [zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "pos", "n_tokens", "ids_crc32"])
 
 
