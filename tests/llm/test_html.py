@@ -1,4 +1,9 @@
-"""HTML extraction: structure, references, the style tree, edge cases."""
+"""HTML extraction: structure, references, the style tree against brute force, edge cases."""
+
+import math
+import time
+import tracemalloc
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -19,17 +24,28 @@ from textlake.llm import html_extract as H
         ("<table><tr><td>1<td>2</table>", "1\n\n2"),
         ('<p>a <img alt = "x > y" src=z>b <a title=">">c</a> it"s <!-- > -->d<!doctype x>', 'a b c it"s d'),
         ("<article><p>a</article><div>between</div><article><p>b</article>", "a\n\nb"),
+        ('<article><p>a</p><article class="comment"><p>reader says</p></article></article>', "a"),
+        ('<article><p>a</p></article><article class="comment"><p>reader says</p></article>', "a"),
+        ("<article><article><p>a</p></article></article>", "a"),
+        ('<article><p class="notice-board">a</p><p class="search-result">b</p><p class="share-price" data-id="ad">c</p><div class="ad x">d</div></article>', "a\n\nb\n\nc"),
+        ('<p>a<p>b <a href="http', "a\n\nb"),
+        ('<p class="x>a</p><p>b</p>', "a\n\nb"),
+        ("<p>a<!-- never closed <p>b", "a"),
+        ("<p>a</b></article></span>b", "ab"),
     ],
 )
 def test_extract(page, text):
     assert H.extract(page) == text
 
 
+def body(k):
+    return f'<body><div class="brand"><p>Our site</p></div><div class="x"><p>Text number {k} is its own.</p></div></body>'
+
+
 def test_style_tree(spark):
-    body = lambda k: f'<body><div class="brand"><p>Our site</p></div><div class="x"><p>Text number {k} is its own.</p></div></body>'
     rows = [(k, "http://a.org/%d" % k, body(k)) for k in range(8)] + [(100 + k, "http://b.org/%d" % k, body(1)) for k in range(8)]
     rows += [(200, None, None), (201, "u", ""), (0, "http://a.org/0", body(0)), (None, "http://c.org", "<article><p>é</p></article>"), (202, "http://a.org/z", "<p>" + "w " * 100_000)]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, host string")
     out = H.main_text(pages).collect()
     assert len(out) == len(rows)
     by = {}
@@ -42,9 +58,93 @@ def test_style_tree(spark):
     assert H.main_text(pages.limit(0)).count() == 0
 
 
+def test_large_judgements_take_a_shuffled_join(spark, monkeypatch):
+    rows = [(k, f"http://{h}.org/{k}", body(k)) for h in "ab" for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, H.main_text(pages).collect()))
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, H.main_text(pages).collect())) == want
+
+
 def test_shared_headings_of_articles(spark):
     # most pages of a host share their heading; neither it nor the others' own headings are boilerplate
     page = lambda k, h: f'<body><div class="top"><p>Brand</p></div><article><h1>{h}</h1><p>Text number {k} is its own.</p></article></body>'
     rows = [(k, f"http://a.org/{k}", page(k, "A series" if k < 18 else f"Title {k}")) for k in range(20)]
     out = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {k: f"{'A series' if k < 18 else f'Title {k}'}\n\nText number {k} is its own." for k in range(20)}
+
+
+def test_unnamed_boilerplate_goes_and_sections_stay(spark):
+    # menus, adverts and footers are plain div elements whose words differ from page to page; a second long section is text
+    words = lambda k, n: " ".join(f"w{(k * 7919 + i * 31) % 1009}" for i in range(n))
+    page = lambda k: f'<body><div class="q1"><ul><li>{words(k, 1)}<li>{words(k + 1, 1)}</ul></div><div class="q2">{words(k + 2, 6)}</div><h1>{words(k + 3, 4)}</h1><div class="q3">{"".join(f"<p>{words(k + i, 30)}</p>" for i in range(3 + k % 5))}<div class="q5">{words(k + 5, 5)}</div></div><div class="q4"><p>{words(k + 9, 60)}</p></div><div class="q6">© {words(k + 4, 7)}</div></body>'
+    out = H.main_text(spark.createDataFrame([(k, f"http://a.org/{k}", page(k)) for k in range(12)], "page_id long, url string, html string")).collect()
+    for r in out:
+        k = r.page_id
+        assert r.text == "\n\n".join([words(k + 3, 4), *(words(k + i, 30) for i in range(3 + k % 5)), words(k + 5, 5), words(k + 9, 60)])
+
+
+def test_the_tree_decides_on_pages(spark):
+    """Switched off, every page of a judged host has other text."""
+    import os
+
+    at = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(at)
+    out = {r.page_id: r.text for r in H.main_text(rows).collect()}
+    judged = {r.host for r in H.judge(H.style_tree(rows.selectExpr("lower(regexp_extract(url, '://([^/?#]*)', 1)) as host", "html"))).collect()}
+    nothing, changed, of = H.Judgement([], [], 0), 0, 0
+    for r in rows.collect():
+        if r.url.split("/")[2].lower() in judged:
+            of += 1
+            changed += H.extract(r.html, nothing) != out[r.page_id]
+    assert of > 100 and changed == of
+
+
+def test_tree_against_brute_force(spark):
+    pages = [("a", body(k % 5) if k % 3 else f'<body><div class="x"><p>t{k}</p><p>u</p></div><b>z</b></body>') for k in range(30)] + [("b", body(k)) for k in range(3)]
+    seen = defaultdict(dict)
+    for host, page in pages:  # plainly: every block element's path, shape and text
+        texts = defaultdict(list)
+
+        def visit(node, path, texts=texts):
+            kids = [visit(k, f"{path}/{k.tag}.{sorted(k.names)}") if not isinstance(k, str) else ("", k, 0) for k in node.kids]
+            shape, text = f"<{node.tag}{''.join(k[0] for k in kids)}>", "".join("".join(k[1].split()) for k in kids)
+            if (node.tag in H.BLOCK or path == "") and text:
+                texts[node.key].append((shape, text, sum(k[2] for k in kids)))
+            return shape, text, int(node.tag in H.BLOCK)
+
+        whole = visit(H.parse(page), "")[1]
+        for key, found in texts.items():
+            seen[host, key][tuple(f[0] for f in found), tuple(f[1] for f in found), whole] = sum(f[2] for f in found)
+
+    def entropy(values):
+        counts, n = Counter(values), len(values)
+        return -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 1.0
+
+    got = {(r.host, r.path): r for r in H.style_tree(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert set(got) == set(seen) and len(got) > 8
+    for key, found in seen.items():
+        r, shapes, texts = got[key], [f[0] for f in found], [f[1] for f in found]
+        share = H.DECAY ** (sum(found.values()) / len(found))
+        assert r.pages == len(found)
+        assert r.presentation == pytest.approx(entropy(shapes), abs=1e-9) and r.content == pytest.approx(entropy(texts), abs=1e-9)
+        assert r.importance == pytest.approx((1 - share) * entropy(shapes) + share * entropy(texts), abs=1e-9)
+        assert r.told == pytest.approx(entropy(texts) * sum(len("".join(t)) for t in texts), rel=1e-9)
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class=a>x", "<a ", '<a x="', "<a x='>", "<!--", "</span>", "<span><article><div></span>", "<p><b>", "<li><div>", "<table><td>", "<", "&", "<a x=y"])
+def test_bad_pages_take_linear_time(part):
+    page = part * 50_000
+    began = time.process_time()
+    H.measures(H.parse(page))
+    H.extract(page)
+    assert time.process_time() - began < 20
+
+
+def test_deep_pages_take_linear_memory():
+    tracemalloc.start()
+    H.measures(H.parse("<div>" * 100_000 + "x"))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()

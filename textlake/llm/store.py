@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows of one or two longs (32 MB of keys).
 BROADCAST_ROWS = 1_000_000
+#: What a broadcast table of known bytes holds at most.
+BROADCAST_BYTES = 16 << 20
 #: Narrow rows that one task writes easily.
 TASK_ROWS = 100_000
 #: Arrow batches: rows and bytes at most.
