@@ -1,8 +1,11 @@
 """Secret scans against a Python scanner."""
 
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 from textlake.llm import secret_scan as S
 
@@ -51,6 +54,64 @@ def test_entropy_and_redaction(spark):
     assert out[4].text == 'a [SECRET]" b' and S.redact(df).columns == df.columns
 
 
+def hot(text, found):
+    """Entropy spans, window by window, that overlap no base span."""
+    out = []
+    for m in re.finditer(S.CANDIDATE, text):
+        c = m[0]
+        if re.search(S.ALLOW, c):
+            continue
+        limit = S.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", c) else "mixed"]
+        at = []
+        for i in range(len(c) - S.WINDOW + 1):
+            n = Counter(c[i : i + S.WINDOW]).values()
+            if -sum(k / S.WINDOW * math.log2(k / S.WINDOW) for k in n) >= limit - 1e-9:
+                at.append(i)
+        if at:
+            span = m.start() + at[0], m.start() + at[-1] + S.WINDOW
+            if not any(a < span[1] and span[0] < b for _, a, b in found):
+                out.append(("entropy", *span))
+    return out
+
+
+def replaced(text, spans):
+    out, at = "", 0
+    for _, a, b in sorted(spans, key=lambda s: (s[1], S.KINDS.index(s[0]))):
+        if a >= at:
+            out += text[at:a] + S.REDACTED
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_entropy_spans_and_redaction_against_brute_force(spark):
+    rng = random.Random(8)
+    kinds = ["0123456789abcdef", S.SIGNS, "ab01", "ABCDEFGH1", "aaaaaaaaab1"]
+    part = lambda: "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(5, 60))) if rng.random() < 0.6 else rng.choice(PARTS)
+    texts = [rng.choice(["", "\ufeff", "😀é "]) + "".join(part() + rng.choice([" ", "", "\n", "\ufeff"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned, cut, seen = {r.doc_id: r.spans for r in S.scan(df).collect()}, {r.doc_id: r.text for r in S.redact(df).collect()}, 0
+    for i, t in enumerate(texts):
+        found = base(t)
+        extra = hot(t, found)
+        seen += len(extra)
+        assert scanned[i] == joined(sorted(found + extra, key=lambda s: (s[1], S.KINDS.index(s[0]))))
+        assert cut[i] == replaced(t, found + extra)
+    assert seen > 100
+
+
+def test_many_matches_in_a_text(spark):
+    rng = random.Random(9)
+    text = " ".join("%016x%s" % (rng.getrandbits(64), "" if k % 4 else " kJ8sP2xQ9vL4mN7bR3tY6wZ1") for k in range(200_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = S.scan(df).first()
+    assert row.n_hex == 200_000 and row.base_sha256 == hashlib.sha256(joined(base(text)).encode()).hexdigest() and row.spans.count("entropy") == 50_000
+    assert S.redact(df).first().text == replaced(text, base(text) + [("entropy", m.start(), m.end()) for m in re.finditer("kJ8sP2xQ9vL4mN7bR3tY6wZ1", text)])
+    blob = "".join(rng.choice(S.SIGNS) for _ in range(500_000))
+    assert S.scan(spark.createDataFrame([(1, f"{blob} x")], "doc_id long, text string")).first().spans.startswith("entropy:")
+    assert time.time() - began < 120
+
+
 def test_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in S.scan(df)._jdf.queryExecution().toString()
