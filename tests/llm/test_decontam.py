@@ -1,6 +1,8 @@
 """Decontamination: exact leaks are all found, edited ones up to the limit with high recall, clean texts left alone."""
 
 import random
+import time
+import tracemalloc
 
 from textlake.llm import decontam
 
@@ -66,6 +68,42 @@ def test_long_items():
         assert [(item, cost) for item, _, _, cost in leaks] == [(k, distance(items[k], body))]
 
 
+def test_one_long_item_among_short_ones():
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(5000)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (50_000, *[20] * 200)]
+    texts = [edited(rng, items[0], 50, vocab), items[0], items[0][:30_000], [*items[7], "and", *items[9]], edited(rng, items[0], 11_000, vocab)]
+    began = time.process_time()
+    tracemalloc.start()
+    tables = decontam.Tables(list(enumerate(decontam.item_words([" ".join(w).encode() for w in items]))))
+    found = tables.scan([" ".join(w).encode() for w in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[(item, cost) for item, _, _, cost in leaks] for leaks in found[1:4]] == [[(0, 0)], [], [(7, 0), (9, 0)]]
+    assert [item for item, *_ in found[0]] == [0] and 30 < found[0][0][3] <= 50
+    assert peak < 400e6 and time.process_time() - began < 240, (peak, time.process_time() - began)
+
+
+def test_pairs_that_many_items_share(monkeypatch):
+    items = [["a", "b"] * 6 + [f"x{k}"] for k in range(200)]
+    texts = [" ".join(["a", "b"] * 500).encode(), " ".join([*items[5], "z", *items[150]]).encode()]
+    tables = decontam.Tables(list(enumerate(decontam.item_words([" ".join(w).encode() for w in items]))))
+    monkeypatch.setattr(decontam, "HITS", 1000)
+    few = tables.scan(texts)
+    monkeypatch.setattr(decontam, "HITS", 10**9)
+    assert few == tables.scan(texts) and len(few[0]) == 200 and [(i, c) for i, *_, c in few[1] if not c] == [(5, 0), (150, 0)]
+
+
+def test_blocks(spark, monkeypatch):
+    rng, vocab, items = make(6, 12)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"in {' '.join(w)} out") for k, w in enumerate(items[:6])] + [(99, "none here")], "doc_id long, text string")
+    whole = sorted(decontam.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    assert sorted(decontam.leaks(docs, bench).collect()) == whole and len(whole) == 6
+    assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [99]
+
+
 def test_repeated_one_word_items():
     tables = decontam.Tables(list(enumerate(decontam.item_words([b"Foo", b"foo", b"bar", b"foo"]))))
     assert tables.scan([b"a FOO and foo", b"none"]) == [[(0, 1, 2, 0), (1, 1, 2, 0), (3, 1, 2, 0)], []]

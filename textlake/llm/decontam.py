@@ -5,14 +5,16 @@ floor(edit_share * words) word edits of the item. For windows of an item's lengt
 (a symbol is put out again or the walk moves on, as a random function of step and symbol says) turns edit
 distance into Hamming distance; in each of WALKS walks, TABLES tables sample BITS positions, and a window that agrees with an item in one
 is a candidate. Candidates are confirmed by exact edit distance of the item to the best stretch around the window. Walks drift
-apart over long items, so where they show no unedited copy, the exact distance is taken over all windows that are left: no leak is missed.
+apart over long items, so positions are sampled from their first SPAN steps, and where they show no unedited copy, the exact distance is
+taken over all windows that are left: no leak is missed. Of stretches with equally few edits, the first is reported.
 
 Windows that cannot match are set aside before they are embedded, without loss: k edits leave at least n - 1 - 2k of an item's
 word pairs whole, so places with fewer of the items' pairs nearby hold no leak. Items of two words or fewer, and those for which
 that bound is 0 or less, only match exactly.
 
-Items are a stated query set: they go to the tasks in blocks of BLOCK, and every block meets all documents; nothing is
-shuffled but the leaks found.
+Items are a stated query set: they go to the tasks in blocks of BLOCK items and BLOCK_BYTES bytes or so, one on the driver at a time, and
+every block meets all documents; nothing is shuffled but the leaks found. What a task holds of a block is linear in its words; windows
+are embedded in arrays of CELLS words, whatever the lengths of items.
 
 Defined results: null or blank texts and items match nothing; repeated items or rows are reported for each; null ids are
 carried along. Extra columns are ignored by leaks() and kept by drop_leaks(). An empty table gives no rows.
@@ -29,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import limit_batches
+from .store import limit_batches, materialise, release
 from .words import chunks, grams, hashed, mix
 
 #: Word edits for each word of an item, at most: similarity 0.8 or more.
 EDIT_SHARE = 0.2
 #: Walks, tables sampled from each, and positions that a table samples.
 WALKS, TABLES, BITS = 10, 4, 4
-#: Items that a task holds at a time, and windows that it embeds at a time.
-BLOCK, WINDOWS = 5_000, 20_000
+#: Steps of a walk that positions are sampled from, at most.
+SPAN = 512
+#: Items, and bytes of their texts, that a task holds at a time.
+BLOCK, BLOCK_BYTES = 5_000, 4 << 20
+#: Words of the windows that are embedded at a time, (pair, item) hits that are looked at together, and bytes of masks that are kept.
+CELLS, HITS, MASK_BYTES = 2_000_000, 2_000_000, 16 << 20
 SEED = 7
 
 
@@ -66,6 +72,25 @@ def embed(windows: np.ndarray, n: np.ndarray, walk: np.ndarray, steps: int) -> n
     return out
 
 
+class _Masks(dict):
+    """word -> bit mask of its places in an item; masks of long items are made as they are needed."""
+
+    def __init__(self, words: np.ndarray):
+        self.where: dict[int, list[int]] = defaultdict(list)
+        for k, x in enumerate(words.tolist()):
+            self.where[x].append(k)
+        self.most = max(1, MASK_BYTES // (len(words) // 8 + 64))
+
+    def __missing__(self, x: int) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        mask = 0
+        for k in self.where[x]:
+            mask |= 1 << k
+        self[x] = mask
+        return mask
+
+
 class Tables:
     """What a task needs of a block of items: their word pairs, and their keys in the LSH tables."""
 
@@ -79,12 +104,7 @@ class Tables:
         for k, (_, w) in enumerate(self.items):
             if len(w) == 1:
                 self.single[int(w[0])].append(k)
-        self.masks: list[dict[int, int]] = []
-        for _, w in self.items:
-            mask: dict[int, int] = defaultdict(int)
-            for k, x in enumerate(w.tolist()):
-                mask[x] |= 1 << k
-            self.masks.append(dict(mask))
+        self.masks: dict[int, _Masks] = {}  # of items that were compared lately
         # the items of every pair: a row of (pair, items) in compressed form
         two = [np.unique(grams(w, 2)) for _, w in self.items]
         flat = np.concatenate([*two, np.empty(0, np.uint64)])
@@ -99,23 +119,35 @@ class Tables:
         # for every length, walk and table, the positions sampled, and every item's keys;
         # the walk passes a symbol in two steps on average, so the first 2n steps are inside the window
         rng = np.random.default_rng(SEED)
-        self.walks, self.width = walks, int(self.length.max(initial=1))
-        self.sampled_at = np.zeros((self.width + 1, walks, tables, bits), np.int64)
-        for n in sorted(set(self.length.tolist())):
-            self.sampled_at[n] = rng.integers(0, 2 * n, (walks, tables, bits))
+        self.walks = walks
+        lengths, self.kind = np.unique(self.length, return_inverse=True)
+        self.sampled_at = np.zeros((len(lengths), walks, tables, bits), np.int64)
+        for k, n in enumerate(lengths.tolist()):
+            self.sampled_at[k] = rng.integers(0, min(2 * n, SPAN), (walks, tables, bits))
+        self.shown = np.minimum(self.length, SPAN)  # words of a window that a walk can reach
         self.item_keys = np.zeros((len(self.items), walks, tables), np.uint64)
-        rows = np.zeros((len(self.items), self.width), np.uint64)
-        for k, (_, w) in enumerate(self.items):
-            rows[k, : len(w)] = w
-        for low in range(0, len(rows), WINDOWS):
+        for part in self.even(np.arange(len(self.items))):
+            rows = np.zeros((len(part), int(self.shown[part].max())), np.uint64)
+            for r, k in enumerate(part.tolist()):
+                rows[r, : self.shown[k]] = self.items[k][1][: self.shown[k]]
             for walk in range(walks):
-                part = slice(low, low + WINDOWS)
-                self.item_keys[part, walk] = self.keys(rows[part], self.length[part], np.full(len(rows[part]), walk))
-
-    def keys(self, windows: np.ndarray, n: np.ndarray, walk: np.ndarray) -> np.ndarray:
-        """For every window and table of its walk, a hash of the sampled positions."""
-        shown = embed(windows, n, walk, 2 * int(n.max(initial=0)))
-        at = self.sampled_at[n, walk]
+                self.item_keys[part, walk] = self.keys(rows, part, np.full(len(part), walk))
+
+    def even(self, item: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of item in groups of like length, of CELLS words or so each; in order within a length."""
+        order = np.argsort(self.shown[item], kind="stable")
+        at = 0
+        while at < len(order):
+            n = int(self.shown[item[order[at]]])
+            to = at + max(1, CELLS // (2 * n))  # lengths grow to twice the first at most
+            to = min(to, at + max(1, int(np.searchsorted(self.shown[item[order[at:to]]], 2 * n, side="right"))))
+            yield order[at:to]
+            at = to
+
+    def keys(self, windows: np.ndarray, item: np.ndarray, walk: np.ndarray) -> np.ndarray:
+        """For every window (of its item's length) and table of its walk, a hash of the sampled positions."""
+        n, at = self.length[item], self.sampled_at[self.kind[item], walk]
+        shown = embed(windows, self.shown[item], walk, min(2 * int(n.max(initial=0)), SPAN))
         key = np.broadcast_to(n.astype(np.uint64)[:, None], at.shape[:2])
         for b in range(at.shape[2]):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.take_along_axis(shown, at[:, :, b], axis=1))
@@ -123,11 +155,17 @@ class Tables:
 
     def distance(self, k: int, text: list[int]) -> tuple[int, int]:
         """Least edit distance of item k to a stretch of text, and the stretch's end (Myers' bit vectors, free ends)."""
-        m, mask = len(self.items[k][1]), self.masks[k]
+        m = len(self.items[k][1])
+        mask = self.masks.get(k)
+        if mask is None:
+            if len(self.masks) >= 64 or m > 1000:  # whose masks take the square of their length
+                self.masks.clear()
+            mask = self.masks[k] = _Masks(self.items[k][1])
+        where = mask.where
         full, top = (1 << m) - 1, 1 << (m - 1)
         up, down, score, best, end = full, 0, m, m, 0
         for j, x in enumerate(text):
-            eq = mask.get(x, 0)
+            eq = mask[x] if x in where else 0
             d = (((eq & up) + up) ^ up) | eq | down
             rise, fall = down | (full & ~(d | up)), up & d
             score += bool(rise & top) - bool(fall & top)
@@ -147,9 +185,19 @@ class Tables:
         text = np.searchsorted(first, at, side="right") - 1
         inside = at + 1 < first[text + 1]
         at, pair, text = at[inside], pair[inside], text[inside]
-        many = self.begin[pair + 1] - self.begin[pair]
+        total = int((self.begin[pair + 1] - self.begin[pair]).sum())
+        if total <= HITS:
+            yield from self.dense(at, pair, text, first, self.begin, self.owners)
+            return
+        for part in np.array_split(np.arange(len(self.items)), -(-total // HITS)):  # pairs that many items share
+            if len(part):
+                own = (self.owners >= part[0]) & (self.owners <= part[-1])
+                yield from self.dense(at, pair, text, first, np.append(0, np.cumsum(own))[self.begin], self.owners[own])
+
+    def dense(self, at: np.ndarray, pair: np.ndarray, text: np.ndarray, first: np.ndarray, begin: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        many = begin[pair + 1] - begin[pair]
         hit = np.repeat(np.arange(len(at)), many)
-        item = self.owners[np.repeat(self.begin[pair] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(len(hit))]
+        item = owners[np.repeat(begin[pair] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(len(hit))]
         group = text[hit] * len(self.items) + item
         order = np.argsort(group, kind="stable")
         group, item, at, text = group[order], item[order], at[hit[order]], text[hit[order]]
@@ -187,9 +235,8 @@ class Tables:
         if rows:
             text, item = (np.concatenate([np.full(len(g[2]), g[c]) for g in rows]) for c in (0, 1))
             start = np.concatenate([g[2] for g in rows])
-            for low in range(0, len(text), WINDOWS):
-                cut = slice(low, low + WINDOWS)
-                self.match(text[cut], item[cut], start[cut], held, best)
+            for part in self.even(item):
+                self.match(text[part], item[part], start[part], held, best)
             for t, k, starts in rows:
                 self.settle(t, k, starts, held[t], best)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -202,13 +249,12 @@ class Tables:
 
         Most leaks are exact and show in the first walk; the windows of what it leaves open go through all others at once.
         """
-        n = self.length[item]
-        windows = np.zeros((len(text), self.width), np.uint64)
-        for r, (t, s, m) in enumerate(zip(text.tolist(), start.tolist(), n.tolist(), strict=True)):
+        windows = np.zeros((len(text), int(self.shown[item].max())), np.uint64)
+        for r, (t, s, m) in enumerate(zip(text.tolist(), start.tolist(), self.shown[item].tolist(), strict=True)):
             part = held[t][s : s + m]
             windows[r, : len(part)] = part
         mark = windows[:, 0] + item.astype(np.uint64)
-        for k in range(1, self.width):
+        for k in range(1, windows.shape[1]):
             mark = (mark * np.uint64(0x9FB21C651E98DF25)) ^ windows[:, k] ^ (mark >> np.uint64(29))
         _, one, back = np.unique(mark, return_index=True, return_inverse=True)  # a passage that many texts share is embedded once
         pair = text * len(self.items) + item
@@ -218,46 +264,52 @@ class Tables:
             open_ = ~seen & ~np.isin(pair, solved)
             need = np.unique(back[open_])
             agree = np.zeros(len(one), bool)
-            step = max(1, WINDOWS // len(walks))
+            step = max(1, CELLS // (2 * windows.shape[1] * len(walks)))
             for low in range(0, len(need), step):
                 part = need[low : low + step]
                 rows, walk = np.repeat(one[part], len(walks)), np.tile(walks, len(part))
-                same = (self.keys(windows[rows], n[rows], walk) == self.item_keys[item[rows], walk]).any(axis=1)
+                same = (self.keys(windows[rows], item[rows], walk) == self.item_keys[item[rows], walk]).any(axis=1)
                 agree[part] = same.reshape(len(part), len(walks)).any(axis=1)
             for r in np.flatnonzero(agree[back] & open_).tolist():
-                t, k, s, limit = int(text[r]), int(item[r]), int(start[r]), int(self.edits[item[r]])
-                had = best.get((t, k))
+                t, k, s = int(text[r]), int(item[r]), int(start[r])
                 seen[r] = True
-                if had and had[2] == 0:
-                    continue
-                low = max(0, s - limit)
-                cost, end = self.distance(k, held[t][low : s + int(n[r]) + limit].tolist())
-                if cost <= limit and (had is None or cost < had[2]):
-                    best[t, k] = (max(low, low + end - int(n[r])), low + end, cost)
+                if (t, k) not in best or best[t, k][2]:
+                    limit = int(self.edits[k])
+                    self.compare(t, k, max(0, s - limit), s + int(self.length[k]) + limit, held[t], best)
+
+    def compare(self, t: int, k: int, low: int, high: int, text: np.ndarray, best: dict) -> None:
+        """Keep the item's best stretch of text[low:high] if it is better than what is known."""
+        n = int(self.length[k])
+        cost, end = self.distance(k, text[low:high].tolist())
+        if cost <= self.edits[k]:
+            now = (max(low, low + end - n), low + end, cost)
+            had = best.get((t, k))
+            if had is None or (cost, now[0]) < (had[2], had[0]):
+                best[t, k] = now
 
     def settle(self, t: int, k: int, starts: np.ndarray, text: np.ndarray, best: dict) -> None:
         """The exact distance of item k to the text at all its windows, unless an unedited copy is known."""
         n, limit = int(self.length[k]), int(self.edits[k])
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > n + limit) + 1):
-            had = best.get((t, k))
-            if had and had[2] == 0:
+            if (t, k) in best and best[t, k][2] == 0:
                 return
-            low = int(run[0])
-            cost, end = self.distance(k, text[low : int(run[-1]) + n + limit].tolist())
-            if cost <= limit and (had is None or cost < had[2]):
-                best[t, k] = (max(low, low + end - n), low + end, cost)
+            self.compare(t, k, int(run[0]), int(run[-1]) + n + limit, text, best)
 
 
-def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of BLOCK, by id; each block is read on its own."""
+def _items(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int, bytes]]]]:
+    """The number of blocks, and the items in blocks by hash; each block is read on its own."""
     rows = benchmark.where("text is not null").select("item_id", F.encode("text", "UTF-8").alias("text"))
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        block = [(r.item_id, bytes(r.text)) for r in part.collect()]
-        if block:
-            yield block
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-held // BLOCK_BYTES))
+
+    def read() -> Iterator[list[tuple[int, bytes]]]:
+        for b in range(blocks):
+            part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+            block = [(r.item_id, bytes(r.text)) for r in part.collect()]
+            if block:
+                yield block
+
+    return blocks, read()
 
 
 def _scanner(block: list[tuple[int, bytes]], edit_share: float):
@@ -284,7 +336,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE)
     limit_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, start_word long, end_word long, edits long"
-    found = [rows.mapInArrow(_scanner(block, edit_share), schema) for block in _items(benchmark)]
+    blocks, items = _items(benchmark)
+    found = []
+    for block in items:
+        now = rows.mapInArrow(_scanner(block, edit_share), schema)
+        found.append(now if blocks == 1 else materialise(now, "leaks"))  # of several blocks, none stays on the driver
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
@@ -304,6 +360,10 @@ def _dropper(block: list[tuple[int, bytes]], edit_share: float):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
     """The rows of docs into which no item leaks, with all their columns."""
     limit_batches(docs.sparkSession)
-    for block in _items(benchmark):
-        docs = docs.mapInArrow(_dropper(block, edit_share), docs.schema)
+    blocks, items = _items(benchmark)
+    for block in items:
+        was, docs = docs, docs.mapInArrow(_dropper(block, edit_share), docs.schema)
+        if blocks > 1:
+            docs = materialise(docs, "clean")
+            release(was)
     return docs
