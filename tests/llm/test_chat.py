@@ -30,3 +30,23 @@ def test_fold(spark):
     log = [(1, 1, "a", "delta", "assistant", "He"), (1, 2, "a", "delta", "assistant", "llo"), (1, 3, "b", "delta", "user", "x"), (1, 4, "a", "edit", "assistant", "New"), (1, 5, "a", "delta", "assistant", "!"), (1, 6, "b", "regenerate", "user", "zz"), (1, 7, "b", "delta", "user", "y"), (1, 8, "c", "regenerate", None, None)]
     df = spark.createDataFrame(log[::-1], "conv_id long, seq long, message string, kind string, role string, text string")
     assert [(r.role, r.text) for r in chat.messages(df).orderBy("first").collect()] == [("assistant", "New!"), ("user", "y"), ("", "")]
+
+
+def test_logs_of_rows_fold_back_to_them(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", text) for t, text in enumerate([*TRICKY, "ab", "c", "drafts"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.events_of_rows(df)
+    log = events.orderBy("seq").collect()
+    assert {e.kind for e in log} == {"delta", "edit", "regenerate"} and len(log) >= 2 * len(rows)
+    assert [e.message for e in log] != sorted(e.message for e in log)  # interleaved
+    assert [(r.role, r.text) for r in chat.messages(events).orderBy("first").collect()] == [(r[2], r[3] or "") for r in rows]
+
+
+def test_no_python_in_the_query(spark, tmp_path):
+    from textlake.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    out = queries.op5_chat(spark, f"file://{tmp_path}")
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan and "InArrow" not in plan
+    assert {r.conv_id: r.n_turns for r in out.collect()} == {1: 1, -7: 2}

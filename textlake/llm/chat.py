@@ -11,7 +11,7 @@ final text from its last edit or regeneration on. Messages in order of their fir
 Backslashes in texts are doubled and `<turn`, `</turn` get one in front, so the marks can't occur in a text;
 roles also write a line feed as backslash n. The loss mask lists the code point ranges of the assistant texts.
 
-A conversation is the unit of work: its hash covers it whole. Defined results: null roles and texts are empty; rows of equal
+A conversation is the unit of work, as its rendering and its hash cover it whole. Defined results: null roles and texts are empty; rows of equal
 turn are separate turns, by role and text; a null conv_id is a conversation of its own; events of unknown kind are
 appended. Extra columns are ignored. An empty table gives no rows.
 """
@@ -47,9 +47,21 @@ def unescape_role(role: Column) -> Column:
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
-    """A log of one delta for every row (conv_id, turn, role, text)."""
+    """A streamed log whose messages end as the rows (conv_id, turn, role, text).
+
+    Every text comes in two deltas. Of three messages, one does so at once, one after a wrong draft that an edit replaces by the first part,
+    and one after a first part that a regeneration throws away. Events of neighbouring messages are interleaved.
+    """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return rows.select("conv_id", "turn", "role", "text").withColumn("seq", place.cast("long")).select("conv_id", "seq", F.col("seq").alias("message"), F.lit("delta").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = rows.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), place.cast("long").alias("message"))
+    half = (F.length("text") / 2).cast("int")
+    parts = said.withColumn("one", F.substr("text", F.lit(1), half)).withColumn("two", F.substr("text", half + 1))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = [event("delta", F.col("one")), event("delta", F.col("two"))]
+    edited = [event("delta", F.concat(F.lit("draft "), F.substring("text", 1, 20))), event("edit", F.col("one")), streamed[1]]
+    again = [streamed[0], event("regenerate", F.lit("")), *streamed]
+    log = F.when(F.col("message") % 3 == 0, F.array(*streamed)).when(F.col("message") % 3 == 1, F.array(*edited)).otherwise(F.array(*again))
+    return parts.select("conv_id", "message", "role", F.posexplode(log).alias("at", "e")).select("conv_id", (F.col("message") * 10 + F.col("at") * 13).alias("seq"), "message", "e.kind", "role", "e.text")
 
 
 def messages(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(0, 2, 1, 1).select(*(c.cast(rows.schema[n].dataType).alias(n) for n, c in (("conv_id", F.lit(-7)), ("turn", F.col("id")), ("role", role), ("text", F.lit(said)))))
     return digest(format_chats(events_of_rows(rows.unionByName(extra))))
 
 
