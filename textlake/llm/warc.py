@@ -5,9 +5,10 @@ equal payloads one is a `response`, the others are `revisit` records that carry
 
 Reading: archives are split at the magic line, so tasks read ranges of a file and hold one piece at a time. Every
 magic is a candidate record start, inside payloads too; from its headers a task computes the offset of the record's
-successor. Pointer jumping from each file's start then keeps the candidates that the chain of records reaches: in round k the records
-reached are joined with jumps over 2**k records. Candidates inside payloads are not on the chain and drop out. The
-few payloads that hold magic themselves are put together from their pieces.
+successor. Within a read range, every candidate's chain is followed to where it leaves the range; the places that such chains come in at
+are few. Pointer jumping from each file's start keeps those of them that the chain of records reaches: in round k the places
+reached are joined with jumps over 2**k ranges. The ranges' own links from there on give the records. Candidates inside payloads are not on
+the chain and drop out. The few payloads that hold magic themselves are put together from their pieces.
 
 Defined results: null payloads are empty; rows that repeat a page_id are records of their own (all with the largest page_id
 of equal payloads are responses); a null page_id is written without a name and read back as null. Extra columns are
@@ -157,6 +158,49 @@ def reached(candidates: DataFrame) -> DataFrame:
         used.append(jump)
 
 
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, block, end, links) -> for every candidate of a read range, where its chain leaves the range; null if it breaks off."""
+    for batch in batches:
+        out = []
+        for file, block, end, links in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            leaves: dict[int, int | None] = {}
+            for link in sorted(links, key=lambda x: -x["at"]):  # a successor comes later in the file
+                after = link["next"]
+                leaves[link["at"]] = after if after >= end else leaves.get(after)
+            out += [(file, block, at, to) for at, to in leaves.items()]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 3), strict=True)], ["file", "block", "at", "next"])
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, links, entries) -> the candidates of a read range that its entries lead to."""
+    for batch in batches:
+        files, places = [], []
+        for file, links, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            after, met = {x["at"]: x["next"] for x in links}, set()
+            for at in entries:
+                while at in after and at not in met:
+                    met.add(at)
+                    at = after[at]
+            files += [file] * len(met)
+            places += met
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(places, pa.int64())], ["file", "at"])
+
+
+def on_chain(placed: DataFrame) -> DataFrame:
+    """(file, at) of the candidates (file, block, end, at, next) on the chain from each file's start; a block's links are one row."""
+    local = materialise(placed.groupBy("file", "block", "end").agg(F.collect_list(F.struct("at", "next")).alias("links")), "links")
+    exits = materialise(local.mapInArrow(_exits, "file string, block long, at long, next long"), "exits")
+    targets = exits.where("next is not null").select("file", F.col("next").alias("at")).distinct()
+    entries = exits.where("at = 0").unionByName(exits.where("at <> 0").join(targets, ["file", "at"], "left_semi"))
+    entries = materialise(entries, "entries")
+    kept = reached(entries.select("file", "at", "next")).join(entries.select("file", "at", "block"), ["file", "at"])
+    starts = kept.groupBy("file", "block").agg(F.collect_set("at").alias("entries"))
+    out = materialise(local.join(starts, ["file", "block"]).select("file", "links", "entries").mapInArrow(_follow, "file string, at long"), "chain")
+    release(local, exits, entries)
+    return out
+
+
 def _joined_payload(spark: SparkSession, path: str, broken: DataFrame, base: DataFrame) -> DataFrame:
     """(file, at, payload) of the records whose payloads hold magic: their files are read again and the pieces put together."""
     limit_batches(spark)
@@ -191,12 +235,13 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     found = materialise(_pieces(spark, path).mapInArrow(_candidates(with_payload), _SCHEMA), "candidates")
     sizes = found.groupBy("file", "block").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each read range
-    n = found.count()
-    base = materialise(sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "base", n)
-    placed = found.join(base, ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).where("at >= 0 and next is not null")
-    chain = reached(materialise(placed.select("file", "at", "next"), "chain", n))
+    base = materialise(sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), "size"), "base")
+    base = base.withColumn("end", F.col("base") + F.col("size") - len(MAGIC)).drop("size")
+    n_base = base.count()
+    placed = keyed_join(found, base, ["file", "block"], "inner", n_base).withColumn("at", F.col("at") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).where("at >= 0 and next is not null")
+    chain = on_chain(placed.select("file", "block", "end", "at", "next"))
     out = placed.join(chain, ["file", "at"], "left_semi").select("file", "at", "next", "head", "whole", *(x.split()[0] for x in _FIELDS.split(", ")), "payload")
-    broken = materialise(out.where("not whole").select("file", "at", "next", "head", "length"), "broken", n)
+    broken = materialise(out.where("not whole").select("file", "at", "next", "head", "length"), "broken")
     if not broken.isEmpty():
         out = out.join(_joined_payload(spark, path, broken, base), ["file", "at"], "left")
         out = out.withColumn("digest", F.coalesce("digest", base32_sha1(F.col("joined"))))
