@@ -58,3 +58,15 @@ def test_without_labels(spark):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert none.weights is None and [r.kept for r in quality.assess(docs, none).orderBy("doc_id").collect()] == [True, False]
     assert quality.assess(docs.limit(0), none).count() == 0
+
+
+def test_invalid_utf8_leaves_neighbours_alone(spark):
+    import numpy as np
+
+    texts = [b"caf\xe9 \xff\xfe " + good(1).encode(), good(2).encode(), "é naïve 😀".encode(), b"\xc3"]
+    alone = [next(iter(quality.examine([quality.valid(t)]))) for t in texts]
+    together = list(quality.examine([quality.valid(t) for t in texts]))
+    for (a, x), (b, y) in zip(alone, together, strict=True):
+        assert a == b and np.array_equal(x, y)
+    docs = spark.createDataFrame([(k, bytearray(t)) for k, t in enumerate(texts)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    assert quality.assess(docs, quality.Model(np.zeros(quality.BINS, np.float32))).count() == 4

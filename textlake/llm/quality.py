@@ -6,7 +6,7 @@ to calibrate its probability, and scores whole texts in Arrow batches against fi
 Defined results: a null or blank text has no words and fails the base rules. Labels with a null id or quality are
 ignored; for an id that is labelled twice the lower quality counts. Without labels of both kinds the model
 keeps everything that passes the base rules. Every row gets a row, repeated or null ids included; extra columns pass through
-keep() and are ignored by assess(). An empty table gives no rows.
+keep() and are ignored by assess(). Bytes that are no UTF-8 count as U+FFFD, each text on its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def _repeated(windows: np.ndarray, n_words: int) -> int:
 
 
 def examine(texts: list[bytes], features: bool = True) -> Iterator[tuple[tuple[int, ...], np.ndarray | None]]:
-    """For each text, the COUNTS and the normalised feature vector."""
+    """For each text (of valid UTF-8), the COUNTS and the normalised feature vector."""
     for i, j in chunks(texts):
         part = texts[i:j]
         buf, starts, ends, value, first = hashed(part)
@@ -83,8 +83,8 @@ def examine(texts: list[bytes], features: bool = True) -> Iterator[tuple[tuple[i
         symbols = np.concatenate([[0], np.cumsum(_SYMBOL[buf])])
         three, two = grams(value, 3), grams(value, 2)
         if features:
-            points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            begin = np.concatenate([[0], np.cumsum(lead)])[at] if len(points) == int(lead.sum()) else None
+            points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+            begin = np.concatenate([[0], np.cumsum(lead)])[at]
             tri = ((points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)) >> np.uint32(20)
             one = (points * np.uint32(0x165667B1)) >> np.uint32(20)
             one_word, two_words = (value >> np.uint64(52)).astype(np.int64), (two >> np.uint64(52)).astype(np.int64)
@@ -96,17 +96,25 @@ def examine(texts: list[bytes], features: bool = True) -> Iterator[tuple[tuple[i
             if features:
                 x = np.zeros(BINS, np.float32)
                 x[:WORD_BINS] = np.bincount(one_word[a:b], minlength=WORD_BINS) + np.bincount(two_words[a : max(a, b - 1)], minlength=WORD_BINS)
-                if begin is not None:
-                    c, d = int(begin[k]), int(begin[k + 1]) - 1  # without the separator
-                    x[WORD_BINS:] = np.bincount(one[c:d], minlength=CHAR_BINS) + np.bincount(tri[c : max(c, d - 2)], minlength=CHAR_BINS)
+                c, d = int(begin[k]), int(begin[k + 1]) - 1  # without the separator
+                x[WORD_BINS:] = np.bincount(one[c:d], minlength=CHAR_BINS) + np.bincount(tri[c : max(c, d - 2)], minlength=CHAR_BINS)
                 np.log1p(x, out=x)
                 for half in (x[:WORD_BINS], x[WORD_BINS:]):
                     half /= max(float(np.sqrt(half @ half)), 1e-9)
             yield counts, x
 
 
+def valid(text: bytes) -> bytes:
+    """The text, with U+FFFD for what is no UTF-8."""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+    return text
+
+
 def _utf8(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    return [valid(x or b"") for x in column.cast(pa.binary()).to_pylist()]
 
 
 def base_failed(counts: tuple[int, ...]) -> bool:
