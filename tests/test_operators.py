@@ -91,6 +91,17 @@ def test_greedy_dedup(spark):
     assert dedup.deduplicate(docs_of(spark, []), "mark").count() == 0
 
 
+def test_long_chains(spark, monkeypatch):
+    """Rounds and the ordered pass agree on chains of collisions, where each document collides with the next only."""
+    rows = [(i, i.to_bytes(16, "big"), [i, i + 1, -i - 1]) for i in range(12)] + [(20 + k, (20 + k).to_bytes(16, "big"), [100, 200 + k]) for k in range(5)]
+    signed = spark.createDataFrame(rows, "doc_id long, same binary, bands array<long>")
+    monkeypatch.setattr(dedup, "banded", lambda docs, kind: signed)
+    docs = docs_of(spark, [str(r[0]) for r in rows]).select(F.col("text").cast("long").alias("doc_id"), "text")
+    want = [i % 2 == 1 for i in range(12)] + [k > 0 for k in range(5)]
+    for finish in (0, 9, 1000):
+        assert [r.is_duplicate for r in dedup.greedy_marks(docs, min_chars=0, finish=finish).orderBy("doc_id").collect()] == want
+
+
 def test_like_any_and_new_only(spark):
     texts = ["the same long text " * 10] * 2 + ["something else entirely, really " * 9]
     signed = dedup.signatures(docs_of(spark, texts))

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..plans.scratch import checkpointed
+from ..plans.scratch import materialise
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     """(node, depth) of every node within max_depth links (src, dst) of the seeds (node): one anti-join with the visited for each level."""
-    visited = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    visited = materialise(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "front")
     front = visited
     for depth in range(1, max_depth + 1):
         front = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti")
-        front = checkpointed(front.withColumn("depth", F.lit(depth)))
+        front = materialise(front.withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
         visited = visited.unionByName(front)
@@ -28,7 +28,7 @@ def crawl(pages: DataFrame, seeds: list[str], max_depth: int = 2, max_pages: int
     pages (url, html) stands for the network. Order within a level is by url; max_pages is the feature's own limit.
     """
     spark = pages.sparkSession
-    site = checkpointed(pages.select(U.normalize_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"]).withColumn("content_hash", F.sha2("html", 256)))
+    site = materialise(pages.select(U.normalize_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"]).withColumn("content_hash", F.sha2("html", 256)), "site")
     front = spark.createDataFrame([(s,) for s in seeds], "url string").select(U.normalize_url(F.col("url")).alias("url"), F.lower(U.authority(F.col("url"))).alias("site")).distinct()
     seen = front.select("url")
     got = None
@@ -38,14 +38,14 @@ def crawl(pages: DataFrame, seeds: list[str], max_depth: int = 2, max_pages: int
         fetched = fetched.join(first, ["content_hash", "url"], "left_semi")
         if got is not None:
             fetched = fetched.join(got.select("content_hash"), "content_hash", "left_anti")
-        fetched = checkpointed(fetched.select("url", "depth", "content_hash", "html", "site"))
+        fetched = materialise(fetched.select("url", "depth", "content_hash", "html", "site"), "fetched")
         got = fetched if got is None else got.unionByName(fetched)
         if depth == max_depth or got.count() >= max_pages:
             break
         found = fetched.select("url", "site", F.explode(U.links(F.col("html"))).alias("link")).select("site", U.normalize_url(U.absolute(F.col("url"), F.col("link"))).alias("url"))
         if not follow_external:
             found = found.where(F.lower(U.authority(F.col("url"))) == F.col("site"))
-        front = checkpointed(found.where(U.is_valid_url(F.col("url"))).groupBy("url").agg(F.min("site").alias("site")).join(seen, "url", "left_anti"))
+        front = materialise(found.where(U.is_valid_url(F.col("url"))).groupBy("url").agg(F.min("site").alias("site")).join(seen, "url", "left_anti"), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front.select("url"))

@@ -3,31 +3,48 @@
 The greedy pass keeps a document unless an earlier kept one collides with it in some band. It is the lexicographically
 first independent set of documents over bands: in each round, an undecided document that comes first in all its
 bands is kept, and the others of those bands are duplicates. Rows are (document, band) only; no pairs are
-made, and equal signatures count as one document, so crowded bands cost what their rows cost.
+made, and equal signatures count as one document, so crowded bands cost what their rows cost. Bands that one document has alone
+decide nothing and go first; once FINISH rows or fewer are left, a single task decides them in order, so rounds, which a
+long chain of collisions needs, come to an end.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import JACCARD, NUM_PERM
-from ..plans.scratch import checkpointed
+from ..plans.scratch import materialise, release
 from .vectors import blocks
 
-PRIME = (1 << 31) - 1
 BANDS, ROWS = 8, 16
 MIN_CHARS = 50
+#: Narrow (document, band) rows that one task decides in order: about 16 MB.
+FINISH = 1_000_000
+#: Multiplier of the hash of character shingles.
+STEP = 0x01000193
+
+
+def permutations() -> list[tuple[int, int]]:
+    """NUM_PERM pairs (odd factor, offset) of 32 bits by a fixed congruential sequence."""
+    x, out = 1, []
+    for _ in range(NUM_PERM):
+        pair = []
+        for _ in range(2):
+            x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
+            pair.append(x >> 32)
+        out.append((pair[0] | 1, pair[1]))
+    return out
+
 
-_rng = np.random.default_rng(1)
-_A = _rng.integers(1, PRIME, NUM_PERM, dtype=np.uint64)
-_B = _rng.integers(0, PRIME, NUM_PERM, dtype=np.uint64)
+_A, _B = (np.array(x, np.uint32) for x in zip(*permutations(), strict=True))
 
 
 def exact(docs: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -42,74 +59,116 @@ def new_only(batch: DataFrame, stored: DataFrame, order: str = "doc_id") -> Data
     return hashed.join(first, ["content_hash", order], "left_semi").join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def char_shingles(text: str, k: int = 5) -> np.ndarray:
-    """Hashes of the distinct k-grams of lower-cased characters; none for shorter texts."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    """32-bit hashes of the distinct k-grams of lower-cased characters; none for shorter texts."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
     if len(points) < k:
-        return np.empty(0, np.uint64)
-    h = np.zeros(len(points) - k + 1, np.uint64)
+        return np.empty(0, np.uint32)
+    h = np.zeros(len(points) - k + 1, np.uint32)
     for i in range(k):
-        h = h * np.uint64(0x100000001B3) + points[i : i + len(h)] + np.uint64(1)
-    return np.unique(_mix(h) >> np.uint64(33))
+        h = h * np.uint32(STEP) + points[i : i + len(h)]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    return np.unique(h ^ (h >> np.uint32(13)))
+
+
+@lru_cache(maxsize=100_000)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
 
 
 def word_shingles(text: str) -> np.ndarray:
-    """Hashes of the distinct lower-cased words."""
-    found = {hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=4).digest() for w in (text or "").lower().split()}
-    return np.unique(np.frombuffer(b"".join(sorted(found)), np.uint32).astype(np.uint64) >> np.uint64(1))
+    """32-bit hashes of the distinct lower-cased words: the first digits of their MD5."""
+    return np.unique(np.array([_word_hash(w) for w in set((text or "").lower().split())], np.uint32))
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """NUM_PERM minima of (a * h + b) mod PRIME over 31-bit hashes; all PRIME for an empty set."""
-    out = np.full(NUM_PERM, PRIME, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(out, ((shingles[None, i : i + 1024] * _A[:, None] + _B[:, None]) % np.uint64(PRIME)).min(axis=1), out=out)
+    """NUM_PERM minima of (a * h + b) mod 2**32; the largest number for an empty set."""
+    out = np.full(NUM_PERM, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(shingles), 512):
+        np.minimum(out, (shingles[None, i : i + 512] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
     return out
 
 
+def _shingler(kind: str):
+    return char_shingles if kind == "char" else word_shingles
+
+
 def signatures(docs: DataFrame, kind: str = "char") -> DataFrame:
     """doc_id and signature of every row."""
-    shingle = char_shingles if kind == "char" else word_shingles
+    shingle = _shingler(kind)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pd.DataFrame({"doc_id": part.doc_id, "signature": [minhash(shingle(t)).astype(np.int64) for t in part.text]})
+            values = np.concatenate([np.empty(0, np.int64), *(minhash(shingle(t)).astype(np.int64) for t in part.column(1).to_pylist())])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, NUM_PERM, dtype=np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "signature"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, signature array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, signature array<long>")
 
 
-def bands(signed: DataFrame) -> DataFrame:
-    """(doc_id, band) rows: BANDS keys of ROWS values each."""
-    keys = F.array(*(F.xxhash64(F.lit(b), F.slice("signature", b * ROWS + 1, ROWS)) for b in range(BANDS)))
-    return signed.select("doc_id", F.explode(keys).alias("band"))
+def banded(docs: DataFrame, kind: str = "char") -> DataFrame:
+    """doc_id, same (equal for equal signatures) and bands (BANDS keys of ROWS values each) of every row."""
+    shingle = _shingler(kind)
 
-
-def greedy_marks(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            same, keys = [], []
+            for text in part.column(1).to_pylist():
+                signature = minhash(shingle(text))
+                same.append(hashlib.blake2b(signature.tobytes(), digest_size=16).digest())
+                for band in range(BANDS):
+                    of = signature[band * ROWS : (band + 1) * ROWS].tobytes()
+                    keys.append(int.from_bytes(hashlib.blake2b(of, digest_size=8, salt=bytes([band])).digest(), "little", signed=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), lists], ["doc_id", "same", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
+
+
+def _in_order(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All (doc_id, bands), by doc_id -> (doc_id, is_duplicate)."""
+    taken: set[int] = set()
+    for part in parts:
+        marks = []
+        for bands in part.column(1).to_pylist():
+            marks.append(not taken.isdisjoint(bands))
+            if not marks[-1]:
+                taken.update(bands)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.bool_())], ["doc_id", "is_duplicate"])
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, band) of bands that two documents or more have."""
+    shared = rows.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("band")
+    return rows.join(shared, "band")
+
+
+def greedy_marks(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS, finish: int = FINISH) -> DataFrame:
     """doc_id and is_duplicate of every row, in order of doc_id; texts under min_chars are never duplicates nor compared."""
-    signed = checkpointed(signatures(docs.where(F.length("text") >= min_chars), kind).withColumn("same", F.sha2(F.to_json("signature"), 256)))
+    signed = materialise(banded(docs.where(F.length("text") >= min_chars), kind), "signed")
     heads = signed.groupBy("same").agg(F.min("doc_id").alias("head"))
-    rows = checkpointed(bands(signed.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")).distinct())
-    decided = None
-    while not rows.isEmpty():
+    own = signed.join(heads, (signed["same"] == heads["same"]) & (signed["doc_id"] == heads["head"]), "left_semi")
+    rows = materialise(_crowded(own.select("doc_id", F.explode("bands").alias("band")).distinct()).select("doc_id", "band"), "bands")
+    decided = []
+    while (left := rows.count()) > finish:
         first = rows.groupBy("band").agg(F.min("doc_id").alias("first"))
         placed = rows.join(first, "band")
-        kept = checkpointed(placed.groupBy("doc_id").agg(F.min(F.col("first") == F.col("doc_id")).alias("all")).where("all").select("doc_id"))
+        kept = materialise(placed.groupBy("doc_id").agg(F.bool_and(F.col("first") == F.col("doc_id")).alias("all")).where("all").select("doc_id", F.lit(False).alias("is_duplicate")), "kept")
         hit = rows.join(kept, "doc_id", "left_semi").select("band").distinct()
-        gone = checkpointed(rows.join(hit, "band", "left_semi").select("doc_id").distinct().join(kept, "doc_id", "left_anti"))
-        new = kept.withColumn("is_duplicate", F.lit(False)).unionByName(gone.withColumn("is_duplicate", F.lit(True)))
-        decided = new if decided is None else decided.unionByName(new)
-        rows = checkpointed(rows.join(new, "doc_id", "left_anti"))
-    if decided is None:
-        return docs.select("doc_id", F.lit(False).alias("is_duplicate"))
-    marks = signed.join(heads, "same").join(decided.withColumnRenamed("doc_id", "head"), "head").select("doc_id", (F.col("is_duplicate") | (F.col("doc_id") != F.col("head"))).alias("is_duplicate"))
-    return docs.select("doc_id").join(marks, "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+        gone = materialise(rows.join(hit, "band", "left_semi").select("doc_id").distinct().join(kept, "doc_id", "left_anti").withColumn("is_duplicate", F.lit(True)), "gone")
+        decided += [kept, gone]
+        was, rows = rows, materialise(_crowded(rows.join(kept.unionByName(gone), "doc_id", "left_anti")).select("doc_id", "band"), "bands")
+        release(was)
+    if left:
+        rest = rows.groupBy("doc_id").agg(F.collect_list("band").alias("bands")).coalesce(1).sortWithinPartitions("doc_id")  # `finish` rows at most
+        decided.append(rest.mapInArrow(_in_order, "doc_id long, is_duplicate boolean"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    gone = reduce(DataFrame.unionByName, decided).where("is_duplicate").select("doc_id") if decided else None
+    later = signed.join(heads, "same").select("doc_id", "head")
+    marks = later.where("doc_id <> head").select("doc_id")
+    if gone is not None:
+        marks = marks.unionByName(later.join(gone.withColumnRenamed("doc_id", "head"), "head", "left_semi").select("doc_id"))
+    return plain.join(marks.distinct().withColumn("is_duplicate", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
 
 
 def deduplicate(docs: DataFrame, mode: str = "mark", kind: str = "char", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -124,13 +183,13 @@ def like_any(queries: DataFrame, stored: DataFrame, threshold: float = JACCARD)
     """(query_id, is_duplicate): whether a stored signature agrees in threshold of its values; queries are a stated set, met in blocks."""
     out = []
     for block in blocks(queries.select("doc_id", "signature"), "doc_id", 2000):
-        ids, matrix = np.array([r.doc_id for r in block], np.int64), np.array([r.signature for r in block], np.int32).reshape(-1, NUM_PERM)
+        ids, matrix = np.array([r.doc_id for r in block], np.int64), np.array([r.signature for r in block], np.uint32).reshape(-1, NUM_PERM)
 
         def run(parts: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             hit = np.zeros(len(ids), bool)
             for part in parts:
                 for doc, signature in zip(part.doc_id, part.signature, strict=True):
-                    hit |= ((matrix == np.asarray(signature, np.int32)).mean(axis=1) >= threshold) & (ids != doc)
+                    hit |= ((matrix == np.asarray(signature, np.uint32)).mean(axis=1) >= threshold) & (ids != doc)
             yield pd.DataFrame({"query_id": ids[hit]})
 
         out.append(stored.select("doc_id", "signature").mapInPandas(run, "query_id long").distinct())

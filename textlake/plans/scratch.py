@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_own: dict[str, str] = {}
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one below the warehouse, which is shared as well."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return at.rstrip("/")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="textlake-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _found(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system delete a folder when the driver ends."""
+    at, fs = _found(spark, path)
+    fs.deleteOnExit(at)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors, keeps statistics and pruning."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    drop_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            at, fs = _found(df.sparkSession, path)
+            fs.delete(at, True)
