@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import drop_at_exit, release, scratch_path, shared_dir
+
+__all__ = ["drop_at_exit", "keyed_join", "limit_batches", "materialise", "release", "scratch_path", "shared_dir"]
+
 #: A side of a join is broadcast up to this many rows of one or two longs (32 MB of keys).
 BROADCAST_ROWS = 1_000_000
 #: What a broadcast table of known bytes holds at most.
@@ -19,25 +18,6 @@ TASK_ROWS = 100_000
 #: Arrow batches: rows and bytes at most.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="textlake-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -49,21 +29,12 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def release(*frames: DataFrame | None) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def limit_batches(spark: SparkSession) -> None:
     """Bound what an Arrow batch holds, so that long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

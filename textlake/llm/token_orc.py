@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .bpe import byte_letters
 from .pieces import PieceEncoder, default_vocabulary
-from .store import limit_batches, materialise, scratch_path
+from .store import drop_at_exit, limit_batches, materialise, scratch_path
 
 END = 0
 SCHEMA = "doc_id long, part int, pos long, ids array<int>"
@@ -146,4 +146,5 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write to the shared folder and read back."""
     path = scratch_path(docs.sparkSession, "tokens")
     write(docs, path, vocabulary)
+    drop_at_exit(docs.sparkSession, path)
     return measured(docs.sparkSession, path)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import keyed_join, limit_batches, materialise, release, scratch_path
+from .store import drop_at_exit, keyed_join, limit_batches, materialise, release, scratch_path
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -254,4 +254,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(records(pages), path)
+    drop_at_exit(spark, path)
     return read(spark, path, with_payload=False).select("page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", F.col("uri").alias("url"))
