@@ -101,3 +101,24 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     out = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_common_sets(spark, monkeypatch):
+    docs = [(i, ["a b c d e", "f g h i j", None, "  ", f"own text of {i} is here"][i % 5]) for i in range(60)] + [(None, "a b c d e")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = sorted(map(str, near_dup.near_duplicates(df).collect()))
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    assert sorted(map(str, near_dup.near_duplicates(df).collect())) == plain
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{(k * 7919 + i * i * 31) % 1009}" for i in range(60))
+    docs = [(1, text(1), "a", 0), (2, text(1) + " more", "b", 0), (None, text(1), "c", 0), (None, text(2), "d", 0), (None, text(2), "d", 0), (None, text(2), "e", 0), (5, text(3), "f", 0), (5, text(3), "f", 0), (5, text(4), "g", 0), (6, None, "h", 0), (7, None, "i", 0), (None, None, "j", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, set_key string, component_id long")
+    out = near_dup.keep_one(df)
+    rows = out.collect()
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.set_key) for r in rows if r.doc_id in (1, 2, 6, 7)) == [(1, "a"), (6, "h"), (7, "i")]
+    assert sum(r.doc_id == 5 for r in rows) == 1
+    assert sorted(r.text or "" for r in rows if r.doc_id is None) == ["", text(2)]
+    assert near_dup.keep_one(df.limit(0)).count() == 0

@@ -12,9 +12,13 @@ What that bound leaves out is made up for last: classes that meet in regions cro
 every family with more than one component, all classes outside its largest component are held against all of its classes by
 full sets, in a grid of cells of at most about CELL shingles a side.
 
+A set that more than HOT rows share is given its component by broadcast (there are at most rows / HOT such sets), rows without a set need none,
+and only the others are joined, so no key of that join has more than HOT rows.
+
 Defined results: null or blank text -> n_shingles 0, linked with nothing, component_id its own doc_id. Rows that
 repeat a doc_id are one document: they share a component (n_shingles is of the row). A null doc_id gets
 component_id null and is kept, but takes no part in linking. Extra columns are ignored. An empty table gives no rows.
+keep_one() lets rows of null id take part, as a document for each distinct text, and keeps one row of each document.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from .store import keyed_join, limit_batches, materialise, release
 from .words import chunks, grams, hashed, mix
 
 VALUES, TREES, REGION = 128, 32, 192
+#: Rows from which a set is common.
+HOT = 50_000
 #: Shingles on each side of a cell of the last round.
 CELL = 500_000
 #: Depths at which a crowded region is cut; the last is the whole signature.
@@ -300,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     sketches = materialise(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
     known = sketches.where("doc_id is not null and set_key is not null")
     n = sketches.count()
-    classes = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("doc")), "classes", n)
+    classes = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes", n)
     heads = materialise(known.join(classes.select("set_key", F.col("doc").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("doc"), "sig"), "heads", 4 * n)
 
     # the forest's regions, deepened where more than REGION classes share a prefix
@@ -327,7 +333,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), links.count())
     # rows that repeat an id with other words tie their classes
     twice = known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").select("doc_id")
-    ties = known.join(twice, "doc_id", "left_semi").join(classes, "set_key").where("doc_id <> doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
+    ties = known.join(twice, "doc_id", "left_semi").join(classes.select("set_key", "doc"), "set_key").where("doc_id <> doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
 
     tested = first
     for best in (True, False):
@@ -345,13 +351,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     more = _families(docs, dense, comps, known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc"), percent, width)
     comps = _joined(comps, more, ties)
 
-    by_class = classes.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("set_key", F.coalesce("comp", "doc").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    release(heads, *levels, first, links, more)
+    by_class = classes.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("set_key", "copies", F.coalesce("comp", "doc").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    rows = sketches.select("doc_id", "n_shingles", "set_key")
+    common = by_class.where(F.col("copies") > HOT)
+    marked = rows.where("set_key is not null").join(F.broadcast(common.select("set_key", F.col("component_id").alias("common_id"))), "set_key", "left")
+    out = (
+        rows.where("set_key is null").withColumn("component_id", F.lit(None).cast("long"))
+        .unionByName(marked.where("common_id is not null").withColumnRenamed("common_id", "component_id"))
+        .unionByName(marked.where("common_id is null").drop("common_id").join(by_class.where(F.col("copies") <= HOT).drop("copies"), "set_key", "left"))
+    )
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
-    """The rows of docs but those linked to a document of a smaller id, with all their columns."""
-    gone = materialise(near_duplicates(docs, percent, width).where("not kept").select("doc_id").distinct(), "gone", docs.count())
-    return keyed_join(docs, gone, "doc_id", "left_anti")
+    """The rows of docs but those linked to a document of a smaller id, with all their columns.
+
+    A row of null id counts as a document whose id follows from its text and is larger than all others; of rows that are one
+    document, by a repeated id or as equal texts of null id, the one whose columns hash lowest stays.
+    """
+    extra = "_near_dup_id"
+    late = F.shiftrightunsigned(F.xxhash64("text"), 3) + (1 << 61)
+    rows = docs.withColumn(extra, F.coalesce(F.col("doc_id").cast("long"), late))
+    marks = near_duplicates(rows.select(F.col(extra).alias("doc_id"), "text"), percent, width)
+    gone = materialise(marks.where("not kept").select(F.col("doc_id").alias(extra)).distinct(), "gone", docs.count())
+    kept = keyed_join(rows, gone, extra, "left_anti")
+    again = materialise(rows.groupBy(extra).count().where("count > 1").select(extra), "again")
+    n = again.count()
+    if n:
+        mark = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+        one = keyed_join(kept, again, extra, "left_semi", n).groupBy(extra).agg(F.min_by(F.struct(*docs.columns), mark).alias("row")).select("row.*")
+        return keyed_join(kept, again, extra, "left_anti", n).select(*docs.columns).unionByName(one)
+    return kept.select(*docs.columns)
