@@ -23,12 +23,17 @@ def clean(docs: DataFrame, repair: Callable[[Column], Column] | None = None) ->
 
 
 def pipeline(docs: DataFrame, languages: tuple[str, ...] = ("en",), min_words: int = MIN_WORDS, max_repetition: float = MAX_REPETITION, remove_pii: bool = False, language: str = "lang") -> DataFrame:
-    """Language, quality, spam and, if asked for, personal data filters, the cheap ones first; adds quality_score."""
+    """Language, quality, spam and, if asked for, personal data filters, the cheap ones first; adds quality_score.
+
+    A text is measured once: the generator keeps the optimizer from copying the measures into every filter and column.
+    """
     c = F.col("text")
-    out = docs.where(F.col(language).isin(*languages)).where(T.quality_passes(c, min_words, max_repetition)).where(T.spam_passes(c, MAX_SPAM_DENSITY))
+    marks = T.let(T.measures(c), lambda m: F.struct(T.passes_of(m, min_words, max_repetition).alias("_passes"), T.score_of(m).alias("quality_score"), m["n_words"].alias("_n")))
+    out = docs.drop("quality_score").where(F.col(language).isin(*languages)).select("*", F.inline(F.array(marks))).where("_passes")
+    out = out.where(T.spam_hits(c) / F.greatest(F.col("_n"), F.lit(1)) <= MAX_SPAM_DENSITY)
     if remove_pii:
         out = out.where(~T.has_pii(c))
-    return out.withColumn("quality_score", T.quality_score(c))
+    return out.drop("_passes", "_n")
 
 
 def compile_filter(spec: dict | None) -> Column | None:

@@ -16,8 +16,8 @@ FORMATS = ("jsonl", "parquet", "huggingface")
 
 def samples(docs: DataFrame, config: DatasetConfig, language: str = "lang") -> DataFrame:
     """doc_id, text, source, language, word_count of documents within the word and language limits."""
-    out = docs.select("doc_id", "text", "source", F.col(language).alias("language"), T.count_words(F.col("text")).alias("word_count"))
-    out = out.where(F.col("word_count").between(config.min_words, config.max_words) & F.col("language").isin(*config.languages))
+    out = docs.where(F.col(language).isin(*config.languages)).select("doc_id", "text", "source", F.col(language).alias("language"), F.inline(F.array(F.struct(T.count_words(F.col("text")).alias("word_count")))))  # counted once
+    out = out.where(F.col("word_count").between(config.min_words, config.max_words))
     return out.where(F.col("source").isin(*config.source_types)) if config.source_types else out
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -59,8 +59,8 @@ def new_only(batch: DataFrame, stored: DataFrame, order: str = "doc_id") -> Data
     return hashed.join(first, ["content_hash", order], "left_semi").join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def char_shingles(text: str, k: int = 5) -> np.ndarray:
-    """32-bit hashes of the distinct k-grams of lower-cased characters; none for shorter texts."""
+def _grams(text: str, k: int = 5) -> np.ndarray:
+    """32-bit hashes of all k-grams of lower-cased characters."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
     if len(points) < k:
         return np.empty(0, np.uint32)
@@ -68,17 +68,30 @@ def char_shingles(text: str, k: int = 5) -> np.ndarray:
     for i in range(k):
         h = h * np.uint32(STEP) + points[i : i + len(h)]
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    return np.unique(h ^ (h >> np.uint32(13)))
+    return h ^ (h >> np.uint32(13))
+
+
+def char_shingles(text: str, k: int = 5) -> np.ndarray:
+    """The distinct ones of them; none for shorter texts."""
+    return np.unique(_grams(text, k))
+
+
+class _WordHashes(dict):
+    """word -> the first digits of its MD5; words met lately are remembered."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        out = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
+        return out
 
-@lru_cache(maxsize=100_000)
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
+
+_word_hashes = _WordHashes()
 
 
 def word_shingles(text: str) -> np.ndarray:
-    """32-bit hashes of the distinct lower-cased words: the first digits of their MD5."""
-    return np.unique(np.array([_word_hash(w) for w in set((text or "").lower().split())], np.uint32))
+    """32-bit hashes of the distinct lower-cased words."""
+    return np.unique(np.fromiter(map(_word_hashes.__getitem__, set((text or "").lower().split())), np.uint32))
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -90,7 +103,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def _shingler(kind: str):
-    return char_shingles if kind == "char" else word_shingles
+    return _grams if kind == "char" else word_shingles  # repeats change no minimum
 
 
 def signatures(docs: DataFrame, kind: str = "char") -> DataFrame:
@@ -143,8 +156,8 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "band")
 
 
-def greedy_marks(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS, finish: int = FINISH) -> DataFrame:
-    """doc_id and is_duplicate of every row, in order of doc_id; texts under min_chars are never duplicates nor compared."""
+def duplicates(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS, finish: int = FINISH) -> DataFrame:
+    """doc_id of every document that collides with an earlier kept one; texts under min_chars are never duplicates nor compared."""
     signed = materialise(banded(docs.where(F.length("text") >= min_chars), kind), "signed")
     heads = signed.groupBy("same").agg(F.min("doc_id").alias("head"))
     own = signed.join(heads, (signed["same"] == heads["same"]) & (signed["doc_id"] == heads["head"]), "left_semi")
@@ -162,21 +175,25 @@ def greedy_marks(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS
     if left:
         rest = rows.groupBy("doc_id").agg(F.collect_list("band").alias("bands")).coalesce(1).sortWithinPartitions("doc_id")  # `finish` rows at most
         decided.append(rest.mapInArrow(_in_order, "doc_id long, is_duplicate boolean"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    gone = reduce(DataFrame.unionByName, decided).where("is_duplicate").select("doc_id") if decided else None
     later = signed.join(heads, "same").select("doc_id", "head")
-    marks = later.where("doc_id <> head").select("doc_id")
-    if gone is not None:
-        marks = marks.unionByName(later.join(gone.withColumnRenamed("doc_id", "head"), "head", "left_semi").select("doc_id"))
-    return plain.join(marks.distinct().withColumn("is_duplicate", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+    out = later.where("doc_id <> head").select("doc_id")
+    if decided:
+        gone = reduce(DataFrame.unionByName, decided).where("is_duplicate").select(F.col("doc_id").alias("head"))
+        out = out.unionByName(later.join(gone, "head", "left_semi").select("doc_id"))
+    return out.distinct()
+
+
+def greedy_marks(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS, finish: int = FINISH) -> DataFrame:
+    """doc_id and is_duplicate of every row, in order of doc_id."""
+    marks = duplicates(docs, kind, min_chars, finish).withColumn("is_duplicate", F.lit(True))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
 
 
 def deduplicate(docs: DataFrame, mode: str = "mark", kind: str = "char", min_chars: int = MIN_CHARS) -> DataFrame:
     """mark: docs with is_duplicate; drop: docs without duplicates."""
-    marks = greedy_marks(docs, kind, min_chars)
     if mode == "drop":
-        return docs.join(marks.where("is_duplicate").select("doc_id"), "doc_id", "left_anti")
-    return docs.join(marks, "doc_id")
+        return docs.join(duplicates(docs, kind, min_chars), "doc_id", "left_anti")
+    return docs.join(greedy_marks(docs, kind, min_chars), "doc_id")
 
 
 def like_any(queries: DataFrame, stored: DataFrame, threshold: float = JACCARD) -> DataFrame:

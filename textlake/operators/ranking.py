@@ -14,11 +14,6 @@ from ..functions import text as T
 K1, B = 1.5, 0.75
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once for a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _bm25(terms: Column, tokens: Column, average: float, idf: float) -> Column:
     """Sum over terms; counts come from the tokens that are terms at all."""
 
@@ -32,7 +27,7 @@ def _bm25(terms: Column, tokens: Column, average: float, idf: float) -> Column:
         return F.aggregate(x["terms"], F.lit(0.0), add)
 
     found = lambda x: F.struct(x["terms"].alias("terms"), F.size(x["tokens"]).alias("n"), F.filter(x["tokens"], lambda t: F.array_contains(x["terms"], t)).alias("hits"))
-    return _let(_let(F.struct(terms.alias("terms"), tokens.alias("tokens")), found), score)
+    return T.let(T.let(F.struct(terms.alias("terms"), tokens.alias("tokens")), found), score)
 
 
 def bm25(query: Column, doc: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DatasetConfig
+from ..config import JACCARD, NUM_PERM, DatasetConfig
 from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
@@ -86,8 +86,8 @@ def content_hash(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_PASSES} AS passes, round(rep, 6)::DOUBLE AS repetition, round(avg_len, 6)::DOUBLE AS avg_word_len, symbols::BIGINT AS symbols FROM ({_RATES})")
 def quality_filter(spark, sf_dir):
-    c = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.quality_passes(c).alias("passes"), F.round(T.repetition(c), 6).alias("repetition"), F.round(T.avg_word_len(c), 6).alias("avg_word_len"), T.symbol_count(c).cast("long").alias("symbols"))
+    of = lambda m: F.struct(T.passes_of(m).alias("passes"), F.round(T.repetition_of(m), 6).alias("repetition"), F.round(T.avg_word_len_of(m), 6).alias("avg_word_len"), m["n_symbols"].cast("long").alias("symbols"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(T.let(T.measures(F.col("text")), of))))
 
 
 @query(f"SELECT doc_id, round({_SCORE}, 6)::DOUBLE AS quality_score FROM ({_RATES})")
@@ -123,18 +123,45 @@ def exact_dedup(spark, sf_dir):
     return dedup.exact(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _signature_sql(shingles: str) -> str:
+    """Common table expressions sig (doc_id, k, m) and banded (doc_id, rn, bands) over s (doc_id, h): the same hashes, permutations and bands."""
+    pairs = ", ".join(f"({k}, {a}::UBIGINT, {b}::UBIGINT)" for k, (a, b) in enumerate(dedup.permutations()))
+    return f"""s AS ({shingles}), perms(k, a, b) AS (VALUES {pairs}),
+sig AS (SELECT doc_id, k, min((h * a + b) & 4294967295) AS m FROM s, perms GROUP BY doc_id, k),
+keys AS (SELECT doc_id, ('0x' || substr(md5(k // {dedup.ROWS} || ':' || string_agg(m::VARCHAR, ',' ORDER BY k)), 1, 15))::BIGINT AS band FROM sig GROUP BY doc_id, k // {dedup.ROWS}),
+banded AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, list(band) AS bands FROM keys GROUP BY doc_id),
+greedy AS (
+  SELECT 0::BIGINT AS rn, false AS is_duplicate, []::BIGINT[] AS taken
+  UNION ALL SELECT b.rn, list_has_any(g.taken, b.bands), CASE WHEN list_has_any(g.taken, b.bands) THEN g.taken ELSE list_concat(g.taken, b.bands) END FROM greedy g JOIN banded b ON b.rn = g.rn + 1)"""
+
+
+def _char_shingles_sql(where: str) -> str:
+    h = "p[i]"
+    for k in range(1, 5):
+        h = f"(({h} * {dedup.STEP} + p[i + {k}]) & 4294967295)"
+    mixed = "xor(g, g >> 13)"
+    first = f"((xor({h}, {h} >> 16) * 2246822507) & 4294967295)"
+    return f"SELECT DISTINCT doc_id, {mixed} AS h FROM (SELECT doc_id, unnest(list_transform(range(1, len(p) - 3), lambda i: {first})) AS g FROM (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda x: unicode(x)::UBIGINT) AS p FROM documents WHERE {where}))"
+
+
+@query(f"WITH RECURSIVE {_signature_sql(_char_shingles_sql(f'length(text) >= {dedup.MIN_CHARS}'))} SELECT doc_id, coalesce(is_duplicate, false) AS is_duplicate FROM documents LEFT JOIN banded USING (doc_id) LEFT JOIN greedy USING (rn)")
 def minhash_dedup(spark, sf_dir):
     return dedup.greedy_marks(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_signature_sql(_char_shingles_sql('true'))},
+full_sig AS (SELECT doc_id, k, coalesce(m, 4294967295) AS m FROM (SELECT doc_id, k FROM documents, perms) LEFT JOIN sig USING (doc_id, k)),
+hits AS (SELECT q.doc_id FROM full_sig q JOIN full_sig o ON q.k = o.k AND q.m = o.m AND q.doc_id <> o.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, o.doc_id HAVING count(*) / {NUM_PERM} >= {JACCARD})
+SELECT doc_id AS query_id, doc_id IN (SELECT doc_id FROM hits) AS is_duplicate FROM documents WHERE doc_id % 100 = 0""")
 def stored_duplicates(spark, sf_dir):
     signed = dedup.signatures(table(spark, sf_dir, "documents"))
     return dedup.like_any(signed.where("doc_id % 100 = 0"), signed)
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, source, lang AS language, len({_words('text')})::BIGINT AS word_count FROM documents WHERE lang IN ('en', 'de')),
+chosen AS (SELECT * FROM d WHERE word_count BETWEEN 50 AND 100000),
+{_signature_sql(f"SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT AS h FROM (SELECT DISTINCT doc_id, unnest({_words('lower(text)')}) AS w FROM chosen)")}
+SELECT c.* FROM chosen c JOIN banded USING (doc_id) JOIN greedy USING (rn) WHERE NOT is_duplicate""")
 def dataset_build(spark, sf_dir):
     return datasets.build(table(spark, sf_dir, "documents"), DatasetConfig(languages=("en", "de")))
 
