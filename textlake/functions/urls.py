@@ -118,10 +118,13 @@ def rfc_date(c: Column) -> Column:
     return F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
-def published_at(html: Column) -> Column:
-    """From JSON-LD, meta elements, then time elements; the first that can be parsed."""
+DATE_NAMES = ("article:published_time", "og:article:published_time", "datePublished", "pubdate", "publishdate", "date")
+
+
+def published_at(html: Column, names: tuple[str, ...] = DATE_NAMES) -> Column:
+    """From JSON-LD, meta elements of those names, then time elements; the first that can be parsed."""
     raw = [F.get(F.filter(F.transform(json_ld(html), lambda j: F.get_json_object(j, "$.datePublished")), lambda x: x.isNotNull()), 0)]
-    raw += [meta(html, n) for n in ("article:published_time", "og:article:published_time", "datePublished", "pubdate", "publishdate", "date")]
+    raw += [meta(html, n) for n in names]
     raw.append(F.nullif(F.regexp_extract(html, r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit("")))
     forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
     return F.coalesce(*(x for r in raw for x in (*(F.try_to_timestamp(r, F.lit(f)) for f in forms), rfc_date(r))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DatasetConfig
@@ -33,20 +33,23 @@ def counts(docs: DataFrame, built: DataFrame, config: DatasetConfig, language: s
     return one(docs, "total").crossJoin(one(samples(docs, config, language), "passed")).crossJoin(one(built, "written")).select("total", (F.col("total") - F.col("passed")).alias("filtered"), (F.col("passed") - F.col("written")).alias("deduplicated"), "written")
 
 
-def write_dataset(built: DataFrame, path: str, fmt: str = "jsonl") -> None:
-    """jsonl: five fields; parquet and huggingface: four columns, the latter with a description of itself."""
+def write_dataset(built: DataFrame, path: str, fmt: str = "jsonl") -> int:
+    """jsonl: five fields; parquet and huggingface: four columns, the latter with a description of itself. Returns the rows written, counted on the way."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt!r}; there are {', '.join(FORMATS)}")
+    written = Observation()
+    built = built.observe(written, F.count(F.lit(1)).alias("n"))
     four = built.select("text", "source", "language", F.col("word_count").cast("int").alias("word_count"))
     if fmt == "jsonl":
         extra = F.col("metadata") if "metadata" in built.columns else F.create_map().cast("map<string,string>")
         four.withColumn("metadata", extra).write.json(path)
     elif fmt == "parquet":
         four.write.parquet(path, compression="snappy")
-    elif fmt == "huggingface":
+    else:
         four.write.parquet(f"{path}/data")
         info = json.dumps({"features": {n: {"dtype": t, "_type": "Value"} for n, t in (("text", "string"), ("source", "string"), ("language", "string"), ("word_count", "int32"))}})
         built.sparkSession.createDataFrame([(info,)], "value string").coalesce(1).write.text(f"{path}/dataset_info")
-    else:
-        raise ValueError(f"unknown format {fmt!r}; there are {', '.join(FORMATS)}")
+    return written.get["n"]
 
 
 def read_dataset(spark, path: str, fmt: str = "jsonl") -> DataFrame:

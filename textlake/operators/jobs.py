@@ -33,7 +33,7 @@ def feedback_stats(logs: DataFrame, positive: int = POSITIVE_SCORE, negative: in
         F.count_if((score <= negative) & has).alias("negative_pairs"),
     )
     pairs = F.col("positive_logs") * 3
-    reason = F.format_string(f"Need ~{needed} positive pairs; estimated %d from %d high-rated logs. Collect more 4–5 star feedback.", pairs, F.col("positive_logs"))
+    reason = F.format_string(f"%d of the {needed} positive pairs needed, estimated from %d well-rated queries", pairs, F.col("positive_logs"))
     return counts.select("total_logs", "labelled_logs", pairs.alias("positive_pairs"), "negative_pairs", (F.col("total_logs") - F.col("labelled_logs")).alias("unlabelled_logs"), (pairs >= needed).alias("ready_to_train"), F.when(pairs < needed, reason).alias("reason"))
 
 
@@ -66,3 +66,10 @@ def event(spark, job_id: str, status: str, processed: int = 0, total: int = 0, e
 def recent(log: DataFrame, job_type: str, limit: int = 50) -> DataFrame:
     """The newest jobs of a type."""
     return log.where(F.col("job_type") == job_type).orderBy(F.desc_nulls_last("ts"), "job_id").limit(limit)
+
+
+def query_logs(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """Rows for the query log: answers (query_id, query_text, answer, latency_ms) with the document ids of their citations (query_id, index, document_id) in order."""
+    cited = citations.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", F.col("document_id").cast("string").alias("d")))).alias("c"))
+    found = answers.join(cited, "query_id", "left").select("query_id", "query_text", F.coalesce(F.transform("c", lambda x: x["d"]), F.array().cast("array<string>")).alias("retrieved_doc_ids"), "answer", "latency_ms")
+    return found.withColumn("feedback_score", F.lit(None).cast("int")).withColumn("created_at", F.current_timestamp())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIDENCE, RERANK_K, TOP_K, WEB_RESULTS
 from ..functions import text as T
 from ..sources import registry
-from . import cleaning, ranking, vectors
+from . import chunking, cleaning, ranking, vectors
 
 SYSTEM = "You answer from the numbered passages below and cite them by number. If they do not hold the answer, say so."
 NOTHING = "I could not find relevant information to answer your question."
@@ -101,3 +102,33 @@ def answer(query: str, points: DataFrame, llm: Llm | None = None, web: WebSearch
         return {"answer": NOTHING, "citations": [], "confidence": best, "used_web_fallback": fallback}
     text = (llm or Extractive()).complete(f"{SYSTEM}\n\n## Context\n\n{rows.context}", query)
     return {"answer": text, "citations": [r.asDict() for r in citations(results).orderBy("index").collect()], "confidence": best, "used_web_fallback": fallback}
+
+
+def backfill(rows: DataFrame, points, objects=None, model=vectors.hash_embed) -> DataFrame:
+    """Clean, chunk, embed and store web_rows(): chunks go to the collection `points`, clean texts to `objects` under web_fallback/.
+
+    A result has the id of its url, so results that come again replace themselves. Returns the points.
+    """
+    docs = cleaning.clean(rows.select(F.col("document_id").alias("doc_id"), F.col("document_title").alias("title"), "url", F.col("content").alias("text")).dropDuplicates(["doc_id"]))
+    chunks = chunking.recursive_chunks(docs).join(docs.select("doc_id", "title", "url"), "doc_id")
+    out = chunks.select(
+        F.sha2(F.concat_ws(":", "doc_id", F.col("chunk_index").cast("string")), 256).alias("id"),
+        F.col("doc_id").alias("document_id"), F.col("title").alias("document_title"), F.col("url").alias("source_url"), "chunk_index", "content", F.lit(True).alias("web_fallback"),
+    )
+    out = vectors.embed(out, "content", model)
+    points.upsert(out)
+    if objects is not None:
+        for r in docs.collect():  # as many as one search returns
+            objects.put_text(f"web_fallback/{r.doc_id}/clean.txt", r.text)
+    return out
+
+
+def search_and_backfill(spark: SparkSession, query: str, service: WebSearch, points=None, objects=None, enabled: bool = True, limit: int = WEB_RESULTS, model=vectors.hash_embed) -> DataFrame:
+    """Web results; if enabled they are stored too, and a failure of that is logged and harms no result."""
+    rows = web_rows(spark, query, service, limit)
+    if enabled and points is not None and not rows.isEmpty():
+        try:
+            backfill(rows, points, objects, model)
+        except Exception:  # noqa: BLE001  the results are there all the same
+            logging.getLogger(__name__).exception("results of a web search were not stored")
+    return rows

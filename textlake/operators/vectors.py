@@ -118,3 +118,12 @@ def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000
         found = found.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def as_results(hits: DataFrame, key: str = "id", doc: str = "document_id", title: str = "document_title", content: str = "content") -> DataFrame:
+    """Hits as (id, score, document_id, document_title, content, metadata): missing texts are empty, all other scalar fields are metadata."""
+    text = lambda n: (F.coalesce(F.col(n).cast("string"), F.lit("")) if n in hits.columns else F.lit("")).alias
+    kinds = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "date")
+    rest = [n for n, kind in hits.dtypes if n not in (key, "score", doc, title, content) and kind in kinds]
+    pairs = F.create_map(*(x for n in rest for x in (F.lit(n), F.col(n).cast("string")))) if rest else F.create_map().cast("map<string,string>")
+    return hits.select(F.col(key).cast("string").alias("id"), "score", text(doc)("document_id"), text(title)("document_title"), text(content)("content"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("metadata"))

@@ -12,7 +12,7 @@ from ..config import JACCARD, NUM_PERM, DatasetConfig
 from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunking, cleaning, crawl, datasets, dedup, jobs, ranking, retrieval, robots, storage, vectors
+from ..operators import chunking, cleaning, crawl, datasets, dedup, fetch, jobs, ranking, retrieval, robots, storage, vectors
 from ..sources import article
 from ..sources import documents as sources
 from ..sources import registry
@@ -420,7 +420,7 @@ _LOGS = "logs AS (SELECT u.conv_id AS id, u.q AS query_text, a.c AS chunks, CASE
 
 
 @query(f"""WITH {_LOGS}, n AS (SELECT count(*) AS t, count(score) AS l, count(*) FILTER (score >= 4 AND chunks IS NOT NULL) AS p, count(*) FILTER (score <= 2 AND chunks IS NOT NULL) AS m FROM logs)
-SELECT t AS total_logs, l AS labelled_logs, p * 3 AS positive_pairs, m AS negative_pairs, t - l AS unlabelled_logs, p * 3 >= 50 AS ready_to_train, CASE WHEN p * 3 < 50 THEN 'Need ~50 positive pairs; estimated ' || p * 3 || ' from ' || p || ' high-rated logs. Collect more 4–5 star feedback.' END AS reason FROM n""")
+SELECT t AS total_logs, l AS labelled_logs, p * 3 AS positive_pairs, m AS negative_pairs, t - l AS unlabelled_logs, p * 3 >= 50 AS ready_to_train, CASE WHEN p * 3 < 50 THEN p * 3 || ' of the 50 positive pairs needed, estimated from ' || p || ' well-rated queries' END AS reason FROM n""")
 def feedback_stats(spark, sf_dir):
     return jobs.feedback_stats(_logs(spark, sf_dir))
 
@@ -550,3 +550,137 @@ def ingest_points(spark, sf_dir):
     """Embedded chunks of all documents that pass, near-duplicates left out."""
     done = ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de", "fr", "es"), near="drop")
     return ingestion.points(done).select("id", "doc_id", "chunk_index", "token_count", F.size("vector").alias("dim"))
+
+
+class _ByLength:
+    """A network whose answers follow from the length of a url."""
+
+    def __init__(self):
+        self.asked: dict[str, int] = {}
+
+    def get(self, url: str) -> fetch.Response:
+        n, k = len(url), self.asked.get(url, 0)
+        self.asked[url] = k + 1
+        if n % 8 == 0 or n % 4 == 0 and k < 2:
+            raise ConnectionError(url)
+        return fetch.Response(404 if n % 4 == 1 else 200, "image/png" if n % 4 == 2 else "text/html; charset=utf-8", f"<p>{n}</p>")
+
+
+@query("""SELECT DISTINCT url, CASE WHEN length(url) % 8 = 0 THEN 'network_error' WHEN length(url) % 4 = 1 THEN 'http_error' WHEN length(url) % 4 = 2 THEN 'not_html' ELSE 'ok' END AS outcome,
+CASE WHEN length(url) % 8 = 0 THEN 4 WHEN length(url) % 4 = 0 THEN 3 ELSE 1 END::INT AS tries, CASE WHEN length(url) % 8 = 0 THEN 0 WHEN length(url) % 4 = 1 THEN 404 ELSE 200 END::INT AS status,
+CASE WHEN length(url) % 8 <> 0 AND length(url) % 4 IN (0, 3) THEN '<p>' || length(url) || '</p>' END AS html FROM pages""")
+def fetch_pages(spark, sf_dir):
+    return fetch.fetch(table(spark, sf_dir, "pages"), _ByLength(), wait=0.0, pause=0.0).select("url", "outcome", "tries", F.coalesce("status", F.lit(0)).alias("status"), "html")
+
+
+@query("SELECT DISTINCT url FROM pages")
+def sitemap_discovery(spark, sf_dir):
+    """An index of a sitemap for every host, and in each the host's pages."""
+    pages = table(spark, sf_dir, "pages").select("url", U.authority(F.col("url")).alias("host"))
+    loc = lambda c: F.concat(F.lit("<loc> "), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"))
+    of_host = F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml"))
+    sets = pages.groupBy("host").agg(F.array_join(F.collect_list(F.concat(F.lit("<url>"), loc(F.col("url")), F.lit("</url>"))), "").alias("x")).select(of_host.alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
+    index = pages.select("host").distinct().agg(F.array_join(F.collect_list(F.concat(F.lit("<sitemap>"), loc(of_host), F.lit("</sitemap>"))), "").alias("x")).select(F.lit("https://root/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("xml"))
+    return crawl.discover_sitemaps(sets.unionByName(index), spark.createDataFrame([("https://root/sitemap.xml",)], "url string"))
+
+
+@query(f"SELECT vec_id::VARCHAR AS id, round({_COS}, 6) AS score, '' AS document_id, '' AS document_title, 'label ' || label AS content, label::VARCHAR AS label, 'label,url' AS fields FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def result_mapping(spark, sf_dir):
+    hits = vectors.top_k(table(spark, sf_dir, "embeddings"), ASKED_VECTOR).withColumn("content", F.concat(F.lit("label "), "label")).withColumn("url", F.lit("x")).withColumn("none", F.lit(None).cast("string"))
+    found = vectors.as_results(hits, "vec_id")
+    return found.select("id", F.round("score", 6).alias("score"), "document_id", "document_title", "content", F.col("metadata")["label"].alias("label"), F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("fields"))
+
+
+@query(f"SELECT source AS query_id, 'asked of ' || source AS query_text, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS retrieved_doc_ids, 7 AS latency_ms {_CONTEXT} GROUP BY source")
+def query_log(spark, sf_dir):
+    ranked = _ranked(spark, sf_dir)
+    asked = ranked.select("query_id").distinct().select("query_id", F.concat(F.lit("asked of "), "query_id").alias("query_text"), F.lit("").alias("answer"), F.lit(7).alias("latency_ms"))
+    return jobs.query_logs(asked, retrieval.citations(ranked)).select("query_id", "query_text", F.array_join("retrieved_doc_ids", ",").alias("retrieved_doc_ids"), "latency_ms")
+
+
+_LEGACY = _strip(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')")
+
+
+@query(rf"""WITH documents AS (SELECT doc_id, {_LEGACY} AS text FROM documents), l AS ({_language_sql('substring(text, 1, 2000)')})
+SELECT doc_id, sha256(text) AS content_hash, coalesce(language, 'unknown') AS language, i::INT AS chunk_index, array_to_string(w[i * 448 + 1 : i * 448 + 512], ' ') AS content, least(i * 448 + 512, len(w))::INT - (i * 448)::INT AS token_count
+FROM (SELECT doc_id, text, w, unnest(range(0, greatest(0, ceil((len(w) - 512) / 448))::BIGINT + 1)) AS i FROM (SELECT doc_id, text, {_words('text')} AS w FROM documents) WHERE len(w) > 0) JOIN l USING (doc_id)""")
+def process_legacy(spark, sf_dir):
+    return ingestion.process_legacy(table(spark, sf_dir, "documents")).select("doc_id", "content_hash", "language", "chunk_index", "content", "token_count")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'indexed' ELSE 'pending' END AS status, CASE WHEN doc_id % 10 = 0 THEN ceil(length(t) / 100.0) ELSE 0 END::INT AS chunk_count FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') || 'x' AS t FROM documents)""")
+def embed_stored(spark, sf_dir):
+    """Documents in one run of letters, which are cut every 100 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.concat(F.regexp_replace("text", "[^A-Za-z]", ""), F.lit("x")).alias("text"), F.lit("pending").alias("status"))
+    done, _, _ = ingestion.embed_documents(docs, docs.where("doc_id % 10 = 0"), size=100, overlap=0)
+    return done.select("doc_id", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+@query(rf"SELECT doc_id, {_strip(r'regexp_replace(text, ' + chr(39) + r'\s+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS line, list_filter(list_transform(string_split(replace(text, ' ', ' , '), ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS first_item FROM documents")
+def one_line(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"), F.get(T.csv_list(F.replace("text", F.lit(" "), F.lit(" , "))), 0).alias("first_item"))
+
+
+def _marked_page() -> F.Column:
+    """A page with metadata that follows from page_id."""
+    k = F.col("page_id").cast("string")
+    parts = ['<html><head><meta property="og:title" content="T', k, '"><meta name="description" content="D', k, '"><meta name="keywords" content="b', k, ', a', k, '"><link rel="canonical" href="https://c.org/', k, '"><meta name="author" content=" A', k, ' "><script type="application/ld+json">{"datePublished": "2024-01-0', (F.col("page_id") % 9 + 1).cast("string"), 'T00:00:00Z", "keywords": ["k", "b', k, '"]}</script></head><body><img src="/i', k, '.png"><img src="https://x.org/y.png"><a rel="tag" href="/t"> z </a></body></html>']
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+@query("""SELECT page_id, 'T' || page_id AS og_title, 'D' || page_id AS description, 'https://c.org/' || page_id AS canonical, 'A' || page_id AS author, make_timestamp(2024, 1, page_id % 9 + 1, 0, 0, 0) AS published_at,
+array_to_string(list_sort(['a' || page_id, 'b' || page_id, 'k', 'z']), ',') AS tags, 'https://h.org/i' || page_id || '.png,https://x.org/y.png' AS images, 1::INT AS json_objects FROM pages""")
+def page_metadata(spark, sf_dir):
+    html = F.col("html")
+    rows = table(spark, sf_dir, "pages").select("page_id", _marked_page().alias("html"))
+    return rows.select("page_id", U.meta(html, "og:title").alias("og_title"), U.meta(html, "description").alias("description"), U.canonical(html).alias("canonical"), U.author(html).alias("author"), U.published_at(html).cast("timestamp_ntz").alias("published_at"), F.array_join(U.tags(html), ",").alias("tags"), F.array_join(U.images(html, F.lit("https://h.org/p")), ",").alias("images"), F.size(U.json_ld(html)).alias("json_objects"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) LIKE '%.com' AS same, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages WHERE lower(regexp_extract(url, '://([^/?#]*)', 1)) LIKE '%.com'")
+def same_domain(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lower(U.authority(F.col("url"))).alias("host"), "url")
+    other = F.concat(F.lit("http://"), F.regexp_replace("host", r"\.com$", ".com"), F.lit("/other"))
+    return pages.where(F.col("host").endswith(".com")).select("page_id", U.is_same_domain(F.col("url"), other).alias("same"), "host")
+
+
+@query("SELECT user_id AS job_id, event_id, ts, event_type AS job_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, user_id, event_id LIMIT 50")
+def recent_jobs(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.struct("user_id", "event_id").alias("job_id"), "ts", F.col("event_type").alias("job_type"))
+    return jobs.recent(log, "click").select(F.col("job_id.user_id").alias("job_id"), F.col("job_id.event_id").alias("event_id"), "ts", "job_type")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)")
+def get_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return storage.get(docs, "doc_id", docs.agg(F.min("doc_id")).first()[0])
+
+
+@query("SELECT doc_id, list_transform(range(0, (length(text) - 1) // 448 + 1), lambda i: i::INT) AS indexes, array_to_string(list_transform(range(0, (length(text) - 1) // 448 + 1), lambda i: substring(text, i * 448 + 1, 512)), '|') AS content FROM documents WHERE length(text) > 0")
+def document_with_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    found = storage.with_chunks(docs.select("doc_id"), chunking.fixed_chunks(docs))
+    return found.select("doc_id", F.transform("chunks", lambda c: c["chunk_index"]).alias("indexes"), F.array_join(F.transform("chunks", lambda c: c["content"]), "|").alias("content"))
+
+
+@query("SELECT kind, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT 'documents' AS kind, doc_id FROM documents UNION ALL SELECT 'chunks', doc_id FROM documents, range(3) UNION ALL SELECT 'points', doc_id FROM documents, range(2)) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY kind")
+def delete_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    gone = table(spark, sf_dir, "labels").where("toxic = 1")
+    left = storage.delete_document(docs, docs.crossJoin(spark.range(3).select("id")), docs.crossJoin(spark.range(2).select("id")), gone)
+    one = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    return one(left[0], "documents").unionByName(one(left[1], "chunks")).unionByName(one(left[2], "points"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source = 'src2'")
+def intent_filters(spark, sf_dir):
+    """The intent's languages win over the caller's."""
+    intent = cleaning.intent_filter(["de", "fr"])
+    spec = cleaning.merge_filters({"lang": "en", "source": "src2"}, {"lang": intent["category"]})
+    return cleaning.where(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), spec)
+
+
+@query("SELECT doc_id, lang AS lang_meta, source AS source_meta, 2::INT AS n FROM documents")
+def scalar_metadata(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.array("lang").alias("many"))
+    meta = sources.scalar_metadata(rows, ("doc_id",))
+    return rows.select("doc_id", meta["lang"].alias("lang_meta"), meta["source"].alias("source_meta"), F.size(F.map_keys(meta)).alias("n"))

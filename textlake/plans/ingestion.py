@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chunking, cleaning, dedup, vectors
 from ..sources import registry
+from .scratch import materialise
 
 OUTCOMES = ("rejected", "near_dup", "exact_dup", "indexed")
 
@@ -57,3 +59,57 @@ def points(done: DataFrame, model=vectors.hash_embed, size: int = 512, overlap:
     chunks = chunking.recursive_chunks(done.where("outcome = 'indexed'"), size, overlap)
     chunks = chunks.withColumn("id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256))
     return vectors.embed(chunks, "content", model)
+
+
+def embed_documents(documents: DataFrame, ids: DataFrame, model=vectors.hash_embed, size: int = 512, overlap: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, points) after embedding stored documents (doc_id, title, text, ...) of the given ids (doc_id).
+
+    Their status becomes `indexed`, with chunk_count, or `failed` where there is no text; others stay as they are. An id that
+    names no document raises KeyError.
+    """
+    ids = ids.select("doc_id").distinct()
+    missing = ids.join(documents.select("doc_id"), "doc_id", "left_anti").first()
+    if missing is not None:
+        raise KeyError(f"no document {missing.doc_id!r}")
+    chosen = documents.join(ids, "doc_id", "left_semi")
+    chunks = chunking.recursive_chunks(chosen, size, overlap).withColumn("vector_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256))
+    points = vectors.embed(chunks.join(chosen.select("doc_id", F.col("title").alias("document_title")), "doc_id"), "content", model)
+    points = points.select(F.col("vector_id").alias("id"), F.col("doc_id").cast("string").alias("document_id"), "document_title", "chunk_index", "content", "vector")
+    counted = ids.join(chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("_n")), "doc_id", "left").select("doc_id", F.coalesce("_n", F.lit(0)).alias("_n"))
+    kept = documents.columns
+    marked = documents.join(counted, "doc_id", "left")
+    for name, value in (("status", F.when(F.col("_n") > 0, "indexed").when(F.col("_n") == 0, "failed")), ("chunk_count", F.col("_n"))):
+        marked = marked.withColumn(name, F.coalesce(value, F.col(name)) if name in kept else value)
+    return marked.drop("_n"), chunks, points
+
+
+def embed_job(documents, chunks, points, doc_id, model=vectors.hash_embed, retries: int = 3, note=lambda doc_id, status: None) -> dict:
+    """Embed one stored document over three collections (keys doc_id, vector_id, id): processing, then indexed, or failed after so many retries."""
+    spark = documents.spark
+    for left in range(retries, -1, -1):
+        note(doc_id, "processing")
+        try:
+            ids = spark.createDataFrame([(doc_id,)], ["doc_id"])
+            docs, parts, vecs = embed_documents(documents.read(), ids, model)
+            parts = materialise(parts, "chunks")
+            points.upsert(vecs)
+            chunks.upsert(parts)
+            documents.replace(docs)
+            n = parts.count()
+            note(doc_id, "indexed" if n else "failed")
+            return {"document_id": doc_id, "chunks": n, "status": "indexed" if n else "failed"}
+        except KeyError:
+            note(doc_id, "failed")
+            raise
+        except Exception:
+            if not left:
+                note(doc_id, "failed")
+                raise
+            note(doc_id, "retrying")
+
+
+def process_legacy(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(doc_id, content_hash, language, chunk_index, content, token_count, start_word, end_word): the older cleaning, then language, hash and word chunks."""
+    rows = docs.select("doc_id", T.clean_text_legacy(F.col("text")).alias("text"))
+    rows = rows.select("doc_id", "text", T.content_hash(F.col("text")).alias("content_hash"), L.detect_language_or_unknown(F.col("text")).alias("language"))
+    return rows.select("doc_id", "content_hash", "language").join(chunking.word_chunks(rows, size, overlap), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -24,6 +24,13 @@ SITES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
     "medium.com": (('section[data-field="body"]', ".story-body", "article"), (".pw-author-name", ".author-name", 'a[rel="author"]'), (*NOISE, "svg")),
 }
 DEFAULT = (CONTENT, AUTHOR, NOISE)
+DATES = {
+    "bbc.com": ("article:published_time", "datePublished"),
+    "bbc.co.uk": ("article:published_time", "datePublished"),
+    "cnn.com": ("og:article:published_time", "article:published_time", "pubdate", "date"),
+    "medium.com": ("article:published_time", "parsely-pub-date"),
+}
+OVERLAYS = {"medium.com": ("meteredContent", "overlay", "branch-journey-wrapper")}
 #: A container with less text gives way to the body.
 MIN_CONTENT = 100
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -96,12 +103,30 @@ def adapter(host: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...
     return SITES.get(host) or SITES.get(host.removeprefix("www.")) or DEFAULT
 
 
+def _remove(root: _Element, classes: frozenset[str]) -> None:
+    """Take out the elements that have one of the classes."""
+    for e in root.walk():
+        e.kids = [k for k in e.kids if isinstance(k, str) or classes.isdisjoint(k.attrs.get("class", "").split())]
+
+
+def published(html: Column, url: Column) -> Column:
+    """The date by the site's own meta elements, where it has such; else by the general ones."""
+    host = F.regexp_replace(F.lower(U.authority(url)), r"^www\.", "")
+    out = U.published_at(html)
+    for site, names in DATES.items():
+        out = F.when(host == site, U.published_at(html, names)).otherwise(out)
+    return out
+
+
 def scrape(host: str, html: str, legacy: bool = False) -> tuple[str, str | None]:
     """(content, author by selector) of a page."""
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
     root = builder.root
+    bare = (host or "").lower().removeprefix("www.")
+    if bare in OVERLAYS:
+        _remove(root, frozenset(OVERLAYS[bare]))
     contents, authors, noise = (CONTENT_LEGACY, AUTHOR, NOISE) if legacy else adapter(host)
     noise = frozenset(noise)
     found = next((e for e in map(root.select, contents) if e is not None), None)
@@ -130,7 +155,7 @@ def articles(pages: DataFrame, legacy: bool = False) -> DataFrame:
         .withColumn("content", F.col("_a.content"))
         .withColumn("author", F.coalesce(U.author(page), F.col("_a.by")))
         .withColumn("description", F.coalesce(U.meta(page, "description"), U.meta(page, "og:description")))
-        .withColumn("published_at", U.published_at(page))
+        .withColumn("published_at", published(page, F.col("url")))
         .withColumn("tags", U.tags(page))
         .withColumn("images", images)
         .withColumn("canonical_url", U.canonical(page))

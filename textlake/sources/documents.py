@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -134,7 +134,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def from_website(crawled: DataFrame) -> DataFrame:
     """Crawled pages (url, depth, content_hash, html) as documents."""
     df = parse_pages(crawled)
-    meta = F.create_map(F.lit("depth"), F.col("depth").cast("string"), F.lit("content_hash"), F.col("content_hash"))
+    page = F.col("html")
+    held = {"depth": F.col("depth").cast("string"), "content_hash": F.col("content_hash"), "crawled_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "description": U.meta(page, "description"), "canonical_url": U.canonical(page)}
+    meta = F.map_filter(F.create_map(*(x for k, v in held.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
     return as_documents(df, "website", "web", F.col("text"), F.col("title"), F.col("url"), U.html_lang(F.col("html")), meta)
 
 
@@ -149,7 +151,11 @@ def warc_records(data: bytes) -> Iterator[tuple[str, str, bytes]]:
             return
         fields = dict(line.split(":", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
         fields = {k.lower(): v.strip() for k, v in fields.items()}
-        size = int(fields.get("content-length", "0") or 0)
+        length = fields.get("content-length", "0") or "0"
+        if not (length.isascii() and length.isdigit()):  # a broken record; the next one is looked for
+            at = end + 4
+            continue
+        size = int(length)
         yield fields.get("warc-type", ""), fields.get("warc-target-uri", ""), data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -223,6 +229,9 @@ class DocumentSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self, int(self.options.get("parts", "2")))
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _StreamReader(self, int(self.options.get("parts", "2")))
+
 
 class _Reader(DataSourceReader):
     def __init__(self, source: DocumentSource, parts: int):
@@ -233,3 +242,25 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
         yield from self.source.load(partition.value, self.parts)
+
+
+class _StreamReader(SimpleDataSourceStreamReader):
+    """The parts of a source one after the other, a part for each trigger."""
+
+    def __init__(self, source: DocumentSource, parts: int):
+        self.source, self.parts = source, parts
+
+    def initialOffset(self) -> dict:
+        return {"part": 0}
+
+    def read(self, start: dict):
+        part = start["part"]
+        if part >= self.parts:
+            return iter(()), start
+        return iter(list(self.source.load(part, self.parts))), {"part": part + 1}  # a part is kept until it is committed
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([row for part in range(start["part"], end["part"]) for row in self.source.load(part, self.parts)])
+
+    def commit(self, end: dict) -> None:
+        pass
