@@ -1,4 +1,10 @@
-"""From raw documents to token ids: quality rules, near-duplicates, decontamination, secrets, encoding."""
+"""From raw documents to token ids: quality rules, near-duplicates, decontamination, secrets, encoding.
+
+Defined results: null and blank texts fail the quality rules, and later stages alone keep them as they are (no group, no leak, no secret, no
+token). Rows that repeat an id are one document and one of them stays, rows of null id one for each distinct text, see near_dup.keep_one.
+Very long texts are processed whole. Columns besides doc_id and text pass through all stages but the last, whatever their names. Empty
+tables of documents, labels or a benchmark give stages that drop nothing for want of them, and an empty result of the same columns.
+"""
 
 from __future__ import annotations
 
