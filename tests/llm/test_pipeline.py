@@ -46,3 +46,32 @@ def test_near_dedup_drops_copies_with_an_added_block(spark):
     words = [f"w{i}" for i in range(120)]
     docs = spark.createDataFrame([(1, " ".join(words[:100])), (2, " ".join(words)), (3, "another text")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_edge_cases(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, clashing columns, empty tables."""
+    columns = "doc_id long, text string, set_key string, _base string, kept boolean, ids string, host long"
+    long = " ".join(f"w{i % 5003}x{i % 7919}" for i in range(60_000))
+    rows = [(1, words(1)), (1, words(1)), (1, words(2)), (None, words(3)), (None, words(3)), (4, words(3)), (5, None), (6, ""), (7, " \n"), (8, long), (9, long + " more"), (10, words(10) + " token = abcdefghijklmnop")]
+    docs = spark.createDataFrame([(*r, "k", "b", True, "i", 1) for r in rows], columns)
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, some in (("all", docs), ("none", docs.limit(0))):
+        at = f"file://{tmp_path}/{name}"
+        some.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = f(spark, now, at)
+            assert now.columns == docs.columns, stage
+        out = corpus_pipeline.run(spark, at)
+        got = out.collect()
+        assert "ids" in out.columns and len(got) == now.count()
+        if name == "none":
+            assert not got
+            continue
+        ids = [r.doc_id for r in got]
+        assert sorted(i for i in ids if i is not None) == [1, 4, 8, 10] and ids.count(None) == 0
+    # every stage alone takes rows that the first would drop
+    for stage, f in corpus_pipeline.STAGES[1:]:
+        assert {5, 6, 7} <= {r.doc_id for r in f(spark, docs, at).select("doc_id").collect()}, stage
