@@ -10,7 +10,7 @@ a region that are in different components still; signatures must agree. Links ar
 
 What that bound leaves out is made up for last: classes that meet in regions crowded at the first depth are a family, and in
 every family with more than one component, all classes outside its largest component are held against all of its classes by
-full sets, in a grid of cells of at most about CELL shingles a side.
+full sets, in a grid of cells of at most about CELL shingles a side. So pairs of one family are no candidates of the third round.
 
 A set that more than HOT rows share is given its component by broadcast (there are at most rows / HOT such sets), rows without a set need none,
 and only the others are joined, so no key of that join has more than HOT rows.
@@ -128,11 +128,12 @@ def _regions(depth: int):
 
 
 def _across(threshold: float, best: bool):
-    """Rows (region, doc, comp, sig), sorted by region -> pairs from different components whose signatures agree; best: each document's best only."""
+    """Rows (region, doc, comp, family, sig), sorted by region -> pairs from different components whose signatures agree; best: each document's
+    best only, else all but those of one family."""
 
-    def pairs(doc: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(doc: np.ndarray, comp: np.ndarray, family: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(len(doc)):
-            other = np.flatnonzero(comp != comp[i]) if best else i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+            other = np.flatnonzero(comp != comp[i]) if best else i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (family[i + 1 :] != family[i]))
             if len(other):
                 alike = (sig[other] == sig[i]).mean(axis=1)
                 other = other[alike >= threshold] if not best else other[alike >= max(threshold, alike.max())][:1]
@@ -144,7 +145,7 @@ def _across(threshold: float, best: bool):
             if batch is None:
                 ready, rest = rest, None
             else:
-                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, VALUES)]
+                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, VALUES)]
                 if rest is not None:
                     now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
                 cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
@@ -245,10 +246,10 @@ def _cells(percent: int):
     return run
 
 
-def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Links (a, b) between components whose classes meet in crowded regions; None if no family has two components.
+def _families(crowded: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """(doc, family) of the classes that meet in crowded regions (region, doc) with more than one component; None if there are none.
 
-    crowded: (region, doc); comps: (node, comp), of linked classes at least; sizes: (doc, n_shingles) of all classes.
+    comps: (node, comp), of linked classes at least.
     """
     crowded = crowded.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     mixed = crowded.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("region")
@@ -258,7 +259,14 @@ def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: Data
         return None
     hubs = crowded.groupBy("region").agg(F.min("doc").alias("hub"))
     families = components(crowded.join(hubs, "region").where("doc <> hub").select(F.col("doc").alias("u"), F.col("hub").alias("v")), n)
-    named = families.select(F.col("node").alias("doc"), F.col("comp").alias("family")).join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    release(crowded)
+    return families.select(F.col("node").alias("doc"), F.col("comp").alias("family"))
+
+
+def _settle(docs: DataFrame, families: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """Links (a, b) between components of a family, by full sets; None if no family has two components. sizes: (doc, n_shingles) of all classes."""
+    n = families.count()
+    named = families.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     named = materialise(named.join(sizes, "doc"), "families", n)
     parts = named.groupBy("family", "comp").agg(F.sum("n_shingles").alias("held"))
     # a grid of cells: classes outside the largest component by all classes
@@ -275,7 +283,7 @@ def _families(docs: DataFrame, crowded: DataFrame, comps: DataFrame, sizes: Data
     both = keep.unionByName(meet).withColumn("cell", F.xxhash64("family", "rest", "other")).join(own, "doc")
     both = both.repartition("cell").sortWithinPartitions("cell", "side").select("cell", "side", "doc", "comp", "shingles")
     out = materialise(both.mapInArrow(_cells(percent), "a long, b long"), "links")
-    release(crowded, families, named, grid, ids, sets)
+    release(named, grid, ids, sets)
     return out
 
 
@@ -336,19 +344,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     ties = known.join(twice, "doc_id", "left_semi").join(classes.select("set_key", "doc"), "set_key").where("doc_id <> doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
 
     tested = first
+    families = None
     for best in (True, False):
         named = members.select("region", "doc").join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        if not best:
+            families = _families(levels[0].where(F.col("n") > REGION).select("region", "doc"), comps)
+        named = named.withColumn("family", F.col("doc")) if families is None else named.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
         named = materialise(named, "named", n_live)
-        mixed = named.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("region")
-        rows = named.join(mixed, "region").join(heads, "doc").repartition("region").sortWithinPartitions("region", "doc").select("region", "doc", "comp", "sig")
+        mixed = named.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("family").alias("one"), F.max("family").alias("two")).where("low <> high and one <> two").select("region")
+        rows = named.join(mixed, "region").join(heads, "doc").repartition("region").sortWithinPartitions("region", "doc").select("region", "doc", "comp", "family", "sig")
         pairs = rows.mapInArrow(_across(percent / 100 - SLACK, best), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs", n_live)
         more = confirm(docs, pairs, percent, width)
         tested = tested.unionByName(pairs)
         # a component so far is a star around its smallest member
         comps = _joined(comps, more)
-    dense = levels[0].where(F.col("n") > REGION).select("region", "doc")
-    more = _families(docs, dense, comps, known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc"), percent, width)
+    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc")
+    more = None if families is None else _settle(docs, families, comps, sizes, percent, width)
     comps = _joined(comps, more, ties)
 
     release(heads, *levels, first, links, more)
