@@ -77,6 +77,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -88,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_token_counts": op11_token_counts,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,5 +152,48 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('<turn>') + length(head) + 1 + length(body) + length('</turn>') + 2)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
+""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+held AS (SELECT * FROM d WHERE len(terms) > 0),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM held),
+postings AS (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM held),
+tf AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM postings GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term), corpus GROUP BY item_id, row, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text),
+      regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM t LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, f),
+orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)),
+steps AS (SELECT o, step, ascii(o[step]) - 64 AS k, list_transform(range(1, step), lambda i: ascii(o[i]) - 64) AS earlier FROM orders, range(1, 6) r(step) WHERE length(o) = 5),
+counted AS (
+  SELECT part, o AS filter_order, step::INT AS step, k,
+    coalesce(sum(n) FILTER (NOT f[k] AND NOT list_bool_or(list_concat([false], list_transform(earlier, lambda i: f[i])))), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (f[k] AND NOT list_bool_or(list_concat([false], list_transform(earlier, lambda i: f[i])))), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (f[k] AND list_bool_or(list_concat([false], list_transform(earlier, lambda i: f[i])))), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (f[k] AND len(list_filter(f, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (f[k] AND NOT list_bool_or(list_concat([false], list_transform(earlier, lambda i: f[i])))), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (f[k] AND NOT list_bool_or(list_concat([false], list_transform(earlier, lambda i: f[i])))), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, o, step, k)
+SELECT * EXCLUDE (k), (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM counted
 """,
 }
