@@ -75,3 +75,25 @@ def test_edge_cases(spark, tmp_path):
     # every stage alone takes rows that the first would drop
     for stage, f in corpus_pipeline.STAGES[1:]:
         assert {5, 6, 7} <= {r.doc_id for r in f(spark, docs, at).select("doc_id").collect()}, stage
+
+
+def test_columns_of_any_name_and_type_pass_through(spark, tmp_path):
+    names = ["_base", "_hot", "_spans", "_was", "_found", "_cut", "row", "near_dup_id", "set_key", "k", "of", "a b", "x.y"]
+    columns = "doc_id long, text string, n_chars long, metadata map<string,string>, many array<struct<a:int,b:map<int,string>>>, " + ", ".join(f"`{n}` string" for n in names)
+    row = lambda i, text: (i, text, len(text or ""), {"k": str(i), "l": "z"}, [(1, {2: "b"})], *names)
+    rows = [row(1, words(1)), row(1, words(1)), row(2, words(2) + " token = abcdefghijklmnop"), row(3, words(1)), row(None, words(4)), row(None, words(4)), row(5, words(5))]
+    docs = spark.createDataFrame(rows, columns)
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, words(999, 30))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    now = docs
+    for stage, f in corpus_pipeline.STAGES[:-1]:
+        now = f(spark, now, at)
+        assert now.schema.simpleString() == docs.schema.simpleString(), stage
+        now = spark.createDataFrame(now.collect(), docs.schema)
+    got = {r.doc_id: r for r in now.collect()}
+    assert now.count() == 4 and set(got) == {1, 2, 5, None}
+    for r in got.values():
+        assert all(r[n] == n for n in names) and r.metadata["l"] == "z" and r.many[0].b == {2: "b"} and r.n_chars == len(r.text)
+    assert got[2].text.endswith(" [SECRET]")
+    assert corpus_pipeline.encode(spark, now, at).count() == 4

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import limit_batches, materialise, release
+from .store import filter_rows, limit_batches, materialise, release
 from .words import chunks, grams, hashed, mix
 
 #: Word edits for each word of an item, at most: similarity 0.8 or more.
@@ -344,14 +344,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def _dropper(block: list[tuple[int, bytes]], edit_share: float):
+def _dropper(block: list[tuple[int, bytes]], edit_share: float, text: str):
     made: list[Tables] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(Tables(list(zip([i for i, _ in block], item_words([t for _, t in block]), strict=True)), edit_share))
         for batch in batches:
-            texts = [x or b"" for x in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array([not found for found in made[0].scan(texts)], pa.bool_()))
 
     return run
@@ -362,7 +362,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_S
     limit_batches(docs.sparkSession)
     blocks, items = _items(benchmark)
     for block in items:
-        was, docs = docs, docs.mapInArrow(_dropper(block, edit_share), docs.schema)
+        was, docs = docs, filter_rows(docs, lambda text, block=block: _dropper(block, edit_share, text))
         if blocks > 1:
             docs = materialise(docs, "clean")
             release(was)

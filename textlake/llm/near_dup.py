@@ -381,18 +381,22 @@ def keep_one(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     """The rows of docs but those linked to a document of a smaller id, with all their columns.
 
     A row of null id counts as a document whose id follows from its text and is larger than all others; of rows that are one
-    document, by a repeated id or as equal texts of null id, the one whose columns hash lowest stays.
+    document, by a repeated id or as equal texts of null id, the one whose columns hash lowest, as JSON, stays. Columns may be of any name and type.
     """
-    extra = "_near_dup_id"
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    extra = "near_dup_id"
+    while extra in map(str.lower, docs.columns):
+        extra += "_"
     late = F.shiftrightunsigned(F.xxhash64("text"), 3) + (1 << 61)
     rows = docs.withColumn(extra, F.coalesce(F.col("doc_id").cast("long"), late))
     marks = near_duplicates(rows.select(F.col(extra).alias("doc_id"), "text"), percent, width)
     gone = materialise(marks.where("not kept").select(F.col("doc_id").alias(extra)).distinct(), "gone", docs.count())
     kept = keyed_join(rows, gone, extra, "left_anti")
-    again = materialise(rows.groupBy(extra).count().where("count > 1").select(extra), "again")
+    again = materialise(rows.groupBy(extra).agg(F.count("*").alias("n")).where("n > 1").select(extra), "again")
     n = again.count()
     if n:
-        mark = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
-        one = keyed_join(kept, again, extra, "left_semi", n).groupBy(extra).agg(F.min_by(F.struct(*docs.columns), mark).alias("row")).select("row.*")
-        return keyed_join(kept, again, extra, "left_anti", n).select(*docs.columns).unionByName(one)
-    return kept.select(*docs.columns)
+        whole = F.to_json(F.struct(*own))  # maps have no hash
+        mark = F.struct(F.xxhash64(whole), F.xxhash64(F.lit(1), whole), whole)
+        one = keyed_join(kept, again, extra, "left_semi", n).groupBy(extra).agg(F.min_by(F.struct(*own), mark).alias("row")).select("row.*")
+        return keyed_join(kept, again, extra, "left_anti", n).select(*own).unionByName(one)
+    return kept.select(*own)

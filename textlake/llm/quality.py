@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import limit_batches, materialise
+from .store import filter_rows, limit_batches, materialise
 from .words import chunks, grams, hashed
 
 #: Labelled documents that the model is fitted on, at most.
@@ -224,4 +224,4 @@ def _keeper(model: Model, text: str):
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     limit_batches(docs.sparkSession)
-    return docs.mapInArrow(_keeper(model, "text"), docs.schema)
+    return filter_rows(docs, lambda text: _keeper(model, text))

@@ -120,15 +120,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by REDACTED and n_chars, if there, brought up to date; other texts stay as they are."""
-    rows = with_spans(docs.withColumn("_was", F.col("text")))
+    """docs with every span replaced by REDACTED and n_chars, if there, brought up to date; other texts stay as they are.
+
+    The row travels as one struct beside its text, so its columns may have any names and types.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = with_spans(docs.select(F.struct(*own).alias("row"), "text"))
     # pieces are taken from four bytes a character, where every place is reached at once; a leading sign keeps a byte order mark from being read as one
     piece = "substring(decode(concat(encode('|', 'UTF-32'), substring(b, 4 * {0} + 1, 4 * ({1} - {0}))), 'UTF-32'), 2)"
     until = "(case when i > 0 then ends[i - 1] else 0 end)"
     parts = f"transform(_spans, (x, i) -> case when x.start >= {until} then concat({piece.format(until, 'x.start')}, '{REDACTED}') else '' end)"
     ends = _let("u", "transform(_spans, x -> x.end)", _scan("u", "greatest({}, {})"))
     cut = F.expr(_let("b", "encode(text, 'UTF-32')", _let("ends", ends, f"concat(array_join({parts}, ''), {piece.format('ends[size(ends) - 1]', 'cast(octet_length(b) / 4 as int)')})")))
-    rows = rows.withColumn("_cut", F.size("_spans") > 0).withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("_was")))
+    rows = rows.select("row", F.when(F.size("_spans") > 0, cut).alias("text"))  # null where nothing changes
+    given = lambda c: F.col("row").getField(c)
+    new = {"text": F.coalesce("text", given("text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(given("n_chars"))
+    return rows.select(*(new.get(c, given(c)).alias(c) for c in docs.columns))

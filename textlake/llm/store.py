@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import drop_at_exit, release, scratch_path, shared_dir
 
-__all__ = ["drop_at_exit", "keyed_join", "limit_batches", "materialise", "release", "scratch_path", "shared_dir"]
+__all__ = ["drop_at_exit", "filter_rows", "keyed_join", "limit_batches", "materialise", "release", "scratch_path", "shared_dir"]
 
 #: A side of a join is broadcast up to this many rows of one or two longs (32 MB of keys).
 BROADCAST_ROWS = 1_000_000
@@ -41,6 +43,12 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def filter_rows(docs: DataFrame, keeper: Callable[[str], Callable]) -> DataFrame:
+    """The rows of docs that an Arrow filter leaves; keeper(name of the text column) makes it. Columns get plain names on the way, as dots in names don't pass."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(keeper(f"c{docs.columns.index('text')}"), plain.schema).toDF(*docs.columns)
+
+
 def keyed_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str, rows: int | None = None) -> DataFrame:
     """Join with a narrow key table: broadcast if it is counted and small enough, else a shuffled join."""
     rows = keys.count() if rows is None else rows
