@@ -10,8 +10,13 @@ important by it, scaled down where a branch tells less than SHARE of what the re
 whatever they are called. Headings are measured without that scale, and nothing below an article element goes, as edited copies and series
 share headings and passages.
 
-By the meaning of their tags and roles, scripts, styles, forms, nav, aside and footer elements and headers outside articles go too, and inside
-articles those that are named as comments, adverts and the like by a whole class or id, and articles in articles, which are reader comments.
+By the meaning of their tags and roles, scripts, styles, forms, nav, aside and footer elements and headers outside articles go too. Inside
+articles, containers (never paragraphs, headings or inline elements) go that are named as adverts and the like by a whole class or id.
+
+Reader comments differ from page to page like main text, so they are found by what they are, everywhere: articles in articles; containers with
+a word for comments in a class or id, if they hold no main text; and runs of like siblings after the main text that are signed each, by
+a date, a time or an author (see `Talk`). Paths that are such runs on two pages of a judged host are comments on its other pages too,
+where there may be one only.
 Hosts with less than MIN_PAGES pages of different text tell nothing: there, article elements, else main elements, else the body are
 taken, without what is named as above. A page that would lose all its text is taken that way as well.
 
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_BYTES, limit_batches, materialise
+from .store import BROADCAST_BYTES, limit_batches, materialise, release
 
 LIMIT, DECAY, SHARE, MIN_PAGES = 0.2, 0.9, 0.6, 4
 #: Parts that a host's pages are joined in where its removed branches are too many to broadcast.
@@ -53,6 +58,10 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_NAMES = frozenset(
     "ad ads ad-box advert adverts advertisement sponsored promo sidebar navbar menu breadcrumb breadcrumbs cookie-banner cookie-consent cookie-notice notice popup newsletter subscribe share-buttons social related-posts comment comments comment-list comment-section reader-comments disqus_thread respond pagination".split()
 )
+#: Elements that are taken by their class or id.
+CONTAINERS = frozenset("article aside center dd details dialog dir div dl fieldset figure footer header li nav ol section table ul".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentarea discussion discussions disqus replies reply respond responses".split())
+SIGNING_WORDS = frozenset("author avatar byline commenter date datetime nick nickname posted time timestamp user username vcard".split())
 PROTECTED = frozenset("#root html body article main".split())
 BARRIERS = frozenset("article main td th table".split())
 CLOSES_P = BLOCK - frozenset("html head body caption option optgroup legend tbody td tfoot th thead tr title".split())
@@ -65,6 +74,10 @@ _STOP = re.compile(r"""[>"']""")
 _COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _DIGITS = re.compile(r"\d{2,}")
+_PARTS = re.compile(r"[-_:]+")
+_SIGNED = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/. ]+\w{3,9}\.?[-/., ]+\d{4}|\w{3,9}\.? \d{1,2},? \d{4}|\d{1,2}:\d{2}|\bago\b|\b(?:says|said|wrote|writes|replied|schrieb|sagt|dit|dice)\b|^\s*(?:by|von|par|por)\s", re.I)
+#: A signing text has so many characters at most.
+SIGNATURE = 60
 
 
 class Node:
@@ -189,18 +202,122 @@ def by_meaning(node: Node, inside: bool) -> bool:
 
 
 def by_name(node: Node) -> bool:
-    """No article text by a whole class or id."""
-    return node.tag not in ("html", "body") and not NOISE_NAMES.isdisjoint(node.names)
+    """A container that is no article text by a whole class or id."""
+    return bool(node.names) and node.tag in CONTAINERS and not NOISE_NAMES.isdisjoint(node.names)
+
+
+def _has(node: Node, words: frozenset[str], last: bool = False) -> bool:
+    """A class or id has one of the words as a part (last: as its last part)."""
+    return any(not words.isdisjoint(_PARTS.split(n)[-1:] if last else _PARTS.split(n)) for n in node.names)
 
 
-def roots(tree: Node) -> list[Node]:
+class Talk:
+    """The reader comments of a page: `nodes` are the branches that hold them, `paths` the keys of their items.
+
+    One pass notes for each element the characters before and in it, whether it is signed, and whether it holds what marks main text. Then siblings of one
+    tag that share a class (or have none) are a run from the first on that has the main text before it: they are signed, or, beside a
+    page's articles, each starts with a short text of its own; what comes before them is twice as long as one of them, and if that holds like siblings, those
+    are three times as long. Where a run fills its parent, the parent goes; else the heading right before it goes along.
+    """
+
+    def __init__(self, tree: Node, known: frozenset[int] = frozenset()):
+        self.nodes: set[int] = set()
+        self.paths: set[int] = set()
+        self.known = known
+        # by node: characters before, characters in it, signed, holds main text, starts with a short text in an element of its own
+        facts: dict[int, tuple[int, int, bool, bool, bool]] = {}
+        self.facts = facts
+        open_: list[list] = []
+        todo: list[tuple[Node | str, bool]] = [(tree, False)]
+        at, in_article, last_article, parents = 0, 0, -1, []
+        while todo:
+            item, closing = todo.pop()
+            if isinstance(item, str):
+                n = len(item) if not item.isspace() else 0
+                top = open_[-1]
+                if n and top[4] is None:
+                    top[4] = False
+                at += n
+                if n and n <= SIGNATURE and _SIGNED.search(item):
+                    top[2] = True
+            elif closing:
+                _, start, signed, main, lead = open_.pop()
+                chars = at - start
+                facts[id(item)] = start, chars, signed, main, bool(lead)
+                if item.tag == "article":
+                    in_article -= 1
+                    last_article = at
+                if open_:
+                    up = open_[-1]
+                    up[2] |= signed
+                    up[3] |= main or item.tag in ("h1", "main") or item.tag == "article" and not _has(item, COMMENT_WORDS, True)
+                    if up[4] is None and chars:
+                        up[4] = chars <= SIGNATURE if item.tag not in ("h1", "h2", "h3") and not lead else lead
+            elif by_meaning(item, in_article > 0) or by_name(item):
+                continue
+            else:
+                in_article += item.tag == "article"
+                signs = item.tag == "time" or bool(item.names) and _has(item, SIGNING_WORDS)
+                open_.append([item, at, signs, False, None])
+                todo.append((item, True))
+                todo += [(k, False) for k in reversed(item.kids)]
+                if any(not isinstance(k, str) and k.tag in CONTAINERS for k in item.kids):
+                    parents.append((item, in_article > 0))
+        for node, inside in parents:
+            self._judge(node, inside, last_article)
+
+    def _judge(self, parent: Node, inside: bool, last_article: int) -> None:
+        facts, kids = self.facts, [k for k in parent.kids if not isinstance(k, str) and id(k) in self.facts]
+        groups: dict[tuple[str, str], list[Node]] = defaultdict(list)
+        gone: list[Node] = []
+        for k in kids:
+            if k.tag not in CONTAINERS:
+                continue
+            start, chars, signed, main, _ = facts[id(k)]
+            if k.names and not main and start > 0 and _has(k, COMMENT_WORDS, k.tag == "article") or k.key in self.known and signed and start >= 2 * chars:
+                gone.append(k)
+            for n in {_DIGITS.sub("0", n) for n in k.names} or ("",):
+                groups[k.tag, n].append(k)
+        for group in groups.values():
+            if len(group) < 2:
+                continue
+            beside = not inside and 0 <= last_article <= facts[id(group[-1])][0]
+            first = len(group)
+            while first and (facts[id(group[first - 1])][2] or beside and facts[id(group[first - 1])][4]):
+                first -= 1
+            while first <= len(group) - 2:
+                run, earlier = group[first:], group[:first]
+                mean = sum(facts[id(k)][1] for k in run) / len(run)
+                before = facts[id(run[0])][0]
+                longer = not earlier or sum(facts[id(k)][1] for k in earlier) / len(earlier) >= 3 * mean
+                if mean and before >= 2 * mean and longer and not any(facts[id(k)][3] for k in run):
+                    gone += run
+                    self.paths.update(k.key for k in run)
+                    break
+                first += 1
+        if not gone:
+            return
+        picked = {id(k) for k in gone}
+        held = sum(facts[id(k)][1] for k in kids if id(k) in picked)
+        _, chars, _, main, _ = facts[id(parent)]
+        if parent.tag in CONTAINERS and parent.tag != "article" and not main and 5 * held >= 4 * (chars - sum(facts[id(k)][1] for k in kids if k.tag in HEADINGS)):
+            self.nodes.add(id(parent))
+            return
+        for before, k in zip([None, *kids], kids, strict=False):
+            if id(k) in picked:
+                self.nodes.add(id(k))
+                if before is not None and before.tag in HEADINGS and before.tag != "h1":
+                    self.nodes.add(id(before))
+
+
+def roots(tree: Node, talk: Talk) -> list[Node]:
     """Outermost articles, else main elements, else the body or the whole tree."""
 
     def of(tags: tuple[str, ...]) -> list[Node]:
         out, todo = [], [tree]
         while todo:
             node = todo.pop()
-            if by_meaning(node, False) or by_name(node):
+            if id(node) in talk.nodes or by_meaning(node, False) or by_name(node):
                 continue
             if node.tag in tags or "main" in tags and "role=main" in node.names:
                 out.append(node)
@@ -212,16 +329,16 @@ def roots(tree: Node) -> list[Node]:
 
 
 class Judgement:
-    """What the style tree says of a host: paths removed anywhere, and those removed outside the main region."""
+    """What the style tree says of a host: paths removed anywhere, those removed outside the main region, and those of reader comments."""
 
-    def __init__(self, low: list[int], weak: list[int], region: int):
-        self.low, self.weak, self.region = frozenset(low), frozenset(weak), region
+    def __init__(self, low: list[int], weak: list[int], region: int, talk: list[int] = ()):
+        self.low, self.weak, self.region, self.talk = frozenset(low), frozenset(weak), region, frozenset(talk)
 
     def removes(self, node: Node, inside: bool) -> bool:
         return node.tag not in PROTECTED and (node.key in self.low or not inside and node.key in self.weak)
 
 
-def walk(top: Node, judged: Judgement | None = None) -> list[str]:
+def walk(top: Node, talk: Talk, judged: Judgement | None = None) -> list[str]:
     """Blocks of text below top, without what is no article text by meaning, by the style tree or, inside articles and without it, by name."""
     blocks: list[str] = []
     line: list[str] = []
@@ -247,6 +364,8 @@ def walk(top: Node, judged: Judgement | None = None) -> list[str]:
             if block:
                 flush()
             if item is not top:
+                if id(item) in talk.nodes:
+                    continue
                 if by_meaning(item, inside == 2) or (inside == 2 or judged is None) and by_name(item) or inside == 2 and item.tag == "article":
                     continue
                 if judged is not None and inside < 2 and judged.removes(item, bool(inside)):
@@ -261,10 +380,11 @@ def walk(top: Node, judged: Judgement | None = None) -> list[str]:
 
 def extract(page: str, judged: Judgement | None = None) -> str:
     tree = parse(page)
-    blocks = walk(tree, judged) if judged is not None else []
+    talk = Talk(tree, judged.talk if judged is not None else frozenset())
+    blocks = walk(tree, talk, judged) if judged is not None else []
     if not blocks:
-        tops = roots(tree)
-        blocks = [b for top in tops for b in walk(top)] or [b for top in tops for k in top.kids if not isinstance(k, str) for b in walk(k)]
+        tops = roots(tree, talk)
+        blocks = [b for top in tops for b in walk(top, talk)] or [b for top in tops for k in top.kids if not isinstance(k, str) for b in walk(k, talk)]
     return "\n\n".join(blocks)
 
 
@@ -307,6 +427,8 @@ def measures(tree: Node) -> tuple[int, dict[int, list]]:
     return whole, found
 
 
+#: Stands for the depth in rows of paths that are runs of comments.
+COMMENTS = -1
 _MEASURED = "host string, path long, depth int, heading boolean, kids long, shape long, content long, chars long, page long"
 
 
@@ -315,19 +437,32 @@ def _style(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            whole, found = measures(parse(page or ""))
+            tree = parse(page or "")
+            whole, found = measures(tree)
             out += [(host, path, *of, whole) for path, of in found.items()]
+            out += [(host, path, COMMENTS, False, 0, 0, 0, 0, whole) for path in Talk(tree).paths]
         columns = list(zip(*out, strict=True)) or [()] * 9
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "depth", "heading", "kids", "shape", "content", "chars", "page"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, depth, heading, kids, presentation, content, importance, told) of the elements of every host's merged tree, over its
-    pages of different text; pages are (host, html) and parsed once."""
+def measured(pages: DataFrame) -> DataFrame:
+    """A row for each path, shape and content of every different page; pages are (host, html) and parsed once."""
     rows = pages.select("host", "html").mapInArrow(_style, _MEASURED)
     # equal pages count once
-    rows = materialise(rows.groupBy("host", "path", "shape", "content", "page").agg(*(F.max(c).alias(c) for c in ("depth", "heading", "kids", "chars"))), "paths")
+    return materialise(rows.groupBy("host", "path", "shape", "content", "page").agg(*(F.max(c).alias(c) for c in ("depth", "heading", "kids", "chars"))), "paths")
+
+
+def comment_paths(rows: DataFrame) -> DataFrame:
+    """(host, talk) of hosts with paths that are runs of comments on two pages or more."""
+    paths = rows.where(F.col("depth") == COMMENTS).groupBy("host", "path").agg(F.count_distinct("page").alias("n")).where("n > 1")
+    return paths.groupBy("host").agg(F.collect_list("path").alias("talk"))
+
+
+def style_tree(rows: DataFrame) -> DataFrame:
+    """(host, path, pages, depth, heading, kids, presentation, content, importance, told) of the elements of every host's merged tree, over its
+    pages of different text, from measured()."""
+    rows = rows.where(F.col("depth") != COMMENTS)
 
     def entropy(of: str, name: str, *more) -> DataFrame:
         counted = rows.groupBy("host", "path", of).agg(F.count("*").alias("c"), *(m[0] for m in more))
@@ -357,9 +492,9 @@ def judge(tree: DataFrame) -> DataFrame:
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, made = [], {}
-        for page, host, region, low, weak in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+        for page, host, region, low, weak, talk in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
             if region is not None and host not in made:
-                made[host] = Judgement(low or [], weak or [], region)
+                made[host] = Judgement(low or [], weak or [], region, talk or [])
             texts.append(extract(page or "", None if region is None else made[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -369,13 +504,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     limit_batches(pages.sparkSession)
     host = F.nullif(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    judged = materialise(judge(style_tree(rows.where("host is not null"))), "judged")
-    held = judged.agg(F.coalesce(F.sum(F.length("host") + 8 * (F.size("low") + F.size("weak")) + 64), F.lit(0))).first()[0]
+    paths = measured(rows.where("host is not null"))
+    judged = materialise(judge(style_tree(paths)).join(comment_paths(paths), "host", "left"), "judged")
+    release(paths)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    held = judged.agg(F.coalesce(F.sum(F.length("host") + 8 * (size("low") + size("weak") + size("talk")) + 64), F.lit(0))).first()[0]
     if held <= BROADCAST_BYTES:
         out = rows.join(F.broadcast(judged), "host", "left")
     else:
         salted = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     kinds = dict(pages.dtypes)
-    out = out.select("page_id", "url", "html", "host", "region", "low", "weak")
+    out = out.select("page_id", "url", "html", "host", "region", "low", "weak", "talk")
     return out.mapInArrow(_extractor, f"page_id {kinds['page_id']}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
