@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..config import CHUNK_OVERLAP, CHUNK_SIZE
 from ..functions import text as T
@@ -56,15 +56,31 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return out[:1] + [long if len(long) <= size + overlap else chunk for long, chunk in zip(led, out[1:], strict=True)]
 
 
-def recursive_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(doc_id, chunk_index, content, token_count); blank chunks are left out, with a gap in the index."""
+@udtf(returnType="chunk_index int, content string, token_count long, metadata map<string,string>", useArrow=True)
+class RecursiveChunks:
+    """Table function: text, its metadata, size and overlap -> chunks with the metadata and their number; blank chunks leave a gap in the index."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t or "", size, overlap))
+    def eval(self, text: str, metadata: dict, size: int, overlap: int):
+        for k, chunk in enumerate(split_recursive(text or "", size, overlap)):
+            if chunk.strip(T.BLANKS):
+                yield k, chunk, max(1, len(chunk) // 4), {**(metadata or {}), "chunk_index": str(k)}
 
-    rows = docs.select("doc_id", F.posexplode(split("text")).alias("chunk_index", "content"))
-    return rows.where(T.strip(F.col("content")) != "").withColumn("token_count", T.approx_tokens(F.col("content")))
+
+def register(spark: SparkSession) -> None:
+    """SELECT ... FROM docs, LATERAL recursive_chunks(text, metadata, 512, 64)."""
+    spark.udtf.register("recursive_chunks", RecursiveChunks)
+
+
+def recursive_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, inherit: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_index, content, token_count, metadata): chunks with their document's metadata, and with its columns in `inherit` as entries."""
+    spark = docs.sparkSession
+    register(spark)
+    own = F.col("metadata") if "metadata" in docs.columns else F.create_map().cast("map<string,string>")
+    entries = [x for c in inherit for x in (F.lit(c), F.col(c).cast("string"))]
+    if entries:
+        own = F.map_concat(F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*inherit)), F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull()))
+    rows = docs.select("doc_id", "text", own.alias("meta"))
+    return spark.sql("SELECT d.doc_id, c.* FROM {d} d, LATERAL recursive_chunks(d.text, d.meta, {size}, {overlap}) c", d=rows, size=size, overlap=overlap)
 
 
 def fixed(c: Column, size: int, overlap: int) -> Column:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import logging
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CONFIDENCE, RERANK_K, TOP_K, WEB_RESULTS
 from ..functions import text as T
+from ..plans.scratch import materialise
 from ..sources import registry
 from . import chunking, cleaning, ranking, vectors
 
 SYSTEM = "You answer from the numbered passages below and cite them by number. If they do not hold the answer, say so."
-NOTHING = "I could not find relevant information to answer your question."
+NOTHING = "None of the stored passages answers this question."
 
 
 class Llm(Protocol):
@@ -67,6 +69,50 @@ def retrieve(query: str, points: DataFrame, k: int = TOP_K, rerank_k: int = RERA
     return ranking.rerank(rows.withColumn("intent", F.lit(category)), rerank_k).orderBy("rank")
 
 
+def retrieve_many(queries: DataFrame, points: DataFrame, k: int = TOP_K, rerank_k: int = RERANK_K, vector: str = "vector", key: str = "id", content: str = "content", use_intent: bool = True) -> DataFrame:
+    """retrieve() for a table of queries (query_id long, text, vector): passages with query_id, category, vector_score, bm25_score, score and rank.
+
+    Queries of a topic search the points of its category and language, all queries of a topic at once; those without any hit search
+    all points. Topics are the registry's, a fixed list; columns that points lack don't filter. point keys are longs.
+    """
+    spark = points.sparkSession
+    asked = materialise(classify(queries, registry.categories(spark)) if use_intent else queries.withColumn("category", F.lit("general")), "asked")
+    space = points.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"), *(c for c in ("category", "language") if c in points.columns))
+    as_queries = lambda df: df.select(F.col("query_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    topics = [r.category for r in asked.select("category").distinct().collect()]
+    hits = None
+    for topic in sorted(set(topics) - {"general"}):
+        spec = {n: v for n, v in cleaning.intent_filter([topic], None, registry.LANGUAGES.get(topic)).items() if n in points.columns}
+        found = vectors.knn(as_queries(asked.where(F.col("category") == topic)), cleaning.where(space, spec), k, itself=True)
+        hits = found if hits is None else hits.unionByName(found)
+    rest = asked
+    if hits is not None:
+        hits = materialise(hits, "hits")
+        rest = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    wide = vectors.knn(as_queries(rest), space, k, itself=True)
+    hits = wide if hits is None else hits.unionByName(wide)
+    rows = hits.select("query_id", F.col("vec_id").alias(key), F.col("score").alias("vector_score"), F.col("rank").alias("pos"))
+    rows = rows.join(points.drop(*(c for c in ("category", "query_id", "rank", "score", "pos", "text") if c in points.columns and c != content)), key)
+    rows = rows.join(asked.select("query_id", F.col("text").alias("asked"), "category"), "query_id")
+    return ranking.rerank(rows.withColumn("bm25_score", ranking.bm25(F.col("asked"), F.col(content))), rerank_k)
+
+
+def answer_many(queries: DataFrame, points: DataFrame, llm: Llm | None = None, confidence: str = "vector_score", doc: str = "document_id", **kw) -> DataFrame:
+    """(query_id, category, answer, citations, confidence) of a table of queries; the model runs in tasks and gets a prompt a query. Queries without passages say so."""
+    model = llm or Extractive()
+
+    @F.pandas_udf("string")
+    def complete(prompts: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([model.complete(f"{SYSTEM}\n\n## Context\n\n{p}", t) for p, t in zip(prompts, texts, strict=True)])
+
+    found = materialise(retrieve_many(queries, points, **kw), "passages")
+    listed = found.groupBy("query_id").agg(F.max(confidence).alias("confidence"), F.first("category").alias("category"), F.array_sort(F.collect_list(F.struct(F.col("rank").alias("index"), F.col(doc).alias("document_id"), F.substring("content", 1, 300).alias("excerpt"), "score"))).alias("citations"))
+    made = context(found, doc=doc).join(listed, "query_id").join(queries.select("query_id", "text"), "query_id")
+    made = made.select("query_id", "category", complete("context", "text").alias("answer"), "citations", "confidence")
+    none = queries.select("query_id").join(made.select("query_id"), "query_id", "left_anti")
+    return made.unionByName(none.select("query_id", F.lit("general").alias("category"), F.lit(NOTHING).alias("answer"), F.lit(0.0).alias("confidence")), allowMissingColumns=True)
+
+
 def context(results: DataFrame, by: tuple[str, ...] = ("query_id",), title: str = "document_title", doc: str = "document_id", url: str = "url", content: str = "content") -> DataFrame:
     """One numbered block of passages for each query."""
     name = F.coalesce(F.nullif(F.col(title), F.lit("")), F.col(doc).cast("string"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import TOP_K
+from ..config import RRF_K, TOP_K
 from .cleaning import where
 
 DIM, BATCH = 384, 64
@@ -63,11 +63,22 @@ def search(points: DataFrame, query: list[float], k: int = TOP_K, spec: dict | N
     return top_k(points, query, k, spec, **kw)
 
 
-def hybrid(points: DataFrame, query: list[float], k: int = TOP_K, spec: dict | None = None, **kw) -> DataFrame:
-    """Twice as many dense hits, fused by reciprocal rank."""
-    hits = top_k(points, query, 2 * k, spec, **kw)
-    place = F.row_number().over(Window.orderBy(F.desc("score"), kw.get("key", "vec_id")))  # 2k rows
-    return hits.withColumn("rrf", 1 / (60 + place)).orderBy(F.desc("rrf")).limit(k)
+def hybrid(points: DataFrame, query: list[float], k: int = TOP_K, spec: dict | None = None, lexical: DataFrame | None = None, key: str = "vec_id", **kw) -> DataFrame:
+    """Twice as many dense hits and, where given, lexical ones (key, rank), fused by reciprocal rank; ties by key.
+
+    lexical: ranked hits for the same query, as of inverted.search(). Those that don't meet the filter are left out before they are
+    ranked anew; without them the dense list is alone.
+    """
+    hits = top_k(points, query, 2 * k, spec, key=key, **kw)
+    place = lambda *by: F.row_number().over(Window.orderBy(*by))  # noqa: E731  2k rows
+    dense = hits.withColumn("dense_rank", place(F.desc("score"), key))
+    if lexical is None:
+        return dense.withColumn("rrf", 1 / (RRF_K + F.col("dense_rank"))).orderBy(F.desc("rrf"), key).limit(k)
+    met = lexical.select(key, "rank").join(where(points, spec).select(key), key, "left_semi").orderBy("rank").limit(2 * k)
+    both = dense.select(key, "dense_rank").join(met.select(key, place("rank").alias("lexical_rank")), key, "full")
+    part = lambda c: F.coalesce(1 / (RRF_K + F.col(c)), F.lit(0.0))
+    best = both.withColumn("rrf", part("dense_rank") + part("lexical_rank")).orderBy(F.desc("rrf"), key).limit(k)
+    return points.join(F.broadcast(best), key).orderBy(F.desc("rrf"), key)  # k rows
 
 
 def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list]:
@@ -79,8 +90,8 @@ def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list]:
             yield part
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k nearest points of every query other than itself.
+def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000, itself: bool = False) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k nearest points of every query, other than itself unless `itself`.
 
     Queries are a stated set: blocks of them go to the tasks, each task keeps its k best for every query, and a second
     step ranks those; points are never paired with each other.
@@ -100,7 +111,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000
                 m = np.stack([np.asarray(v, np.float64) for v in batch.embedding])
                 score = (matrix @ m.T) / (norms[:, None] * np.sqrt((m**2).sum(axis=1))[None])
                 other = batch.vec_id.to_numpy()
-                score[ids[:, None] == other[None]] = -np.inf
+                if not itself:
+                    score[ids[:, None] == other[None]] = -np.inf
                 found = np.broadcast_to(other, score.shape)
                 if best is not None:
                     score, found = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], found], axis=1)

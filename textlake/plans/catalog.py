@@ -12,8 +12,8 @@ from ..config import JACCARD, NUM_PERM, DatasetConfig
 from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunking, cleaning, crawl, datasets, dedup, fetch, jobs, ranking, retrieval, robots, storage, vectors
-from ..sources import article
+from ..operators import chunking, cleaning, crawl, datasets, dedup, fetch, inverted, jobs, ranking, retrieval, robots, storage, vectors
+from ..sources import archives, article
 from ..sources import documents as sources
 from ..sources import registry
 from ..streaming import ingest
@@ -185,9 +185,36 @@ def instruction_samples(spark, sf_dir):
     return chunking.instruction_samples(docs)
 
 
-@query()
+def _split_sql(text: str, size: int = 512, overlap: int = 64, level: int = 0) -> str:
+    """The list of chunks of a text: pieces of a level folded together while they fit, longer ones split by the next level, then the overlap."""
+    names = (f"{v}{level}" for v in ("p", "s", "x", "m", "o", "i"))
+    p, s, x, m, o, i = names
+    mark = ("chr(10) || chr(10)", "chr(10)", "'. '", "' '", "''")[level]
+    if level == 4:
+        parts = f"list_transform(range(0, (length({text}) + {size - 1}) // {size}), lambda {i}: substring({text}, {i} * {size} + 1, {size}))"
+    else:
+        none = "{{'t': '', 'l': false}}".format()
+        fits = f"CASE WHEN {s}.cur = '' THEN length({x}) <= {size} ELSE length({s}.cur) + length({mark}) + length({x}) <= {size} END"
+        grown = f"CASE WHEN {s}.cur = '' THEN {x} ELSE {s}.cur || {mark} || {x} END"
+        out = f"list_concat({s}.out, CASE WHEN {s}.cur = '' THEN [] ELSE [{{'t': {s}.cur, 'l': false}}] END, CASE WHEN length({x}) > {size} THEN [{{'t': {x}, 'l': true}}] ELSE [] END)"
+        step = f"CASE WHEN {fits} THEN {{'cur': {grown}, 'out': {s}.out}} ELSE {{'cur': CASE WHEN length({x}) > {size} THEN '' ELSE {x} END, 'out': {out}}} END"
+        fold = f"list_reduce(list_transform(string_split({text}, {mark}), lambda {p}: {{'cur': {p}, 'out': [{none}][1:0]}}), lambda {s}, {s}n: list_transform([{s}n.cur], lambda {x}: {step})[1], {{'cur': '', 'out': [{none}][1:0]}})"
+        whole = f"list_transform([{fold}], lambda {m}: list_concat({m}.out, CASE WHEN {m}.cur = '' THEN [] ELSE [{{'t': {m}.cur, 'l': false}}] END))[1]"
+        parts = f"flatten(list_transform({whole}, lambda {m}: CASE WHEN {m}.l THEN {_split_sql(f'{m}.t', size, overlap, level + 1)} ELSE [{m}.t] END))"
+    led = f"{o}[{i} - 1][-{overlap}:] || {mark} || {o}[{i}]"
+    return f"list_transform([{parts}], lambda {o}: list_transform(range(1, len({o}) + 1), lambda {i}: CASE WHEN {i} > 1 AND length({led}) <= {size + overlap} THEN {led} ELSE {o}[{i}] END))[1]"
+
+
+def _chunks_sql(docs: str) -> str:
+    """(doc_id, chunk_index, content, token_count) of a table of doc_id and text."""
+    return f"SELECT doc_id, (i - 1)::INT AS chunk_index, c[i] AS content, greatest(1, length(c[i]) // 4)::BIGINT AS token_count FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {_split_sql('text')} AS c FROM {docs})) WHERE {_strip('c[i]')} <> ''"
+
+
+@query(f"SELECT c.*, d.source AS source, d.lang AS lang, c.chunk_index::VARCHAR AS meta_index FROM ({_chunks_sql('documents')}) c JOIN documents d USING (doc_id)")
 def recursive_chunks(spark, sf_dir):
-    return chunking.recursive_chunks(table(spark, sf_dir, "documents"))
+    found = chunking.recursive_chunks(table(spark, sf_dir, "documents"), inherit=("source", "lang"))
+    meta = lambda k: F.col("metadata")[k]
+    return found.select("doc_id", "chunk_index", "content", "token_count", meta("source").alias("source"), meta("lang").alias("lang"), meta("chunk_index").alias("meta_index"))
 
 
 _Q = "[" + ", ".join(f"{x!r}::DOUBLE" for x in ASKED_VECTOR) + "]"
@@ -214,6 +241,20 @@ def hybrid_topk(spark, sf_dir):
     return vectors.hybrid(table(spark, sf_dir, "embeddings"), ASKED_VECTOR).select("vec_id", F.round("rrf", 6).alias("rrf"))
 
 
+@query(f"""WITH d AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20),
+t AS (SELECT doc_id AS vec_id, round(list_sum([0.0] || list_transform([{', '.join(repr(w) for w in ASKED.split())}], lambda q: ln(2) * len(list_filter(w, lambda y: y = q)) * 2.5 / (len(list_filter(w, lambda y: y = q)) + 1.5 * (0.25 + 0.75 * len(w) / 200.0)))), 9) AS score FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents)),
+h AS (SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS p FROM t WHERE score > 0 QUALIFY p <= 200),
+l AS (SELECT vec_id, row_number() OVER (ORDER BY p) AS r FROM h WHERE vec_id IN (SELECT vec_id FROM embeddings) QUALIFY r <= 20)
+SELECT vec_id, d.r::INT AS dense_rank, l.r::INT AS lexical_rank, round(coalesce(1 / (60 + d.r), 0) + coalesce(1 / (60 + l.r), 0), 6)::DOUBLE AS rrf FROM d FULL JOIN l USING (vec_id) ORDER BY coalesce(1 / (60 + d.r), 0) + coalesce(1 / (60 + l.r), 0) DESC, vec_id LIMIT 10""")
+def hybrid_search(spark, sf_dir):
+    """Dense hits over embeddings and lexical ones over an inverted index of documents, which is built first."""
+    path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    inverted.add(table(spark, sf_dir, "documents"), path)
+    asked = spark.createDataFrame([(0, ASKED)], "query_id long, text string")
+    hits = inverted.search(spark, path, asked, k=200).select(F.col("doc_id").alias("vec_id"), "rank")
+    return vectors.hybrid(table(spark, sf_dir, "embeddings"), ASKED_VECTOR, lexical=hits).select("vec_id", "dense_rank", "lexical_rank", F.round("rrf", 6).alias("rrf"))
+
+
 @query("""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (
     SELECT q.vec_id AS query_id, p.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
@@ -281,6 +322,36 @@ def intent_route(spark, sf_dir):
     return asked.select("conv_id", "turn", "category", F.round("intent_confidence", 6).alias("intent_confidence"))
 
 
+def _answers_sql() -> str:
+    quote = lambda w: "'" + w.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, '{name}', {quote(registry.LANGUAGES[name]) if name in registry.LANGUAGES else 'NULL'}, [{', '.join(map(quote, words))}])" for k, (name, (_, words, _)) in enumerate(registry.CATEGORIES.items()))
+    bm25 = _bm25_sql("q", 200, "ln(2)")
+    return f"""WITH k(ord, category, speaks, words) AS (VALUES {rows}),
+q AS (SELECT item_id AS query_id, text, CASE WHEN n > 0 THEN category ELSE 'general' END AS category, speaks, embedding FROM (
+  SELECT item_id, text, category, speaks, len(list_filter(words, lambda w: contains(lower(text), w))) AS n, row_number() OVER (PARTITION BY item_id ORDER BY len(list_filter(words, lambda w: contains(lower(text), w))) DESC, ord) AS r FROM benchmark, k) JOIN embeddings ON vec_id = item_id WHERE r = 1),
+p AS (SELECT doc_id, text AS content, lang AS language, embedding, CASE WHEN label % 2 = 0 THEN 'academic_ai' ELSE 'thai_law' END AS category FROM documents JOIN embeddings ON vec_id = doc_id),
+s AS (SELECT query_id, q.category, doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS v, q.category <> 'general' AND p.category = q.category AND (speaks IS NULL OR p.language = speaks) AS own FROM q, p),
+u AS (SELECT *, bool_or(own) OVER (PARTITION BY query_id) AS met FROM s),
+t AS (SELECT query_id, category, doc_id, v, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, doc_id) AS vr FROM u WHERE own OR NOT met QUALIFY vr <= 10),
+b AS (SELECT t.*, content, round((SELECT {bm25} FROM (SELECT {_words('lower(q.text)')} AS q, {_words('lower(p.content)')} AS t)), 9)::DOUBLE AS bm FROM t JOIN q USING (query_id) JOIN p USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, vr) AS br FROM b),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.7::DOUBLE / (60 + vr) + 0.3::DOUBLE / (60 + br) DESC, vr) AS rank FROM r)
+SELECT query_id, any_value(category) AS category, max(CASE WHEN rank = 1 THEN CASE WHEN split_part(split_part(content, chr(10) || chr(10), 1), '. ', 1) = '' THEN '{retrieval.NOTHING}' ELSE split_part(split_part(content, chr(10) || chr(10), 1), '. ', 1) END END) AS answer,
+  string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS cited, round(max(v), 6) AS confidence FROM f WHERE rank <= 5 GROUP BY query_id"""
+
+
+@query(_answers_sql())
+def rag_answers(spark, sf_dir):
+    """Benchmark items as questions over documents: intent, filtered search, reranking, prompt, model and citations; vectors are those given."""
+    given = table(spark, sf_dir, "embeddings")
+    asked = table(spark, sf_dir, "benchmark").join(given.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id").select(F.col("item_id").alias("query_id"), "text", "vector")
+    topic = F.when(F.col("label") % 2 == 0, "academic_ai").otherwise("thai_law")
+    held = table(spark, sf_dir, "documents").join(given, F.col("vec_id") == F.col("doc_id"))
+    points = held.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("").alias("document_title"), F.lit("").alias("url"), F.col("text").alias("content"), F.col("lang").alias("language"), topic.alias("category"), F.col("embedding").alias("vector"))
+    out = retrieval.answer_many(asked, points)
+    return out.select("query_id", "category", "answer", F.array_join(F.transform("citations", lambda c: c["document_id"]), ",").alias("cited"), F.round("confidence", 6).alias("confidence"))
+
+
 def _registry_sql() -> str:
     return ", ".join(f"({k}, '{name}', '{url}', '{lang}', {depth}, {n})" for k, (name, (_, _, own)) in enumerate(registry.CATEGORIES.items()) for url, lang, depth, n in own)
 
@@ -545,7 +616,11 @@ def ingest_stats(spark, sf_dir):
     return ingestion.stats(ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de")))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, lang, {_CLEANED} AS text FROM documents),
+k AS (SELECT doc_id, text FROM ({_RATES.replace('FROM documents', 'FROM c')}) WHERE lang IN ('en', 'de', 'fr', 'es') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02),
+{_signature_sql(_char_shingles_sql(f'length(text) >= {dedup.MIN_CHARS}').replace('FROM documents', 'FROM k'))},
+f AS (SELECT doc_id, text FROM (SELECT k.doc_id, text, row_number() OVER (PARTITION BY text ORDER BY k.doc_id) AS r FROM k LEFT JOIN banded USING (doc_id) LEFT JOIN greedy USING (rn) WHERE NOT coalesce(is_duplicate, false)) WHERE r = 1)
+SELECT sha256(doc_id || ':' || chunk_index) AS id, doc_id, chunk_index, token_count, 384::INT AS dim FROM ({_chunks_sql('f')})""")
 def ingest_points(spark, sf_dir):
     """Embedded chunks of all documents that pass, near-duplicates left out."""
     done = ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de", "fr", "es"), near="drop")
@@ -573,6 +648,21 @@ def fetch_pages(spark, sf_dir):
     return fetch.fetch(table(spark, sf_dir, "pages"), _ByLength(), wait=0.0, pause=0.0).select("url", "outcome", "tries", F.coalesce("status", F.lit(0)).alias("status"), "html")
 
 
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+
+@query(rf"SELECT url, sha256(html) AS content_hash, (strlen(html) + {len(_HTTP)})::BIGINT AS length, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def common_crawl(spark, sf_dir):
+    """Pages as archives, a gzip member each, read back in ranges of members."""
+    path = f"{_shared(spark)}/archives-{uuid.uuid4().hex}"
+    archives.register(spark)
+    pages = table(spark, sf_dir, "pages").select("url", F.encode(F.concat(F.lit(_HTTP), "html"), "UTF-8").alias("http"))
+    pages.write.format("textlake_warc").mode("append").save(path)
+    found = spark.read.format("textlake_warc").options(path=path, kind="response", html="true", range_bytes=1 << 20).load()
+    html = F.substring(F.col("http").cast("string"), len(_HTTP) + 1, 1 << 30)
+    return found.select("url", F.sha2(html, 256).alias("content_hash"), "length", U.title(html).alias("title"))
+
+
 @query("SELECT DISTINCT url FROM pages")
 def sitemap_discovery(spark, sf_dir):
     """An index of a sitemap for every host, and in each the host's pages."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from . import archives
 
 SOURCE_TYPES = ("web", "pdf", "database", "huggingface", "common_crawl", "upload", "api")
 SCHEMA = "id string, source string, source_type string, url string, title string, text string, language string, metadata map<string,string>, created_at timestamp"
@@ -140,45 +140,20 @@ def from_website(crawled: DataFrame) -> DataFrame:
     return as_documents(df, "website", "web", F.col("text"), F.col("title"), F.col("url"), U.html_lang(F.col("html")), meta)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[str, str, bytes]]:
-    """(type, url, http message) of the records of an archive, plain or gzip."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = dict(line.split(":", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
-        fields = {k.lower(): v.strip() for k, v in fields.items()}
-        length = fields.get("content-length", "0") or "0"
-        if not (length.isascii() and length.isdigit()):  # a broken record; the next one is looked for
-            at = end + 4
-            continue
-        size = int(length)
-        yield fields.get("warc-type", ""), fields.get("warc-target-uri", ""), data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def from_common_crawl(spark: SparkSession, path: str, max_docs_per_file: int | None = None, min_chars: int = 100) -> DataFrame:
-    """HTML responses with more than min_chars of text; the cap counts documents of a file."""
+def from_common_crawl(spark: SparkSession, path: str, max_docs_per_file: int | None = None, min_chars: int = 100, **options) -> DataFrame:
+    """HTML responses with more than min_chars of text; the cap counts documents of a file. Archives are read in ranges, see archives."""
+    archives.register(spark)
+    found = spark.read.format("textlake_warc").options(path=path, kind="response", html="true", **options).load().where("http is not null")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for at, data in zip(part.path, part.content, strict=True):
-                for pos, (kind, url, message) in enumerate(warc_records(data)):
-                    head, _, body = message.partition(b"\r\n\r\n")
-                    if kind != "response" or b"text/html" not in head.lower():
-                        continue
-                    title, text = page_text(body.decode("utf-8", "replace"))
-                    rows.append((at, pos, url, title or url, text))
-            yield pd.DataFrame(rows, columns=["path", "pos", "url", "title", "text"])
-
-    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos long, url string, title string, text string").where(F.length("text") > min_chars)
+    @F.pandas_udf("title string, text string")
+    def texts(http: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_text(bytes(h).partition(b"\r\n\r\n")[2].decode("utf-8", "replace")) for h in http], columns=["title", "text"])
+
+    df = found.select("path", "member", "pos", "url", texts("http").alias("p")).select("path", "member", "pos", "url", F.coalesce(F.nullif("p.title", F.lit("")), "url").alias("title"), "p.text").where(F.length("text") > min_chars)
     if max_docs_per_file:
-        df = df.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("_n") <= max_docs_per_file)
-    return as_documents(df, "common_crawl", "common_crawl", F.col("text"), F.col("title"), F.col("url"))
+        df = df.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("member", "pos"))).where(F.col("_n") <= max_docs_per_file)
+    meta = F.create_map(F.lit("file"), F.col("path"), F.lit("member"), F.col("member").cast("string"))
+    return as_documents(df, "common_crawl", "common_crawl", F.col("text"), F.col("title"), F.col("url"), metadata=meta)
 
 
 def sitemap_urls(xml: DataFrame) -> DataFrame:
