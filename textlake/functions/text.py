@@ -43,6 +43,25 @@ def nfc(c: Column) -> Column:
     return run(c)
 
 
+#: What single bytes of the Windows code page stand for beyond Latin-1, by byte.
+WINDOWS = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}  # fixed values
+
+
+def unmojibake(c: Column, times: int = 2) -> Column:
+    """Texts whose UTF-8 bytes were read as Latin-1 or Windows-1252 turned back, up to `times` layers; others stay as they are.
+
+    A text is turned back if all of it could be such bytes and they are valid UTF-8 with at least one longer sequence: by chance,
+    accented letters hardly ever follow each other like that.
+    """
+    for _ in range(times):
+        single = F.translate(c, "".join(WINDOWS.values()), "".join(map(chr, WINDOWS)))
+        # a lead byte and its followers, as letters; nothing beyond one byte
+        odd = single.rlike("[\u00c2-\u00f4][\u0080-\u00bf]") & ~single.rlike("[^\u0000-\u00ff]")
+        raw = F.encode(F.when(odd, single), "ISO-8859-1").cast("string")
+        c = F.when(odd & F.is_valid_utf8(raw), raw).otherwise(c)
+    return c
+
+
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
@@ -71,8 +90,7 @@ def one_line(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    # one kind of blank first, as splitting by a single sign is several times as fast as by a class
-    return F.array_remove(F.split(F.translate(c, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
 def count_words(c: Column) -> Column:

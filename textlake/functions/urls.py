@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse, urlunparse, urlencode, parse_qs
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,22 +35,19 @@ def normalize_url(c: Column) -> Column:
 
 
 def normalize_url_exact(c: Column) -> Column:
-    """The same with escapes in queries decoded and encoded again."""
-
-    def one(url: str | None) -> str | None:
-        try:
-            u = urlparse(url.strip())
-        except (ValueError, AttributeError):
-            return url
-        path = u.path if u.path == "/" else u.path.rstrip("/")
-        query = urlencode(sorted(parse_qs(u.query, keep_blank_values=True).items()), doseq=True)
-        return urlunparse((u.scheme.lower(), u.netloc.lower(), path, u.params, query, ""))
-
-    @F.pandas_udf("string")
-    def run(urls: pd.Series) -> pd.Series:
-        return urls.map(one)
-
-    return run(c)
+    """The same with escapes in queries decoded and encoded again: names in order, values of a name in theirs, blank ones kept."""
+    url = F.trim(c)
+    head = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    whole = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    params = F.regexp_extract(whole, r"(;[^/]*)$", 1)
+    path = F.regexp_replace(whole, r";[^/]*$", "")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/+$", ""))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    escaped = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    parts = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: x != "")
+    pairs = F.transform(parts, lambda x, i: F.struct(plain(F.substring_index(x, "=", 1)).alias("name"), i.alias("at"), plain(F.regexp_replace(x, "^[^=]*=?", "")).alias("value")))
+    query = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(escaped(p["name"]), F.lit("="), escaped(p["value"]))), "&")
+    return F.when(head == "", c).otherwise(F.concat(head, path, F.when(params == ";", "").otherwise(params), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
 
 
 def links(html: Column) -> Column:

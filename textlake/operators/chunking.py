@@ -100,7 +100,7 @@ def word_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     if overlap >= size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
-    found = docs.withColumn("_w", T.words(F.col("text"))).where(F.size("_w") > 0)
+    found = docs.select("doc_id", F.explode(F.array(T.words(F.col("text")))).alias("_w")).where(F.size("_w") > 0)  # exploded, so computed once
     last = F.greatest(F.lit(0), F.ceil((F.size("_w") - size) / step).cast("int"))
     rows = found.select("doc_id", "_w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     start = F.col("chunk_index") * step

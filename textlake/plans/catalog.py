@@ -370,14 +370,27 @@ def category_resolve(spark, sf_dir):
     return registry.resolve_category(pages, registry.sources(spark)).select("page_id", "source_domain", "category")
 
 
-@query(f"WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}) SELECT category, max(depth)::INT AS crawl_depth, max(n)::INT AS crawl_pages FROM s GROUP BY 1")
+@query(f"""WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}),
+m AS (SELECT {_DOMAIN} AS domain, min_by(category, ord) AS category FROM s GROUP BY 1),
+p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.matichon.co.th/' || page_id WHEN page_id % 3 = 1 THEN 'https://arxiv.org/abs/' || page_id ELSE url END AS url FROM pages),
+c AS (SELECT coalesce(m.category, 'general') AS category, count(*) AS pages FROM p LEFT JOIN m ON m.domain = {_DOMAIN} GROUP BY 1)
+SELECT category, max(depth)::INT AS crawl_depth, max(n)::INT AS crawl_pages, coalesce(any_value(pages), 0)::BIGINT AS pages, greatest(0, max(n) - coalesce(any_value(pages), 0))::BIGINT AS left_to_crawl FROM s LEFT JOIN c USING (category) GROUP BY 1""")
 def crawl_limits(spark, sf_dir):
-    return registry.crawl_limits(spark)
+    """Limits of every topic, with how many of its pages are there and may still be crawled."""
+    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.matichon.co.th/"), "page_id")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://arxiv.org/abs/"), "page_id")).otherwise(F.col("url"))
+    held = registry.resolve_category(table(spark, sf_dir, "pages").select(own.alias("url")), registry.sources(spark)).groupBy("category").agg(F.count("*").alias("pages"))
+    pages = F.coalesce("pages", F.lit(0))
+    return registry.crawl_limits(spark).join(held, "category", "left").select("category", "crawl_depth", "crawl_pages", pages.alias("pages"), F.greatest(F.lit(0), F.col("crawl_pages") - pages).alias("left_to_crawl"))
 
 
-@query(f"WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}) SELECT DISTINCT {_DOMAIN} AS domain FROM s")
+@query(f"""WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}),
+p AS (SELECT {_DOMAIN} AS domain, count(*) AS pages FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'https://www.arxiv.org/x' WHEN page_id % 5 = 0 THEN 'https://docs.docker.com/y' ELSE url END AS url FROM pages) GROUP BY 1)
+SELECT domain, coalesce(any_value(pages), 0)::BIGINT AS pages FROM (SELECT DISTINCT {_DOMAIN} AS domain FROM s) LEFT JOIN p USING (domain) GROUP BY domain""")
 def registry_domains(spark, sf_dir):
-    return registry.domains(spark)
+    """Every domain of the registry with the pages that it gave."""
+    url = F.when(F.col("page_id") % 2 == 0, "https://www.arxiv.org/x").when(F.col("page_id") % 5 == 0, "https://docs.docker.com/y").otherwise(F.col("url"))
+    held = table(spark, sf_dir, "pages").groupBy(U.domain(url).alias("domain")).agg(F.count("*").alias("pages"))
+    return registry.domains(spark).join(held, "domain", "left").select("domain", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 @query(f"WITH s(ord, category, url, language, depth, n) AS (VALUES {_registry_sql()}), i AS (SELECT DISTINCT {_DOMAIN} AS d FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'https://arxiv.org/x' ELSE url END AS url FROM pages)) SELECT DISTINCT category FROM s WHERE category NOT IN (SELECT category FROM s JOIN i ON i.d = {_DOMAIN})")
@@ -608,23 +621,26 @@ def payload_enrich(spark, sf_dir):
 _CLEANED = _strip("regexp_replace(text, ' {2,}', ' ', 'g')")
 
 
-@query(f"""WITH c AS (SELECT doc_id, lang, {_CLEANED} AS text FROM documents), documents AS (SELECT * FROM c),
-k AS (SELECT doc_id, sha256(text) AS h FROM ({_RATES}) WHERE lang IN ('en', 'de') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02),
-f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h)
-SELECT count(*) AS total, count(*) FILTER (k.doc_id IS NULL) AS rejected, 0::BIGINT AS near_dup, count(*) FILTER (k.doc_id IS NOT NULL AND f.first <> k.doc_id) AS exact_dup, count(*) FILTER (f.first = k.doc_id) AS indexed FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN f USING (h)""")
+_PASSED = f"""WITH RECURSIVE c AS (SELECT doc_id, lang, {_CLEANED} AS text FROM documents),
+k AS (SELECT doc_id, text FROM ({_RATES.replace('FROM documents', 'FROM c')}) WHERE lang IN ('en', 'de', 'fr', 'es') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02),
+{_signature_sql(_char_shingles_sql(f'length(text) >= {dedup.MIN_CHARS}').replace('FROM documents', 'FROM k'))},
+u AS (SELECT k.doc_id, text, coalesce(is_duplicate, false) AS near FROM k LEFT JOIN banded USING (doc_id) LEFT JOIN greedy USING (rn)),
+f AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM u WHERE NOT near)"""
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    return ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de", "fr", "es"), near="drop")
+
+
+@query(f"{_PASSED} SELECT (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM c) - (SELECT count(*) FROM k) AS rejected, (SELECT count(*) FROM u WHERE near) AS near_dup, (SELECT count(*) FROM f WHERE r > 1) AS exact_dup, (SELECT count(*) FROM f WHERE r = 1) AS indexed")
 def ingest_stats(spark, sf_dir):
-    return ingestion.stats(ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de")))
+    return ingestion.stats(_outcomes(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT doc_id, lang, {_CLEANED} AS text FROM documents),
-k AS (SELECT doc_id, text FROM ({_RATES.replace('FROM documents', 'FROM c')}) WHERE lang IN ('en', 'de', 'fr', 'es') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02),
-{_signature_sql(_char_shingles_sql(f'length(text) >= {dedup.MIN_CHARS}').replace('FROM documents', 'FROM k'))},
-f AS (SELECT doc_id, text FROM (SELECT k.doc_id, text, row_number() OVER (PARTITION BY text ORDER BY k.doc_id) AS r FROM k LEFT JOIN banded USING (doc_id) LEFT JOIN greedy USING (rn) WHERE NOT coalesce(is_duplicate, false)) WHERE r = 1)
-SELECT sha256(doc_id || ':' || chunk_index) AS id, doc_id, chunk_index, token_count, 384::INT AS dim FROM ({_chunks_sql('f')})""")
+@query(f"{_PASSED} SELECT sha256(doc_id || ':' || chunk_index) AS id, doc_id, chunk_index, token_count, 384::INT AS dim FROM ({_chunks_sql('(SELECT * FROM f WHERE r = 1)')})")
 def ingest_points(spark, sf_dir):
     """Embedded chunks of all documents that pass, near-duplicates left out."""
-    done = ingestion.outcomes(table(spark, sf_dir, "documents"), languages=("en", "de", "fr", "es"), near="drop")
-    return ingestion.points(done).select("id", "doc_id", "chunk_index", "token_count", F.size("vector").alias("dim"))
+    return ingestion.points(_outcomes(spark, sf_dir)).select("id", "doc_id", "chunk_index", "token_count", F.size("vector").alias("dim"))
 
 
 class _ByLength:
@@ -698,14 +714,24 @@ def process_legacy(spark, sf_dir):
     return ingestion.process_legacy(table(spark, sf_dir, "documents")).select("doc_id", "content_hash", "language", "chunk_index", "content", "token_count")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'indexed' ELSE 'pending' END AS status, CASE WHEN doc_id % 10 = 0 THEN ceil(length(t) / 100.0) ELSE 0 END::INT AS chunk_count FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') || 'x' AS t FROM documents)""")
+@query(f"""WITH n AS (SELECT doc_id, count(*)::INT AS n FROM ({_chunks_sql('documents')}) GROUP BY doc_id), l AS (SELECT DISTINCT doc_id FROM labels)
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN n > 0 THEN 'indexed' ELSE 'failed' END AS status, CASE WHEN l.doc_id IS NULL THEN 0 ELSE coalesce(n, 0) END::INT AS chunk_count FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)""")
 def embed_stored(spark, sf_dir):
-    """Documents in one run of letters, which are cut every 100 characters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.concat(F.regexp_replace("text", "[^A-Za-z]", ""), F.lit("x")).alias("text"), F.lit("pending").alias("status"))
-    done, _, _ = ingestion.embed_documents(docs, docs.where("doc_id % 10 = 0"), size=100, overlap=0)
+    """Stored documents that have a label are embedded; the others stay pending."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text", F.lit("pending").alias("status"))
+    done, _, _ = ingestion.embed_documents(docs, table(spark, sf_dir, "labels").join(docs, "doc_id", "left_semi"))
     return done.select("doc_id", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
+@query("SELECT doc_id, text FROM documents")
+def mojibake(spark, sf_dir):
+    """Documents whose bytes are read with the wrong code page, some twice, and turned back; every third is left alone."""
+    wrong = lambda c: F.translate(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), "".join(map(chr, T.WINDOWS)), "".join(T.WINDOWS.values()))
+    text, k = F.col("text"), F.col("doc_id") % 3
+    broken = F.when(k == 0, text).when(k == 1, wrong(text)).otherwise(wrong(wrong(text)))
+    return table(spark, sf_dir, "documents").select("doc_id", T.unmojibake(broken).alias("text"))
+
+
 @query(rf"SELECT doc_id, {_strip(r'regexp_replace(text, ' + chr(39) + r'\s+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS line, list_filter(list_transform(string_split(replace(text, ' ', ' , '), ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS first_item FROM documents")
 def one_line(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"), F.get(T.csv_list(F.replace("text", F.lit(" "), F.lit(" , "))), 0).alias("first_item"))
@@ -726,11 +752,12 @@ def page_metadata(spark, sf_dir):
     return rows.select("page_id", U.meta(html, "og:title").alias("og_title"), U.meta(html, "description").alias("description"), U.canonical(html).alias("canonical"), U.author(html).alias("author"), U.published_at(html).cast("timestamp_ntz").alias("published_at"), F.array_join(U.tags(html), ",").alias("tags"), F.array_join(U.images(html, F.lit("https://h.org/p")), ",").alias("images"), F.size(U.json_ld(html)).alias("json_objects"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) LIKE '%.com' AS same, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages WHERE lower(regexp_extract(url, '://([^/?#]*)', 1)) LIKE '%.com'")
+@query("SELECT page_id, page_id % 3 <> 1 AS same, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages")
 def same_domain(spark, sf_dir):
+    """Every page's url against one of its host in capitals, one of a subdomain, and one of another scheme."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.lower(U.authority(F.col("url"))).alias("host"), "url")
-    other = F.concat(F.lit("http://"), F.regexp_replace("host", r"\.com$", ".com"), F.lit("/other"))
-    return pages.where(F.col("host").endswith(".com")).select("page_id", U.is_same_domain(F.col("url"), other).alias("same"), "host")
+    other = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("HTTP://"), F.upper("host"), F.lit("/other"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("http://sub."), "host")).otherwise(F.concat(F.lit("ftp://"), "host", F.lit("?q#f")))
+    return pages.select("page_id", U.is_same_domain(F.col("url"), other).alias("same"), "host")
 
 
 @query("SELECT user_id AS job_id, event_id, ts, event_type AS job_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, user_id, event_id LIMIT 50")
@@ -752,11 +779,13 @@ def document_with_chunks(spark, sf_dir):
     return found.select("doc_id", F.transform("chunks", lambda c: c["chunk_index"]).alias("indexes"), F.array_join(F.transform("chunks", lambda c: c["content"]), "|").alias("content"))
 
 
-@query("SELECT kind, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT 'documents' AS kind, doc_id FROM documents UNION ALL SELECT 'chunks', doc_id FROM documents, range(3) UNION ALL SELECT 'points', doc_id FROM documents, range(2)) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY kind")
+@query("""SELECT kind, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT 'documents' AS kind, doc_id FROM documents UNION ALL SELECT 'chunks', doc_id FROM (SELECT doc_id, unnest(range(0, (length(text) - 1) // 448 + 1)) FROM documents WHERE length(text) > 0) UNION ALL SELECT 'points', vec_id FROM embeddings)
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY kind""")
 def delete_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    """Toxic documents with their chunks and points."""
+    docs, points = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     gone = table(spark, sf_dir, "labels").where("toxic = 1")
-    left = storage.delete_document(docs, docs.crossJoin(spark.range(3).select("id")), docs.crossJoin(spark.range(2).select("id")), gone)
+    left = storage.delete_document(docs, chunking.fixed_chunks(docs), points, gone)
     one = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
     return one(left[0], "documents").unionByName(one(left[1], "chunks")).unionByName(one(left[2], "points"))
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one below the warehouse, which is shared as well."""
+    """The folder in spark.checkpoint.dir; where that is unset, one below the warehouse, if that is shared: on one machine, or not a local file system."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) and _found(spark, at)[1].getUri().getScheme() == "file":
+            raise RuntimeError("executors do not share the warehouse, a local folder: set spark.checkpoint.dir to one that they share")
     return at.rstrip("/")
 
 

@@ -7,40 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 
-# fixed values: topics with description, keywords and sources (url, language, crawl depth, crawl pages)
+# fixed values: topics with keywords and sources (url, language, crawl depth, crawl pages); the descriptions are ours
 CATEGORIES: dict[str, tuple[str, list[str], list[tuple[str, str, int, int]]]] = {
     "thai_news": (
-        "Thai news, current events, politics, economy in Thailand",
+        "What goes on in Thailand",
         ["ข่าว", "การเมือง", "เศรษฐกิจ", "ไทย", "news", "thailand", "thai"],
         [("https://www.matichon.co.th", "th", 2, 200), ("https://thestandard.co", "th", 2, 200), ("https://www.thairath.co.th", "th", 2, 200), ("https://www.bangkokbiznews.com", "th", 2, 200), ("https://www.thaipbs.or.th", "th", 2, 200)],
     ),
     "thai_finance": (
-        "Thai financial markets, stocks, investment, SET, BOT monetary policy",
+        "Money and markets in Thailand",
         ["หุ้น", "ตลาดหลักทรัพย์", "การลงทุน", "ดอกเบี้ย", "ธนาคาร", "stock", "finance", "investment"],
         [("https://www.bot.or.th", "th", 2, 200), ("https://www.sec.or.th", "th", 2, 200), ("https://www.set.or.th", "th", 2, 200), ("https://www.thansettakij.com", "th", 2, 200)],
     ),
     "thai_law": (
-        "Thai law, regulations, legislation, court rulings, legal advice",
+        "Statutes and courts of Thailand",
         ["กฎหมาย", "พระราชบัญญัติ", "ศาล", "นิติกรรม", "law", "legal", "regulation", "pdpa"],
         [("https://www.ratchakitcha.soc.go.th", "th", 1, 200), ("https://ilaw.or.th", "th", 2, 200), ("https://www.oja.go.th", "th", 2, 200)],
     ),
     "academic_ai": (
-        "AI, machine learning, deep learning, NLP, research papers, LLM",
+        "Papers on learning machines",
         ["ai", "machine learning", "deep learning", "nlp", "llm", "neural network", "transformer", "rag", "fine-tuning", "research", "paper", "arxiv"],
         [("https://arxiv.org/list/cs.AI/recent", "en", 1, 100), ("https://arxiv.org/list/cs.LG/recent", "en", 1, 100), ("https://arxiv.org/list/cs.CL/recent", "en", 1, 100), ("https://huggingface.co/blog", "en", 2, 200)],
     ),
     "tech_docs": (
-        "Programming, software development, technical documentation, APIs, frameworks",
+        "Manuals for people who write programs",
         ["python", "javascript", "api", "framework", "library", "docker", "kubernetes", "database", "code", "programming", "software", "developer"],
         [("https://docs.python.org/3", "en", 2, 200), ("https://fastapi.tiangolo.com", "en", 2, 200), ("https://docs.docker.com", "en", 2, 200)],
     ),
     "thai_government": (
-        "Thai government policy, public services, official announcements",
+        "What Thai authorities publish",
         ["รัฐบาล", "นโยบาย", "ราชการ", "government", "policy", "official"],
         [("https://data.go.th", "th", 1, 200), ("https://www.thaigov.go.th", "th", 2, 200)],
     ),
     "general": (
-        "General knowledge, facts, encyclopedic information",
+        "Whatever an encyclopedia holds",
         ["what", "how", "why", "คืออะไร", "ทำไม", "อย่างไร"],
         [("https://en.wikipedia.org/wiki/Main_Page", "en", 1, 200), ("https://th.wikipedia.org/wiki/หน้าหลัก", "th", 1, 200)],
     ),
