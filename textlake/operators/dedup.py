@@ -158,7 +158,11 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, kind: str = "char", min_chars: int = MIN_CHARS, finish: int = FINISH) -> DataFrame:
     """doc_id of every document that collides with an earlier kept one; texts under min_chars are never duplicates nor compared."""
-    signed = materialise(banded(docs.where(F.length("text") >= min_chars), kind), "signed")
+    return collisions(materialise(banded(docs.where(F.length("text") >= min_chars), kind), "signed"), finish)
+
+
+def collisions(signed: DataFrame, finish: int = FINISH) -> DataFrame:
+    """The same over rows of banded(), which are read several times."""
     heads = signed.groupBy("same").agg(F.min("doc_id").alias("head"))
     own = signed.join(heads, (signed["same"] == heads["same"]) & (signed["doc_id"] == heads["head"]), "left_semi")
     rows = materialise(_crowded(own.select("doc_id", F.explode("bands").alias("band")).distinct()).select("doc_id", "band"), "bands")

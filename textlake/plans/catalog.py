@@ -12,6 +12,7 @@ from ..config import JACCARD, NUM_PERM, DatasetConfig
 from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import near_index as near_index_table
 from ..operators import chunking, cleaning, crawl, datasets, dedup, fetch, inverted, jobs, ranking, retrieval, robots, storage, vectors
 from ..sources import archives, article
 from ..sources import documents as sources
@@ -144,11 +145,32 @@ def _char_shingles_sql(where: str) -> str:
     return f"SELECT DISTINCT doc_id, {mixed} AS h FROM (SELECT doc_id, unnest(list_transform(range(1, len(p) - 3), lambda i: {first})) AS g FROM (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda x: unicode(x)::UBIGINT) AS p FROM documents WHERE {where}))"
 
 
-@query(f"WITH RECURSIVE {_signature_sql(_char_shingles_sql(f'length(text) >= {dedup.MIN_CHARS}'))} SELECT doc_id, coalesce(is_duplicate, false) AS is_duplicate FROM documents LEFT JOIN banded USING (doc_id) LEFT JOIN greedy USING (rn)")
+_GREEDY = f"WITH RECURSIVE {_signature_sql(_char_shingles_sql(f'length(text) >= {dedup.MIN_CHARS}'))} SELECT doc_id, coalesce(is_duplicate, false) AS is_duplicate FROM documents LEFT JOIN banded USING (doc_id) LEFT JOIN greedy USING (rn)"
+
+
+@query(_GREEDY)
 def minhash_dedup(spark, sf_dir):
     return dedup.greedy_marks(table(spark, sf_dir, "documents"))
 
 
+@query(_GREEDY)
+def near_index(spark, sf_dir):
+    """Documents in four batches by doc_id against a stored index of bands: the marks of one run over all."""
+    docs = table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    index, out, edges = near_index_table.NearIndex(spark, f"{_shared(spark)}/bands-{uuid.uuid4().hex}"), None, [low + (high - low + 1) * k // 4 for k in range(5)] if low is not None else [0, 0]
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        marks = index.add(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), k)
+        out = marks if out is None else out.unionByName(marks)
+    return out
+
+
+@query(_GREEDY)
+def minhash_rounds(spark, sf_dir):
+    """The greedy pass in rounds over tables to the end, however few rows are left."""
+    return dedup.greedy_marks(table(spark, sf_dir, "documents"), finish=0)
+
+
 @query(f"""WITH RECURSIVE {_signature_sql(_char_shingles_sql('true'))},
 full_sig AS (SELECT doc_id, k, coalesce(m, 4294967295) AS m FROM (SELECT doc_id, k FROM documents, perms) LEFT JOIN sig USING (doc_id, k)),
 hits AS (SELECT q.doc_id FROM full_sig q JOIN full_sig o ON q.k = o.k AND q.m = o.m AND q.doc_id <> o.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, o.doc_id HAVING count(*) / {NUM_PERM} >= {JACCARD})
@@ -561,23 +583,17 @@ def event_windows(spark, sf_dir):
     return counted.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text")
+@query(f"SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM ({_RATES}) WHERE lang IN ('en', 'fr') AND {_PASSES} AND {_SPAM} / greatest(n, 1) <= 0.02 GROUP BY text")
 def stream_ingest(spark, sf_dir):
-    """The document table as a file stream, each text once; the same as the batch."""
+    """The document table as a file stream into a table by hash buckets, each text that passes once; the same as the batch."""
     path = f"{sf_dir}/documents.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     one_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
     stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
-    firsts = stream.select("doc_id", F.sha2("text", 256).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-    out, epochs = f"{_shared(spark)}/stream-{uuid.uuid4().hex}", []
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
-        epochs.append(epoch)
-
-    firsts.writeStream.outputMode("complete").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/{epochs[-1]}").select("doc_id", "content_hash")
+    out = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.ingest(stream, f"{out}/table", f"{out}/mark", languages=("en", "fr")).awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("doc_id", "content_hash")
 
 
 def _language_sql(text: str) -> str:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
+from ..plans.scratch import materialise, release
+
+#: Hexadecimal digits of the content hash that name a bucket of the table.
+PREFIX = 2
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -17,24 +21,45 @@ def first_texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content_hash", F.sha2("text", 256)).dropDuplicates(["content_hash"])
 
 
+def first_within(docs: DataFrame, ttl: str = "7 days", key: str = "content_hash", at: str = "created_at") -> DataFrame:
+    """Rows of a stream whose key (hash of a text, url of a crawl's visit) was not seen within `ttl` of their time `at`.
+
+    The state keeps a key until the stream's time is `ttl` past it, so it holds what came within that time, however long the stream runs.
+    """
+    return docs.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
+
+
+def bucket(content_hash: str = "content_hash") -> F.Column:
+    """The folder of a hash: a letter first, so that it is read back as a string."""
+    return F.concat(F.lit("h"), F.substring(content_hash, 1, PREFIX))
+
+
+def unseen(batch: DataFrame, path: str, epoch: int) -> DataFrame:
+    """Rows of a batch (content_hash, bucket, ...) that the table lacks, but for what the same epoch wrote; only the batch's buckets are read."""
+    spark = batch.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return batch
+    buckets = [r.bucket for r in batch.select("bucket").distinct().collect()]  # 16 ** PREFIX at most
+    stored = spark.read.schema("content_hash string, bucket string, epoch long").parquet(path)
+    stored = stored.where(F.col("bucket").isin(buckets) & (F.col("epoch") != epoch)).select("bucket", "content_hash")
+    return batch.join(stored, ["bucket", "content_hash"], "left_anti")
+
+
 def ingest(docs: DataFrame, path: str, checkpoint: str, **limits):
-    """Clean, filter and append new texts to the Parquet table at path; a batch that runs again adds nothing.
+    """Clean, filter and add new texts to the Parquet table at path, in folders by hash prefix and epoch; a batch that runs again replaces what it wrote.
 
     Returns the running query, which ends when all files are read.
     """
-    spark = docs.sparkSession
-    kept = cleaning.pipeline(docs, **limits).withColumn("content_hash", F.sha2("text", 256))
+    kept = cleaning.pipeline(docs, **limits).withColumn("content_hash", F.sha2("text", 256)).withColumn("bucket", bucket())
 
     def write(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-        batch = batch.join(fresh, ["content_hash", "doc_id"], "left_semi")
-        try:
-            stored = spark.read.parquet(path).where(F.col("epoch") != epoch).select("content_hash")
-            batch = batch.join(stored, "content_hash", "left_anti")
-        except Exception as e:  # noqa: BLE001  the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch = materialise(batch, "batch")
+        first = batch.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+        new = unseen(batch.join(first, ["content_hash", "doc_id"], "left_semi").dropDuplicates(["content_hash"]), path, epoch)
+        new = new.withColumn("epoch", F.lit(epoch).cast("long")).repartition("bucket")
+        new.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "epoch").parquet(path)
+        release(batch)
 
     return kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
