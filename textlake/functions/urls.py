@@ -93,17 +93,37 @@ def canonical(html: Column) -> Column:
     return F.coalesce(F.nullif(link, F.lit("")), meta(html, "og:url"))
 
 
-def json_ld(html: Column) -> Column:
-    """The JSON-LD objects of a page as JSON strings, lists taken apart; bad JSON is left out."""
+def json_objects(html: Column) -> Column:
+    """The JSON-LD objects of a page as variants: lists and @graph taken apart, bad JSON and bare values left out."""
     bodies = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
-    parsed = F.transform(bodies, lambda b: F.when(F.trim(b).startswith("["), F.from_json(b, "array<string>")).otherwise(F.when(F.get_json_object(b, "$").isNotNull(), F.array(F.trim(b)))))
-    return F.filter(F.flatten(F.transform(parsed, lambda x: F.coalesce(x, F.array().cast("array<string>")))), lambda x: F.get_json_object(x, "$").isNotNull())
+    none = F.array().cast("array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    listed = lambda v: F.when(kind(v).startswith("ARRAY"), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)).otherwise(F.array(v))
+    flat = F.flatten(F.transform(F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull()), listed))
+    graphs = F.flatten(F.transform(flat, lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))))
+    return F.filter(graphs, lambda v: kind(v).startswith("OBJECT"))
+
+
+def json_ld(html: Column) -> Column:
+    """The same as JSON strings."""
+    return F.transform(json_objects(html), lambda v: F.to_json(v))
+
+
+def _first(html: Column, found) -> Column:
+    """What the first object has for which found(variant) is not null."""
+    return F.get(F.filter(F.transform(json_objects(html), found), lambda x: x.isNotNull()), 0)
+
+
+def _text(v: Column, path: str) -> Column:
+    """The string at a path; null for objects, lists and numbers."""
+    at = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(at, "$", "string"))
 
 
 def author(html: Column) -> Column:
-    """From JSON-LD (name of the first author), else the author meta element."""
-    first = F.get(F.filter(F.transform(json_ld(html), lambda j: F.coalesce(F.get_json_object(j, "$.author.name"), F.get_json_object(j, "$.author[0].name"), F.get_json_object(j, "$.author[0]"), F.get_json_object(j, "$.author"))), lambda x: x.isNotNull()), 0)
-    return F.coalesce(first, F.trim(meta(html, "author")))
+    """From JSON-LD (name of the first author: an object, a list of objects or names, or a name), else the author meta element."""
+    name = lambda v: F.coalesce(*(_text(v, p) for p in ("$.author.name", "$.author[0].name", "$.author[0]", "$.author")))
+    return F.coalesce(_first(html, name), F.trim(meta(html, "author")))
 
 
 def rfc_date(c: Column) -> Column:
@@ -117,7 +137,7 @@ DATE_NAMES = ("article:published_time", "og:article:published_time", "datePublis
 
 def published_at(html: Column, names: tuple[str, ...] = DATE_NAMES) -> Column:
     """From JSON-LD, meta elements of those names, then time elements; the first that can be parsed."""
-    raw = [F.get(F.filter(F.transform(json_ld(html), lambda j: F.get_json_object(j, "$.datePublished")), lambda x: x.isNotNull()), 0)]
+    raw = [_first(html, lambda v: _text(v, "$.datePublished"))]
     raw += [meta(html, n) for n in names]
     raw.append(F.nullif(F.regexp_extract(html, r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit("")))
     forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
@@ -130,5 +150,5 @@ def tags(html: Column) -> Column:
     split = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     of_meta = F.coalesce(split(meta(html, "keywords")), empty)
     of_links = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*rel="tag"[^>]*>(.*?)</a>'), 1), lambda x: F.trim(x))
-    of_json = F.flatten(F.transform(json_ld(html), lambda j: F.coalesce(F.from_json(F.get_json_object(j, "$.keywords"), "array<string>"), split(F.get_json_object(j, "$.keywords")), empty)))
+    of_json = F.flatten(F.transform(json_objects(html), lambda v: F.coalesce(F.try_variant_get(v, "$.keywords", "array<string>"), split(_text(v, "$.keywords")), empty)))
     return F.array_sort(F.array_distinct(F.concat(of_meta, of_links, of_json)))

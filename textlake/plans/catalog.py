@@ -754,14 +754,21 @@ def one_line(spark, sf_dir):
 
 
 def _marked_page() -> F.Column:
-    """A page with metadata that follows from page_id."""
+    """The page's own html with metadata in its head that follows from page_id, and JSON-LD of four shapes: object, list, graph, and none that parses."""
     k = F.col("page_id").cast("string")
-    parts = ['<html><head><meta property="og:title" content="T', k, '"><meta name="description" content="D', k, '"><meta name="keywords" content="b', k, ', a', k, '"><link rel="canonical" href="https://c.org/', k, '"><meta name="author" content=" A', k, ' "><script type="application/ld+json">{"datePublished": "2024-01-0', (F.col("page_id") % 9 + 1).cast("string"), 'T00:00:00Z", "keywords": ["k", "b', k, '"]}</script></head><body><img src="/i', k, '.png"><img src="https://x.org/y.png"><a rel="tag" href="/t"> z </a></body></html>']
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-
-
-@query("""SELECT page_id, 'T' || page_id AS og_title, 'D' || page_id AS description, 'https://c.org/' || page_id AS canonical, 'A' || page_id AS author, make_timestamp(2024, 1, page_id % 9 + 1, 0, 0, 0) AS published_at,
-array_to_string(list_sort(['a' || page_id, 'b' || page_id, 'k', 'z']), ',') AS tags, 'https://h.org/i' || page_id || '.png,https://x.org/y.png' AS images, 1::INT AS json_objects FROM pages""")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    date = text('"datePublished": "2024-01-0', (F.col("page_id") % 9 + 1).cast("string"), 'T00:00:00Z"')
+    shape = F.col("page_id") % 4
+    json = F.when(shape == 0, text('{"author": {"name": "J', k, '"}, ', date, ', "keywords": ["k", "b', k, '"]}'))
+    json = json.when(shape == 1, text('[1, {"author": [{"name": "J', k, '"}, "x"], ', date, '}, {"keywords": "k, b', k, '"}]'))
+    json = json.when(shape == 2, text('{"@graph": [{"@type": "Site"}, {"author": "J', k, '", ', date, ', "keywords": []}]}')).otherwise(text('{"author": "J', k, '", ', date))
+    head = text('<head><meta property="og:title" content="T', k, '"><meta name="description" content="D', k, '"><meta name="keywords" content="b', k, ', a', k, '"><link rel="canonical" href="https://c.org/', k, '"><meta name="author" content=" A', k, ' "><meta name="date" content="2023-02-03"><script type="application/ld+json">', json, '</script><img src="/i', k, '.png"><img src="https://x.org/y.png"><a rel="tag" href="/t"> z </a>')
+    return F.replace(F.col("html"), F.lit("<head>"), head)
+
+
+@query("""SELECT page_id, 'T' || page_id AS og_title, 'D' || page_id AS description, 'https://c.org/' || page_id AS canonical, CASE WHEN page_id % 4 = 3 THEN 'A' ELSE 'J' END || page_id AS author,
+CASE WHEN page_id % 4 = 3 THEN make_timestamp(2023, 2, 3, 0, 0, 0) ELSE make_timestamp(2024, 1, page_id % 9 + 1, 0, 0, 0) END AS published_at,
+array_to_string(list_sort(list_concat(['a' || page_id, 'b' || page_id, 'z'], CASE WHEN page_id % 4 < 2 THEN ['k'] ELSE [] END)), ',') AS tags, 'https://h.org/i' || page_id || '.png,https://x.org/y.png' AS images, ([1, 2, 2, 0])[page_id % 4 + 1]::INT AS json_objects FROM pages""")
 def page_metadata(spark, sf_dir):
     html = F.col("html")
     rows = table(spark, sf_dir, "pages").select("page_id", _marked_page().alias("html"))
