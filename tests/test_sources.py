@@ -43,6 +43,10 @@ def test_feeds_and_sitemaps(spark):
     rss = "<rss><item><title><![CDATA[A]]></title><link>http://a</link><pubDate>Mon, 06 May 2024 07:08:09 +0000</pubDate><description>&lt;b&gt;x <b>y</b></description></item><item><title>no link</title></item><item><title>C</title><guid>g</guid></item></rss>"
     out = S.feed_items(spark.createDataFrame([("f", rss)], "feed_url string, xml string")).collect()
     assert [(r.title, r.url) for r in out] == [("A", "http://a"), ("C", "g")] and out[0].published_at.year == 2024
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">T</title><link rel="self" href="http://s"/><link href="http://e"/><updated>2024-01-02T03:04:05Z</updated><author><name>Ann</name></author></entry></feed>'
+    rss = '<rss xmlns:dc="http://d"><channel><item><title>one</title><link>http://1</link><dc:creator>Bob</dc:creator></item></channel></rss>'
+    out = S.feed_items(spark.createDataFrame([("g", atom), ("h", rss), ("bad", "<rss><item>"), ("n", None)], "feed_url string, xml string")).collect()
+    assert [(r.feed_url, r.title, r.url, r.author) for r in out] == [("g", "T", "http://e", "Ann"), ("h", "one", "http://1", "Bob")] and out[1].published_at is None
     xml = spark.createDataFrame([('<urlset xmlns="http://s"><url><loc> http://a </loc></url><url><loc>http://b</loc></url></urlset>',)], "xml string")
     assert [r.url for r in S.sitemap_urls(xml).collect()] == ["http://a", "http://b"]
 

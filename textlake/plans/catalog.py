@@ -680,6 +680,19 @@ def fetch_pages(spark, sf_dir):
     return fetch.fetch(table(spark, sf_dir, "pages"), _ByLength(), wait=0.0, pause=0.0).select("url", "outcome", "tries", F.coalesce("status", F.lit(0)).alias("status"), "html")
 
 
+@query("""SELECT url AS feed_url, 'P' || page_id AS title, url, CASE WHEN page_id % 2 = 0 THEN 'sum & mary' ELSE 's' END AS summary, 'W' || page_id AS author, make_timestamp(2024, 5, page_id % 9 + 1, 7, 8, 9) AS published_at FROM pages
+UNION ALL SELECT url, NULL, 'id' || page_id, '', NULL, NULL FROM pages""")
+def feed_scrape(spark, sf_dir):
+    """A feed for every page, RSS or Atom in turn: its own entry, one without a date, and one without a link, which is left out."""
+    k, url = F.col("page_id").cast("string"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    day = (F.col("page_id") % 9 + 1).cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    rss = text('<?xml version="1.0"?><rss xmlns:dc="http://d"><channel><item><title><![CDATA[P', k, "]]></title><link>", url, "</link><pubDate>Wed, 0", day, ' May 2024 07:08:09 GMT</pubDate><description><![CDATA[<b>sum</b> &]]> mary</description><dc:creator> W', k, ' </dc:creator></item><item><guid isPermaLink="false">id', k, "</guid></item><item><title>none</title></item></channel></rss>")
+    atom = text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">P', k, '</title><link rel="self" href="http://no"/><link href="', url, '"/><updated>2024-05-0', day, "T07:08:09Z</updated><author><name>W", k, "</name></author><summary>s</summary></entry><entry><id>id", k, "</id></entry><entry><title>none</title></entry></feed>")
+    feeds = table(spark, sf_dir, "pages").select(F.col("url").alias("feed_url"), F.when(F.col("page_id") % 2 == 0, rss).otherwise(atom).alias("xml"))
+    return sources.feed_items(feeds).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
 
 

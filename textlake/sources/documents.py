@@ -161,23 +161,31 @@ def sitemap_urls(xml: DataFrame) -> DataFrame:
     return xml.select(F.explode(F.expr("xpath(xml, '//*[local-name()=\"loc\"]/text()')")).alias("url")).select(F.trim("url").alias("url"))
 
 
+_PART = "array<struct<_VALUE:string,_href:string,_rel:string,name:string>>"
+_ITEM = "struct<" + ",".join(f"{n}:{_PART}" for n in ("title", "link", "guid", "id", "pubDate", "published", "updated", "description", "summary", "content", "creator", "author")) + ">"
+#: RSS with and without a channel, RDF, and Atom, whatever their prefixes.
+FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>"
+
+
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """Entries of RSS or Atom feeds (feed_url, xml), newest first; those without link or id are left out."""
+    """Entries of RSS or Atom feeds (feed_url, xml), newest first, those without a date last; those without link or id are left out, and so are feeds that don't parse."""
+    parsed = F.from_xml("xml", FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    none = F.array().cast(f"array<{_ITEM}>")
+    rows = feeds.select("feed_url", parsed.alias("p")).select("feed_url", F.explode(F.concat(*(F.coalesce(c, none) for c in ("p.channel.item", "p.item", "p.entry")))).alias("i"))
 
-    def get(name: str) -> Column:
-        return F.regexp_extract("item", rf"(?is)<{name}\b[^>]*>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</{name}>", 1)
+    def values(name: str, field: str = "_VALUE") -> Column:
+        return F.filter(F.transform(f"i.{name}", lambda x: F.nullif(F.trim(x[field]), F.lit(""))), lambda x: x.isNotNull())
 
-    found = F.regexp_extract_all("xml", F.lit(r"(?is)(<(?:item|entry)\b.*?</(?:item|entry)>)"), 1)
-    rows = feeds.select("feed_url", F.explode(found).alias("item"))
-    any_of = lambda *c: F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in c))
-    date = any_of(get("pubDate"), get("published"), get("updated"))
+    first = lambda *c: F.coalesce(*(F.get(x, 0) for x in c))
+    page = F.filter("i.link", lambda x: x["_href"].isNotNull() & F.coalesce(x["_rel"] == "alternate", F.lit(True)))
+    date = first(values("pubDate"), values("published"), values("updated"))
     forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd")
     return rows.select(
         "feed_url",
-        any_of(get("title")).alias("title"),
-        any_of(F.regexp_extract("item", r'(?is)<link[^>]*href="([^"]*)"', 1), get("link"), get("guid"), get("id")).alias("url"),
-        T.one_line(T.strip_tags(F.coalesce(any_of(get("description"), get("summary"), get("content")), F.lit("")))).alias("summary"),
-        any_of(get("dc:creator"), get("author")).alias("author"),
+        first(values("title")).alias("title"),
+        first(F.transform(page, lambda x: x["_href"]), values("link", "_href"), values("link"), values("guid"), values("id")).alias("url"),
+        T.one_line(T.strip_tags(F.coalesce(first(values("description"), values("summary"), values("content")), F.lit("")))).alias("summary"),
+        first(values("creator"), values("author", "name"), values("author")).alias("author"),
         F.coalesce(U.rfc_date(date), *(F.try_to_timestamp(date, F.lit(f)) for f in forms)).alias("published_at"),
     ).where("url is not null").orderBy(F.desc_nulls_last("published_at"), "url")
 
