@@ -13,7 +13,7 @@ from ..functions import language as L
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import near_index as near_index_table
-from ..operators import chunking, cleaning, crawl, datasets, dedup, fetch, inverted, jobs, ranking, retrieval, robots, storage, vectors
+from ..operators import ann, chunking, cleaning, crawl, datasets, dedup, fetch, inverted, jobs, language_model, ranking, retrieval, robots, storage, vectors
 from ..sources import archives, article
 from ..sources import documents as sources
 from ..sources import registry
@@ -285,6 +285,16 @@ def knn_batch(spark, sf_dir):
     return vectors.knn(points.where("vec_id % 100 = 0"), points).withColumn("score", F.round("score", 6))
 
 
+@query()
+def knn_approximate(spark, sf_dir):
+    """Neighbours of the query set by an index over all embeddings, which is built first; tests measure its recall against knn_batch."""
+    points = table(spark, sf_dir, "embeddings")
+    index = ann.VectorIndex(spark, f"{_shared(spark)}/vectors-{uuid.uuid4().hex}")
+    index.fit(points)
+    index.add(points)
+    return index.search(points.where("vec_id % 100 = 0")).withColumn("score", F.round("score", 6))
+
+
 def _bm25_sql(terms: str, average: float, idf: str) -> str:
     return f"list_sum([0.0] || list_transform({terms}, lambda q: {idf} * f(t, q) * 2.5 / (f(t, q) + 1.5 * (0.25 + 0.75 * len(t) / {average}))))".replace("f(t, q)", "len(list_filter(t, lambda y: y = q))")
 
@@ -612,6 +622,23 @@ def language_legacy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.detect_language_or_unknown(F.col("text")).alias("language"))
 
 
+_TRIGRAMS = "unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, lang, unnest({_words('lower(text)')}) AS w FROM documents),
+c AS (SELECT lang, gram, sum(n) AS c FROM (SELECT lang, n, {_TRIGRAMS} AS gram FROM (SELECT lang, w, count(*) AS n FROM w WHERE lang <> '' GROUP BY ALL)) GROUP BY ALL),
+t AS (SELECT lang, floor(1000 * ln(sum(c) + (SELECT count(DISTINCT gram) FROM c)))::BIGINT AS cost FROM c GROUP BY lang),
+g AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(c) DESC, gram LIMIT {language_model.GRAMS}),
+m AS (SELECT gram, lang, floor(1000 * ln(c + 1))::BIGINT AS weight FROM c JOIN g USING (gram)),
+dg AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, {_TRIGRAMS} AS gram FROM w) GROUP BY ALL),
+s AS (SELECT doc_id, t.lang, sum(n) AS n, (sum(n * coalesce(weight, 0)) - sum(n) * any_value(cost))::BIGINT AS score FROM dg CROSS JOIN t LEFT JOIN m ON m.gram = dg.gram AND m.lang = t.lang GROUP BY ALL),
+r AS (SELECT doc_id, n, lang, score - lead(score) OVER o AS margin, row_number() OVER o AS r FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, lang))
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_grams, lang AS language, margin::BIGINT AS margin FROM (SELECT DISTINCT doc_id, text FROM documents) d LEFT JOIN (SELECT * FROM r WHERE r = 1) b ON b.doc_id = d.doc_id""")
+def language_model_detect(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_model.detect(docs, language_model.fit(docs))
+
+
 @query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS path FROM pages)
 SELECT page_id, NOT (host LIKE '%.com' AND starts_with(path, '/en') AND NOT starts_with(path, '/en/1')) AS allowed FROM p""")
 def robots_filter(spark, sf_dir):
