@@ -20,6 +20,8 @@ from ..functions import text as T
 from ..plans.scratch import materialise
 
 GRAMS, WORDS, MAX_LANGUAGES = 50_000, 20_000, 100
+#: Longer words are cut in pieces of so many characters.
+PIECE = 64
 
 
 @dataclass
@@ -30,16 +32,25 @@ class LanguageModel:
     costs: list[int]
 
 
-def trigrams(word: Column) -> Column:
-    """The character trigrams of ' word ', as many as it has characters; in time linear in its length."""
-    return T.let(F.split(F.concat(F.lit(" "), word, F.lit(" ")), ""), lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.concat(x[i], x[i + 1], x[i + 2])))
+def pieces(word: Column) -> Column:
+    """' word ' whole, or in pieces that overlap by two characters, so that its trigrams cost time linear in its length."""
+    whole = F.concat(F.lit(" "), word, F.lit(" "))
+    long = T.let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda x: F.transform(x, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(x, i + 1), 1, 2), F.lit("")))))
+    return F.when(F.length(word) <= PIECE, F.array(whole)).otherwise(long)
+
+
+def trigrams(df: DataFrame, parts: Column) -> DataFrame:
+    """df with a row for each character trigram (`gram`) of its pieces; one of null for a row or piece without any."""
+    cut = df.withColumn("_piece", F.explode_outer(parts))
+    at = cut.withColumn("_at", F.explode_outer(F.when(F.length("_piece") >= 3, F.sequence(F.lit(1), F.length("_piece") - 2))))
+    return at.withColumn("gram", F.substring("_piece", F.col("_at"), 3)).drop("_piece", "_at")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", grams: int = GRAMS) -> LanguageModel:
     """The model of all rows with a label."""
     labelled = docs.where((F.col(lang) != "") & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(T.words(F.lower(text))).alias("word"))
     counted = materialise(labelled.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    counts = materialise(counted.select("lang", "n", F.explode(trigrams(F.col("word"))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
+    counts = materialise(trigrams(counted, pieces(F.col("word"))).where("gram IS NOT NULL").groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("c").alias("c")).orderBy("lang").limit(MAX_LANGUAGES + 1)
     distinct = counts.agg(F.countDistinct("gram").alias("n"))
     rows = totals.crossJoin(distinct).select("lang", F.floor(1000 * F.log(F.col("c") + F.col("n"))).alias("cost")).orderBy("lang").collect()
@@ -50,7 +61,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", grams: int = GR
     top = counts.groupBy("gram").agg(F.sum("c").alias("total"), weights.alias("weights")).orderBy(F.desc("total"), "gram").limit(grams)
     kept = materialise(top.select("gram", "weights"), "trigrams")
     common = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
-    parts = common.select("word", F.explode(trigrams(F.col("word"))).alias("gram")).join(F.broadcast(kept), "gram", "left")  # GRAMS rows
+    parts = trigrams(common.select("word"), pieces(F.col("word"))).where("gram IS NOT NULL").join(F.broadcast(kept), "gram", "left")  # GRAMS rows
     sums = materialise(parts.groupBy("word").agg(F.count("*").alias("n_grams"), _sums(F.col("weights"), len(rows)).alias("sums")), "sums")
     return LanguageModel(kept, sums, [r.lang for r in rows], [r.cost for r in rows])
 
@@ -63,8 +74,8 @@ def detect(docs: DataFrame, model: LanguageModel, text: str = "text", key: str =
     """(key, n_grams, language, margin) of every text; margin: how far the language leads the next, in thousandths of a nat."""
     words = docs.select(F.col(key), F.xxhash64(text).alias("_text"), F.explode_outer(T.words(F.lower(text))).alias("word"))
     known = words.join(F.broadcast(model.words), "word", "left")  # WORDS rows
-    cut = F.when(F.col("sums").isNotNull(), F.array(F.lit(""))).when(F.col("word").isNotNull(), trigrams(F.col("word")))
-    parts = known.select(key, "_text", "n_grams", "sums", F.explode_outer(cut).alias("gram")).join(F.broadcast(model.grams), "gram", "left")  # GRAMS rows
+    cut = F.when(F.col("sums").isNotNull(), F.array(F.lit(""))).when(F.col("word").isNotNull(), pieces(F.col("word")))
+    parts = trigrams(known, cut).join(F.broadcast(model.grams), "gram", "left")  # GRAMS rows
     n = len(model.languages)
     grams = F.sum(F.coalesce("n_grams", F.when(F.col("gram").isNotNull(), 1), F.lit(0))).alias("n_grams")
     rows = parts.groupBy(key, "_text").agg(grams, _sums(F.coalesce("sums", "weights"), n).alias("sums"))
