@@ -69,7 +69,7 @@ def test_against_brute_force(spark):
 def test_single_links_in_a_crowded_family(spark, monkeypatch):
     """Classes with one true link, in a family that regions of this size cannot hold."""
     monkeypatch.setattr(near_dup, "REGION", 4)
-    monkeypatch.setattr(near_dup, "CELL", 20_000)
+    monkeypatch.setattr(near_dup, "CELL", 50)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
 
@@ -87,6 +87,38 @@ def test_single_links_in_a_crowded_family(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(d, n, c) for (d, _), n, c in zip(docs, sizes, want, strict=True)]
 
 
+def test_prefix_join_against_all_pairs(spark, monkeypatch):
+    """Rows of many components, by cells and rarity: no pair that is alike is left out, few others are met."""
+    monkeypatch.setattr(near_dup, "CELL", 5)
+    rng = random.Random(31)
+    story = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(120):
+        t = list(story)
+        for at in rng.sample(range(len(t)), rng.choice([2, 3, 4, 12, 30])):
+            t[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(t[: rng.choice([170, 185, 200])]))
+    texts += ["a b c d e", "a b c d", "one", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    families = docs.selectExpr("doc_id as doc", "0L as family")
+    apart = docs.selectExpr("doc_id as node", "doc_id as comp")
+    none = spark.createDataFrame([], "a long, b long")
+    sets = list(map(shingles, texts))
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if (both := len(sets[i] & sets[j])) and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both)}
+    found = near_dup._settle(docs, families, apart, none, 85, 3)
+    assert {(r.a, r.b) for r in found.collect()} == alike and len(alike) > 50
+    again = spark.createDataFrame(sorted(alike), "a long, b long")
+    assert near_dup._settle(docs, families, apart, again, 85, 3).count() == 0
+    joined = docs.selectExpr("doc_id as node", "0L as comp")
+    assert near_dup._settle(docs, families, joined, none, 85, 3) is None
+
+
+def test_bits_lose_under_one_in_ten_billion():
+    for percent in (80, 85):
+        p, slack = (100 - percent) / 200, near_dup.bit_slack(percent)
+        assert sum(math.comb(near_dup.VALUES, k) * p**k * (1 - p) ** (near_dup.VALUES - k) for k in range(slack + 1, near_dup.VALUES + 1)) < 1e-10 and slack < 48
+
+
 def test_signature_filter_loses_under_one_in_a_billion():
     n = near_dup.VALUES
     need = math.ceil((0.85 - near_dup.SLACK) * n)

@@ -9,8 +9,10 @@ and every crowded region's hub, then each class's best match in other components
 a region that are in different components still; signatures must agree. Links are confirmed on full sets. Work per class and tree is bounded by REGION.
 
 What that bound leaves out is made up for last: classes that meet in regions crowded at the first depth are a family, and in
-every family with more than one component, all classes outside its largest component are held against all of its classes by
-full sets, in a grid of cells of at most about CELL shingles a side. So pairs of one family are no candidates of the third round.
+every family with more than one component, the classes outside its largest component are joined with all of its classes by a prefix filter:
+of each set, only its rarest shingles (by a table of bucket loads), so many that two sets that are alike share one, meet, in
+cells of about CELL rows a side; pairs whose sizes, places and signature bits allow a link are confirmed on full sets.
+So pairs of one family are no candidates of the third round.
 
 A set that more than HOT rows share is given its component by broadcast (there are at most rows / HOT such sets), rows without a set need none,
 and only the others are joined, so no key of that join has more than HOT rows.
@@ -24,6 +26,7 @@ keep_one() lets rows of null id take part, as a document for each distinct text,
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,8 +43,8 @@ from .words import chunks, grams, hashed, mix
 VALUES, TREES, REGION = 128, 32, 192
 #: Rows from which a set is common.
 HOT = 50_000
-#: Shingles on each side of a cell of the last round.
-CELL = 500_000
+#: Rows on each side of a cell of the last round, buckets of shingles in its order by rarity, parts of every token's rows.
+CELL, BUCKETS, SALTS = 2_048, 1 << 18, 8
 #: Depths at which a crowded region is cut; the last is the whole signature.
 DEPTHS = (4, 8, 14, 24, 40, 128)
 #: Trees whose neighbours and hubs make the first round of candidates.
@@ -187,65 +190,47 @@ def _confirm(percent: int):
     return run
 
 
-class _Cell:
-    """Classes outside a family's largest component, as an index from shingles to them; links() holds others against them."""
-
-    def __init__(self, docs: list[int], comps: list[int], sets: list[np.ndarray], percent: int):
-        self.docs, self.percent = docs, percent
-        self.size = np.array([len(x) for x in sets], np.int64)
-        flat = np.concatenate([*sets, np.empty(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
-        self.shingles, begin = np.unique(flat[order], return_index=True)
-        self.begin = np.append(begin, len(flat))
-        names, self.comp = np.unique(np.array(comps, np.int64), return_inverse=True)
-        self.names = names.tolist()
-        self.number = {c: k for k, c in enumerate(self.names)}
-        self.root = np.arange(len(self.names))  # of every component, the one it is linked to here
-
-    def links(self, doc: int, comp: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
-        if comp not in self.number:
-            self.number[comp] = len(self.names)
-            self.names.append(comp)
-            self.root = np.append(self.root, self.number[comp])
-        mine = self.number[comp]
-        if (self.root[self.comp] == self.root[mine]).all():
-            return
-        at = np.searchsorted(self.shingles, own)
-        at[at == len(self.shingles)] = 0
-        at = at[self.shingles[at] == own]
-        many = self.begin[at + 1] - self.begin[at]
-        spot = np.repeat(self.begin[at] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
-        both = np.bincount(self.owner[spot], minlength=len(self.docs))
-        for k in np.flatnonzero((both > 0) & (100 * both >= self.percent * (len(own) + self.size - both))).tolist():
-            one, two = self.root[self.comp[k]], self.root[mine]
-            if one != two:
-                self.root[self.root == one] = two
-                yield min(doc, self.docs[k]), max(doc, self.docs[k])
-
-
-def _cells(percent: int):
-    """Rows (cell, other, doc, comp, shingles), sorted by cell and other -> links between components, enough to join them."""
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingles) -> how many of them fall into each bucket."""
+    held = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            held += np.bincount((np.frombuffer(s, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(held)
+    for i in range(0, len(at), 1 << 14):
+        part = at[i : i + (1 << 14)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], ["bucket", "held"])
+
+
+def _prefixes(grade: np.ndarray, percent: int):
+    """Rows (family, doc, comp, rest, shingles) -> a row for each of the set's rarest shingles, enough that two sets that are alike share one:
+    their places in the order by rarity, and a bit of every signature value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rest, cell = None, [], None
         for batch in batches:
-            found = []
-            for key, other, doc, comp, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if key != now:
-                    now, rest, cell = key, [], None
-                own = np.frombuffer(own, np.uint64)
-                if not other:
-                    rest.append((doc, comp, own))
-                elif rest:
-                    cell = cell or _Cell(*map(list, zip(*rest, strict=True)), percent)
-                    found += cell.links(doc, comp, own)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+            family, doc, comp, rest, sets = (batch.column(k).to_pylist() for k in range(5))
+            for k, own in enumerate(np.frombuffer(s, np.uint64) for s in sets):
+                n = len(own)
+                first = np.lexsort((own, grade[(own % np.uint64(BUCKETS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
+                bits = np.packbits((signature(own) * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
+                same = [np.full(len(first), x, np.int64) for x in (family[k], doc[k], comp[k], n, bits[0], bits[1])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[first].view(np.int64)), pa.array(np.arange(len(first))), pa.array(np.full(len(first), rest[k], bool)), *map(pa.array, same)],
+                    ["shingle", "place", "rest", "family", "doc", "comp", "size", "bits", "more_bits"],
+                )
 
     return run
 
 
+def bit_slack(percent: int) -> int:
+    """Signature bits in which two sets of that similarity differ at most, but for a chance under 1e-10: bits of unequal values differ half the time."""
+    p = (1 - percent / 100) / 2
+    tail, k = 0.0, VALUES
+    while k and (tail := tail + math.comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k)) < 1e-10:
+        k -= 1
+    return k
+
+
 def _families(crowded: DataFrame, comps: DataFrame) -> DataFrame | None:
     """(doc, family) of the classes that meet in crowded regions (region, doc) with more than one component; None if there are none.
 
@@ -263,30 +248,56 @@ def _families(crowded: DataFrame, comps: DataFrame) -> DataFrame | None:
     return families.select(F.col("node").alias("doc"), F.col("comp").alias("family"))
 
 
-def _settle(docs: DataFrame, families: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Links (a, b) between components of a family, by full sets; None if no family has two components. sizes: (doc, n_shingles) of all classes."""
+def _settle(docs: DataFrame, families: DataFrame, comps: DataFrame, tested: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """Links (a, b) between components of a family, by full sets; None if no family has two components. tested: pairs that need no second look."""
     n = families.count()
     named = families.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    named = materialise(named.join(sizes, "doc"), "families", n)
-    parts = named.groupBy("family", "comp").agg(F.sum("n_shingles").alias("held"))
-    # a grid of cells: classes outside the largest component by all classes
-    grid = parts.groupBy("family").agg(F.max_by("comp", F.struct("held", "comp")).alias("largest"), F.max("held").alias("most"), F.sum("held").alias("held"), F.count("*").alias("k")).where("k > 1")
-    grid = materialise(grid.select("family", "largest", F.ceil((F.col("held") - F.col("most")) / CELL).cast("int").alias("rests"), F.ceil(F.col("held") / CELL).cast("int").alias("others")), "grid", n)
-    if grid.isEmpty():
+    parts = named.groupBy("family", "comp").agg(F.count("*").alias("held"))
+    mixed = parts.groupBy("family").agg(F.max_by("comp", F.struct("held", "comp")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("family", "largest")
+    mixed = materialise(mixed, "mixed", n)
+    k = mixed.count()
+    if not k:
         return None
-    rows = keyed_join(named, grid, "family", "inner").withColumn("rest", F.pmod(F.xxhash64("doc"), F.col("rests")).cast("int")).withColumn("other", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("others")).cast("int"))
-    keep = rows.where("comp <> largest").select("family", "doc", "comp", "rest", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(False).alias("side"))
-    meet = rows.select("family", "doc", "comp", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), "other", F.lit(True).alias("side"))
-    ids = materialise(rows.select(F.col("doc").alias("doc_id")), "ids", n)
-    sets = materialise(keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
-    own = sets.dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "doc")  # rows that repeat an id can have several
-    both = keep.unionByName(meet).withColumn("cell", F.xxhash64("family", "rest", "other")).join(own, "doc")
-    both = both.repartition("cell").sortWithinPartitions("cell", "side").select("cell", "side", "doc", "comp", "shingles")
-    out = materialise(both.mapInArrow(_cells(percent), "a long, b long"), "links")
-    release(named, grid, ids, sets)
+    named = materialise(keyed_join(named, mixed, "family", "inner", k).select("family", "doc", "comp", (F.col("comp") != F.col("largest")).alias("rest")), "families", n)
+    ids = named.select(F.col("doc").alias("doc_id"))
+    sets = keyed_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary")
+    # rows that repeat an id can have several sets
+    sets = materialise(sets.where(F.length("shingles") > 0).dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "doc"), "sets")
+    loads = sets.select("shingles").mapInArrow(_loads, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held")).toArrow()
+    grade = np.zeros(BUCKETS, np.uint8)  # any order gives the same links; rare shingles first give few candidates
+    grade[loads.column(0).to_numpy()] = np.minimum(8 * np.log2(loads.column(1).to_numpy()), 255)
+    held = "shingle long, place long, rest boolean, family long, doc long, comp long, size long, bits long, more_bits long"
+    rows = named.join(sets, "doc").select("family", "doc", "comp", "rest", "shingles").mapInArrow(_prefixes(grade, percent), held)
+    rows = materialise(rows.withColumn("token", F.xxhash64("family", "shingle")).drop("shingle", "family"), "prefixes")
+    pairs = materialise(_meet(rows, percent).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    out = confirm(docs, pairs, percent, width)
+    release(mixed, named, sets, rows, pairs)
     return out
 
 
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows that share a token and whose sizes, places and bits allow the similarity, one of them at least outside the largest component.
+
+    What two sets share from their first common shingle on is no more than either holds from there. A token's rows are cut
+    into cells of about CELL rows a side.
+    """
+    tokens = rows.groupBy("token").agg(F.count("*").alias("all"), F.count_if("rest").alias("some"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("some > 0 and low <> high")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    tokens = tokens.select("token", F.ceil(F.col("some") / CELL).cast("int").alias("rests"), F.ceil(F.col("all") / CELL).cast("int").alias("others"), spread)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(2)), F.lit(SALTS)).cast("int")).join(tokens, ["token", "salt"])
+    cell = lambda which, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(which)).cast("int")
+    span = lambda which: F.explode(F.sequence(F.lit(0), F.col(which) - 1))
+    cols = ["doc", "comp", "size", (F.col("size") - F.col("place")).alias("left"), "bits", "more_bits", "rest"]
+    one = rows.where("rest").select("token", cell("rests", 0).alias("mine"), span("others").alias("theirs"), *cols)
+    two = rows.select("token", span("rests").alias("mine"), cell("others", 1).alias("theirs"), *cols)
+    keyed = lambda side, name: side.select(F.xxhash64("token", "mine", "theirs").alias("cell"), F.struct("doc", "comp", "size", "left", "bits", "more_bits", "rest").alias(name))
+    met = keyed(one, "x").join(keyed(two, "y"), "cell").where(
+        f"""x.comp <> y.comp and (not y.rest or x.doc < y.doc) and least(x.left, y.left) * {100 + percent} >= {percent} * (x.size + y.size)
+        and bit_count(x.bits ^ y.bits) + bit_count(x.more_bits ^ y.more_bits) <= {bit_slack(percent)}"""
+    )
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int = 3) -> DataFrame:
     """The pairs (a, b) of documents whose full shingle sets have that similarity."""
     n = pairs.count()
@@ -359,8 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
         tested = tested.unionByName(pairs)
         # a component so far is a star around its smallest member
         comps = _joined(comps, more)
-    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "doc")
-    more = None if families is None else _settle(docs, families, comps, sizes, percent, width)
+    more = None if families is None else _settle(docs, families, comps, tested, percent, width)
     comps = _joined(comps, more, ties)
 
     release(heads, *levels, first, links, more)
