@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..config import JACCARD, NUM_PERM
 from ..plans.scratch import materialise, release
-from .vectors import blocks
 
 BANDS, ROWS = 8, 16
 MIN_CHARS = 50
@@ -200,19 +199,69 @@ def deduplicate(docs: DataFrame, mode: str = "mark", kind: str = "char", min_cha
     return docs.join(greedy_marks(docs, kind, min_chars), "doc_id")
 
 
+def _in_parts(signed: DataFrame, n: int) -> DataFrame:
+    """doc_id, same (equal for equal signatures), signature as bytes and parts (keys of its n parts) of every row (doc_id, signature)."""
+    edges = [NUM_PERM * k // n for k in range(n + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, raw, keys = [], [], []
+            for values in np.asarray(batch.column(1).flatten(), np.int64).astype(np.uint32).reshape(-1, NUM_PERM):
+                raw.append(values.tobytes())
+                same.append(hashlib.blake2b(raw[-1], digest_size=16).digest())
+                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                    keys.append(int.from_bytes(hashlib.blake2b(values[a:b].tobytes(), digest_size=8, salt=bytes([k])).digest(), "little", signed=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, n, dtype=np.int32)), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(raw, pa.binary()), lists], ["doc_id", "same", "signature", "parts"])
+
+    return signed.select(F.col("doc_id").cast("long").alias("doc_id"), "signature").mapInArrow(run, "doc_id long, same binary, signature binary, parts array<long>")
+
+
+def _alike(pairs: DataFrame, asked: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """doc_id of the pairs (doc_id, of, same) whose signatures, `of` among asked and `same` among held, agree in `least` values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, NUM_PERM) for k in (1, 2))
+            yield batch.select([0]).filter(pa.array((a == b).sum(axis=1) >= least))
+
+    of = asked.select(F.col("same").alias("of"), F.col("signature").alias("a")).dropDuplicates(["of"])
+    met = held.join(_small(pairs.select("same").distinct()), "same", "left_semi").select("same", F.col("signature").alias("b")).dropDuplicates(["same"])
+    return pairs.join(of, "of").join(met, "same").select("doc_id", "a", "b").mapInArrow(run, "doc_id long").distinct()
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows that are broadcast where they are few; the other side stays where it is."""
+    return F.broadcast(rows) if rows.count() <= FINISH else rows
+
+
 def like_any(queries: DataFrame, stored: DataFrame, threshold: float = JACCARD) -> DataFrame:
-    """(query_id, is_duplicate): whether a stored signature agrees in threshold of its values; queries are a stated set, met in blocks."""
-    out = []
-    for block in blocks(queries.select("doc_id", "signature"), "doc_id", 2000):
-        ids, matrix = np.array([r.doc_id for r in block], np.int64), np.array([r.signature for r in block], np.uint32).reshape(-1, NUM_PERM)
-
-        def run(parts: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            hit = np.zeros(len(ids), bool)
-            for part in parts:
-                for doc, signature in zip(part.doc_id, part.signature, strict=True):
-                    hit |= ((matrix == np.asarray(signature, np.uint32)).mean(axis=1) >= threshold) & (ids != doc)
-            yield pd.DataFrame({"query_id": ids[hit]})
-
-        out.append(stored.select("doc_id", "signature").mapInPandas(run, "query_id long").distinct())
-    found = reduce(DataFrame.unionByName, out) if out else queries.sparkSession.createDataFrame([], "query_id long")
-    return queries.select(F.col("doc_id").alias("query_id")).join(found.withColumn("hit", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("is_duplicate"))
+    """(query_id, is_duplicate): whether a signature stored under another id agrees in threshold of its values; queries are a stated set.
+
+    Signatures that agree in so many values agree in all values of one part at least, if there is a part more than values that may differ.
+    So stored signatures that share a part with a query, and no others, are compared, once for equal ones. Each query meets
+    two of every part first, which settles those in large groups of near copies; only the others meet all that share a part.
+    """
+    least = next(k for k in range(NUM_PERM + 2) if k / NUM_PERM >= threshold)
+    if not 0 < least <= NUM_PERM:
+        raise ValueError("threshold must be above 0 and at most 1")
+    n = NUM_PERM - least + 1
+    asked, held = materialise(_in_parts(queries, n), "asked"), materialise(_in_parts(stored, n), "held")
+    span = F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    other = (F.col("low") != F.col("doc_id")) | (F.col("high") != F.col("doc_id"))
+    equal = held.select("same", "doc_id").join(_small(asked.select("same").distinct()), "same", "left_semi").groupBy("same").agg(*span)
+    hits = materialise(asked.select("same", "doc_id").join(equal, "same").where(other).select("doc_id").distinct(), "hits")
+    keys = asked.select("doc_id", F.col("same").alias("of"), F.explode("parts").alias("part")).distinct()
+    left = materialise(keys.join(hits, "doc_id", "left_anti"), "left")
+    shared = held.select("doc_id", "same", F.explode("parts").alias("part")).join(_small(left.select("part").distinct()), "part", "left_semi")
+    near = materialise(shared.groupBy("part", "same").agg(*span), "near")
+    whole = F.struct("same", "low", "high")
+    ends = near.groupBy("part").agg(F.array(F.min(whole), F.max(whole)).alias("ends")).select("part", F.inline("ends"))
+    for some in (ends, near):
+        pairs = materialise(left.join(some, "part").where((F.col("of") != F.col("same")) & other).select("doc_id", "of", "same").distinct(), "pairs")
+        more = materialise(_alike(pairs, asked, held, least), "hits")
+        hits, left = hits.unionByName(more), left.join(more, "doc_id", "left_anti")
+        release(pairs)
+    release(asked, held, near)
+    marks = hits.select(F.col("doc_id").alias("query_id")).distinct().withColumn("hit", F.lit(True))
+    return queries.select(F.col("doc_id").alias("query_id")).join(marks, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("is_duplicate"))

@@ -176,8 +176,8 @@ full_sig AS (SELECT doc_id, k, coalesce(m, 4294967295) AS m FROM (SELECT doc_id,
 hits AS (SELECT q.doc_id FROM full_sig q JOIN full_sig o ON q.k = o.k AND q.m = o.m AND q.doc_id <> o.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, o.doc_id HAVING count(*) / {NUM_PERM} >= {JACCARD})
 SELECT doc_id AS query_id, doc_id IN (SELECT doc_id FROM hits) AS is_duplicate FROM documents WHERE doc_id % 100 = 0""")
 def stored_duplicates(spark, sf_dir):
-    signed = dedup.signatures(table(spark, sf_dir, "documents"))
-    return dedup.like_any(signed.where("doc_id % 100 = 0"), signed)
+    docs = table(spark, sf_dir, "documents")
+    return dedup.like_any(dedup.signatures(docs.where("doc_id % 100 = 0")), dedup.signatures(docs))
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, source, lang AS language, len({_words('text')})::BIGINT AS word_count FROM documents WHERE lang IN ('en', 'de')),
