@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,14 +35,31 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+@cache
+def _may_change() -> str:
+    """Pattern of the characters that form C may change or move: those with a combining class, a canonical decomposition that it keeps, or a place after another in a composition."""
+    points = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # the followers of Hangul, which compose by rule
+    for p in range(0x300, sys.maxunicode + 1):
+        if 0xAC00 <= p < 0xD7A4:
+            continue
+        parts = unicodedata.decomposition(c := chr(p)).split()
+        if unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c:
+            points.add(p)
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            points.add(int(parts[1], 16))
+    ends = sorted(p for p in points if p - 1 not in points), sorted(p for p in points if p + 1 not in points)
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(*ends, strict=True))
+    return rf"[\x{{300}}-\x{{10ffff}}&&[{ranges}]]"  # most characters fail the first test
+
+
 def nfc(c: Column) -> Column:
-    """Unicode normal form C, for which Spark has no function."""
+    """Unicode normal form C, for which Spark has no function; texts of characters that it leaves alone stay in the JVM."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
-    return run(c)
+    return F.coalesce(run(F.when(c.rlike(_may_change()), c)), c)
 
 
 #: What single bytes of the Windows code page stand for beyond Latin-1, by byte.
