@@ -109,3 +109,39 @@ def test_clean_with_mojibake_repair(spark):
     fix = lambda c: F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
     assert tuple(cleaning.clean(docs, repair=fix).first())[:2] == ("Café au lait", "ét")
     assert cleaning.clean(docs).first().text == "CafÃ© au lait"
+
+
+def test_only_texts_that_normal_form_c_may_change_go_to_python(spark):
+    import re
+    import unicodedata
+
+    may = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08x}", T._may_change().split("&&")[1][:-1]))
+    plain = ["plain", "Größe café “quoted” – €5", "漢字 한글 \U0001f600", "", None]
+    moved = ["e\u0301", "q\u0323\u0307", "q\u0307\u0323", "\u1112\u1161\u11ab", "\u212b", "\u0958", "\U0001d15e", "x" * 5000 + "A\u030a"]
+    assert not any(t and may.search(t) for t in plain) and all(may.search(t) for t in moved)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(plain + moved)], "k int, t string")
+    got = [r.t for r in rows.select("k", T.nfc(F.col("t")).alias("t")).orderBy("k").collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFC", t) for t in plain + moved]
+    sent = rows.select(F.count_if(F.col("t").rlike(T._may_change()))).first()[0]
+    assert sent == len(moved)
+
+
+def test_ingest_reads_and_cleans_documents_once(spark):
+    import numpy as np
+
+    from textlake.operators.vectors import hash_embed
+    from textlake.plans import ingestion
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    text = " ".join(f"word{k} reads well" for k in range(40))
+    docs = spark.createDataFrame([(0, text, "en"), (1, text, "en"), (2, text, "xx"), (3, "short", "en"), (4, None, "en"), (None, text + " x", "en")], "doc_id long, text string, lang string")
+    done = ingestion.outcomes(docs.mapInArrow(counted, docs.schema), near="drop")
+    assert ingestion.stats(done).first().asDict() == {"total": 6, "rejected": 4, "near_dup": 1, "exact_dup": 0, "indexed": 1}
+    assert seen.value == 6
+    assert np.allclose(hash_embed(["a a b"]), hash_embed(["A b a"])) and abs(np.linalg.norm(hash_embed(["a b"])) - 1) < 1e-6 and not hash_embed([None]).any()

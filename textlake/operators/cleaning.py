@@ -16,24 +16,29 @@ from ..functions import text as T
 def clean(docs: DataFrame, repair: Callable[[Column], Column] | None = None) -> DataFrame:
     """Clean text (and title, if there) and add word_count; repair: mojibake repair, done before all else, none by default."""
     repair = repair or (lambda c: c)
-    out = docs.withColumn("text", T.clean_text(repair(F.coalesce("text", F.lit("")))))
+    out = docs.withColumn("text", F.explode(F.array(T.clean_text(repair(F.coalesce("text", F.lit("")))))))  # exploded, so computed once
     if "title" in docs.columns:
         out = out.withColumn("title", T.clean_text(repair(F.col("title"))))
     return out.withColumn("word_count", T.count_words(F.col("text")))
 
 
+def verdict(c: Column, min_words: int = MIN_WORDS, max_repetition: float = MAX_REPETITION, remove_pii: bool = False) -> Column:
+    """Struct of _passes (quality, spam and, if asked for, personal data filters, the cheap ones first) and quality_score; the text is measured once."""
+
+    def of(m: Column) -> Column:
+        passes = T.passes_of(m, min_words, max_repetition) & (T.spam_hits(c) / F.greatest(m["n_words"], F.lit(1)) <= MAX_SPAM_DENSITY)
+        return F.struct((passes & ~T.has_pii(c) if remove_pii else passes).alias("_passes"), T.score_of(m).alias("quality_score"))
+
+    return T.let(T.measures(c), of)
+
+
 def pipeline(docs: DataFrame, languages: tuple[str, ...] = ("en",), min_words: int = MIN_WORDS, max_repetition: float = MAX_REPETITION, remove_pii: bool = False, language: str = "lang") -> DataFrame:
-    """Language, quality, spam and, if asked for, personal data filters, the cheap ones first; adds quality_score.
+    """Language filter, then those of verdict(); adds quality_score.
 
-    A text is measured once: the generator keeps the optimizer from copying the measures into every filter and column.
+    The generator keeps the optimizer from copying the measures into every filter and column.
     """
-    c = F.col("text")
-    marks = T.let(T.measures(c), lambda m: F.struct(T.passes_of(m, min_words, max_repetition).alias("_passes"), T.score_of(m).alias("quality_score"), m["n_words"].alias("_n")))
-    out = docs.drop("quality_score").where(F.col(language).isin(*languages)).select("*", F.inline(F.array(marks))).where("_passes")
-    out = out.where(T.spam_hits(c) / F.greatest(F.col("_n"), F.lit(1)) <= MAX_SPAM_DENSITY)
-    if remove_pii:
-        out = out.where(~T.has_pii(c))
-    return out.drop("_passes", "_n")
+    marks = verdict(F.col("text"), min_words, max_repetition, remove_pii)
+    return docs.drop("quality_score").where(F.col(language).isin(*languages)).select("*", F.inline(F.array(marks))).where("_passes").drop("_passes")
 
 
 def compile_filter(spec: dict | None) -> Column | None:

@@ -34,10 +34,11 @@ def outcomes(docs: DataFrame, stored: DataFrame | None = None, languages: tuple[
     stored: (content_hash) of texts that are there already. near: None, or 'drop' to skip near-duplicates, which otherwise are indexed.
     """
     rows = cleaning.clean(docs).withColumn("content_hash", F.sha2("text", 256))
-    kept = cleaning.pipeline(rows, languages, language=language, **limits).select("doc_id", F.lit(True).alias("_kept"))
-    rows = rows.join(kept, "doc_id", "left")
+    mark = F.when(F.col(language).isin(*languages), cleaning.verdict(F.col("text"), **limits)["_passes"])
+    # cleaned and measured once, as what follows reads the rows several times; of null ids none is kept
+    rows = materialise(rows.select("*", F.explode(F.array(mark)).alias("_m")).withColumn("_kept", F.when(F.col("_m") & F.col("doc_id").isNotNull(), True)).drop("_m"), "cleaned")
     if near == "drop":
-        marks = dedup.greedy_marks(rows.where("_kept").select("doc_id", "text")).where("is_duplicate").select("doc_id", F.lit(True).alias("_near"))
+        marks = dedup.duplicates(rows.where("_kept").select("doc_id", "text")).withColumn("_near", F.lit(True))
         rows = rows.join(marks, "doc_id", "left")
     else:
         rows = rows.withColumn("_near", F.lit(None).cast("boolean"))
