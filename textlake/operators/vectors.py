@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,29 @@ from .cleaning import where
 DIM, BATCH = 384, 64
 
 
+class _Places(dict):
+    """word -> its place, or the complement of it where the sign is minus; words met lately are remembered."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 50_000:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        out = self[word] = h % self.dim if h >> 63 else ~(h % self.dim)
+        return out
+
+
+_places = cache(_Places)
+
+
 def hash_embed(texts: list[str], dim: int = DIM) -> np.ndarray:
     """Deterministic stand-in for a model: signed hashes of words, L2-normalised."""
-    out = np.zeros((len(texts), dim), np.float32)
+    out, places = np.zeros((len(texts), dim), np.float32), _places(dim)
     for row, text in enumerate(texts):
-        for w in (text or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-            out[row, h % dim] += 1 if h >> 63 else -1
+        at = np.fromiter(map(places.__getitem__, (text or "").lower().split()), np.int64)
+        out[row] = np.bincount(np.where(at < 0, ~at, at), np.where(at < 0, -1, 1), dim)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
