@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -128,3 +129,48 @@ def test_accuracy_on_held_out_documents(spark):
     right = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("language")).cast("int")).alias("share")).collect()}
     print({k: (r.n, r.share) for k, r in right.items()})
     assert len(right) == 4 and all(r.share >= 0.97 for r in right.values())
+
+
+def test_exact_search_makes_a_bounded_number_of_scores_at_a_time(spark, monkeypatch):
+    """However large the batch: slices of points, ties by vec_id across them, and points without a cosine left out."""
+    made = []
+    old = vectors.Best._add
+    monkeypatch.setattr(vectors.Best, "CELLS", 60)
+    monkeypatch.setattr(vectors.Best, "_add", lambda self, names, m: (made.append(len(self.ids) * len(m)), old(self, names, m)))
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(500, 8))
+    m[100:400:7] = m[7]
+    m[11] = 0
+    ids = np.arange(20)
+    best = vectors.Best(ids, m[:20], 5, False)
+    best.add(np.arange(500), pd.Series(list(m)))
+    with np.errstate(all="ignore"):
+        unit = m / np.linalg.norm(m, axis=1)[:, None]
+    want = []
+    for q in range(20):
+        score = np.round(unit @ unit[q], 12)
+        order = [int(x) for x in np.lexsort((np.arange(500), -score)) if x != q and np.isfinite(score[x])][:5]
+        want += [(q, x) for x in order]
+    out = best.frame()
+    assert list(zip(out.query_id, out.vec_id)) == want and max(made) <= 60
+
+
+def test_vector_index_search_sends_no_vectors_to_the_driver(spark, tmp_path, monkeypatch):
+    """Only the centres come to the driver; a crowded list meets its queries in pieces and blocks with the same result."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(400, 8))
+    m[50:250] = m[50]
+    points = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "vec_id long, embedding array<float>")
+    index = ann.VectorIndex(spark, str(tmp_path / "v"))
+    index.fit(points, lists=4)
+    index.add(points)
+    monkeypatch.setattr(ann, "BLOCK", 9)
+    monkeypatch.setattr(ann, "PIECE", 30)
+    centres = index.centres()
+    monkeypatch.setattr(index, "centres", lambda: centres)
+    with monkeypatch.context() as held:
+        held.setattr(type(points), "collect", lambda self: pytest.fail("rows came to the driver"))
+        found = index.search(points.where("vec_id % 10 = 0"), probes=4)
+    want = vectors.knn(points.where("vec_id % 10 = 0"), points)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id) for r in df.collect())
+    assert key(found) == key(want)

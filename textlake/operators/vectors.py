@@ -107,6 +107,45 @@ def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list]:
             yield part
 
 
+class Best:
+    """The k points of highest cosine for each query of a block (ids, a matrix of rows), ties by vec_id; points come in any number of batches.
+
+    Scores are made CELLS at a time, and only those that reach a query's k-th best so far are kept and sorted, so memory doesn't grow with the batch. They
+    are rounded, as products of the same vectors differ in their last bits with the shape of the batch.
+    """
+
+    CELLS = 500_000
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, itself: bool):
+        self.ids, self.matrix, self.k, self.itself = ids, matrix, k, itself
+        self.norms, self.worst = np.sqrt((matrix**2).sum(axis=1)), np.full(len(ids), -np.inf)
+        self.query, self.name, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, names: np.ndarray, vectors: pd.Series) -> None:
+        step = max(1, self.CELLS // max(1, len(self.ids)))
+        for i in range(0, len(names), step):
+            m = np.stack([np.asarray(v, np.float64) for v in vectors.iloc[i : i + step]])
+            self._add(names[i : i + step], m)
+
+    def _add(self, names: np.ndarray, m: np.ndarray) -> None:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round((self.matrix @ m.T) / (self.norms[:, None] * np.sqrt((m**2).sum(axis=1))[None]), 12)
+        met = np.isfinite(score) & (score >= self.worst[:, None])
+        if not self.itself:
+            met &= self.ids[:, None] != names[None]
+        q, c = np.nonzero(met)
+        q, n, s = np.concatenate([self.query, q]), np.concatenate([self.name, names[c]]), np.concatenate([self.score, score[q, c]])
+        order = np.lexsort((n, -s, q))
+        q, n, s = q[order], n[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep, last = place < self.k, place == self.k - 1
+        self.worst[q[last]] = s[last]
+        self.query, self.name, self.score = q[keep], n[keep], s[keep]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.query], "vec_id": self.name, "score": self.score})
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000, itself: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k nearest points of every query, other than itself unless `itself`.
 
@@ -118,26 +157,12 @@ def knn(queries: DataFrame, points: DataFrame, k: int = TOP_K, block: int = 2000
     for rows in blocks(queries.select("vec_id", "embedding"), "vec_id", block):
         ids = np.array([r.vec_id for r in rows], np.int64)
         matrix = np.array([r.embedding for r in rows], np.float64)
-        norms = np.sqrt((matrix**2).sum(axis=1))
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix, norms=norms) -> Iterator[pd.DataFrame]:
-            best = None
+        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+            best = Best(ids, matrix, k, itself)
             for batch in batches:
-                if not len(batch):
-                    continue
-                m = np.stack([np.asarray(v, np.float64) for v in batch.embedding])
-                score = (matrix @ m.T) / (norms[:, None] * np.sqrt((m**2).sum(axis=1))[None])
-                other = batch.vec_id.to_numpy()
-                if not itself:
-                    score[ids[:, None] == other[None]] = -np.inf
-                found = np.broadcast_to(other, score.shape)
-                if best is not None:
-                    score, found = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], found], axis=1)
-                keep = np.lexsort((found, -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, keep, 1), np.take_along_axis(found, keep, 1)
-            if best is not None:
-                out = pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "vec_id": best[1].ravel(), "score": best[0].ravel()})
-                yield out[np.isfinite(out.score)]
+                best.add(batch.vec_id.to_numpy(), batch.embedding)
+            yield best.frame()
 
         parts.append(points.select("vec_id", "embedding").mapInPandas(run, schema))
     if not parts:
