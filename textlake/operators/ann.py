@@ -10,8 +10,6 @@ rows are points of their own; of query rows of one id the smallest vector asks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -22,10 +20,11 @@ from pyspark.sql.window import Window
 
 from ..config import TOP_K
 from ..plans.scratch import materialise, release
+from .vectors import Best
 
 MAX_LISTS, PER_LIST, CALIBRATE, ASKED = 4096, 64, 8192, 200
-#: Pairs of query and probed list that one task works on at a time.
-BLOCK = 4000
+#: Queries and points of one list that meet in one group.
+BLOCK, PIECE = 4000, 8192
 RECALL = 0.95
 
 
@@ -117,26 +116,11 @@ class VectorIndex:
         placed = _sound(points, centres.shape[1]).withColumn("list", _nearest(F.col("embedding"), centres, 1)[0])
         placed.hint("rebalance", "list").write.mode("append").partitionBy("list").parquet(f"{self.path}/lists")
 
-    def _groups(self, pairs: DataFrame) -> Iterator[tuple[list[int], Column]]:
-        """Lists to read together, and the pairs that ask them: BLOCK pairs or so; a list that more queries ask is read for parts of them."""
-        held, total = [], 0
-        for r in pairs.groupBy("list").count().orderBy("list").collect():  # MAX_LISTS at most
-            if r["count"] > BLOCK:
-                n = -(-r["count"] // BLOCK)
-                for part in range(n):
-                    yield [r["list"]], F.pmod(F.xxhash64("query_id"), F.lit(n)) == part
-                continue
-            if total + r["count"] > BLOCK:
-                yield held, F.lit(True)
-                held, total = [], 0
-            held, total = [*held, r["list"]], total + r["count"]
-        if held:
-            yield held, F.lit(True)
-
     def search(self, queries: DataFrame, k: int = TOP_K, probes: int | None = None, itself: bool = False) -> DataFrame:
         """(query_id, vec_id, score, rank) as vectors.knn() gives, from the probed lists: a query set (vec_id, embedding) against all points.
 
-        Queries are dealt by the lists they probe, so a list is read once for each block of them, and no other list is; a task keeps k for each query.
+        Queries and points meet by list, in a shuffle: crowded lists in pieces of points, much asked ones in blocks of queries, so a group of either has a bounded size. Lists
+        that nothing probes are not read; a group keeps k for each query, and the driver sees counts by list only.
         """
         schema = "query_id long, vec_id long, score double"
         centres, fitted = self.centres()
@@ -145,42 +129,25 @@ class VectorIndex:
         asked = _sound(queries, centres.shape[1]).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
         pairs = materialise(asked.withColumn("list", F.explode(_nearest(F.col("embedding"), centres, min(probes or fitted, len(centres))))), "probes")
         points = self.spark.read.schema("vec_id long, embedding array<float>, list int").parquet(f"{self.path}/lists")
-        parts = []
-        for lists, which in self._groups(pairs):
-            rows = pairs.where(F.col("list").isin(lists) & which).collect()
-            if rows:
-                parts.append(points.where(F.col("list").isin(lists)).mapInPandas(_scorer(rows, k, itself), schema))
-        if not parts:
-            return self.spark.createDataFrame([], schema + ", rank int")
-        found = parts[0]
-        for more in parts[1:]:
-            found = found.unionByName(more)
+        asking = pairs.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        crowded = points.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+        dealt = F.broadcast(asking.join(crowded, "list"))  # MAX_LISTS rows at most
+        one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = points.join(dealt, "list").withColumn("piece", F.pmod(F.monotonically_increasing_id(), F.col("pieces")).cast("int")).withColumn("block", one("blocks"))
+        right = pairs.join(dealt, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("piece", one("pieces"))
+        key = ("list", "piece", "block")
+        found = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "query_id", "embedding").groupBy(*key)).applyInPandas(_scorer(k, itself), schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scorer(rows: list, k: int, itself: bool):
-    """For mapInPandas over points: the k best of each query within the lists it probes."""
-    ids, first, row_of = np.unique(np.array([r.query_id for r in rows], np.int64), return_index=True, return_inverse=True)
-    matrix = _stack([rows[i].embedding for i in first])
-    norms = np.sqrt((matrix**2).sum(axis=1))
-    lists = np.array([r["list"] for r in rows], np.int64)
-    asking = {int(n): row_of[lists == n] for n in np.unique(lists)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-        for batch in batches:
-            for n, part in batch.groupby("list"):
-                q, m, other = asking[int(n)], _stack(part.embedding), part.vec_id.to_numpy()
-                # rounded: products of the same vectors differ in their last bits with the shape of the batch
-                new = np.round((matrix[q] @ m.T) / (norms[q][:, None] * np.sqrt((m**2).sum(axis=1))[None]), 12)
-                if not itself:
-                    new[ids[q][:, None] == other[None]] = -np.inf
-                both = np.concatenate([score[q], new], axis=1)
-                names = np.concatenate([found[q], np.broadcast_to(other, new.shape)], axis=1)
-                keep = np.lexsort((names, -both), axis=1)[:, :k]
-                score[q], found[q] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
-        out = pd.DataFrame({"query_id": np.repeat(ids, k), "vec_id": found.ravel(), "score": score.ravel()})
-        yield out[np.isfinite(out.score)]
+def _scorer(k: int, itself: bool):
+    """For cogrouped points and queries of one list: the k best of each query."""
+
+    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        best = Best(queries.query_id.to_numpy(np.int64), _stack(queries.embedding) if len(queries) else np.empty((0, 1)), k, itself)
+        if len(queries):
+            best.add(points.vec_id.to_numpy(np.int64), points.embedding)
+        return best.frame()
 
     return run
