@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -19,6 +20,8 @@ SOURCE_TYPES = ("web", "pdf", "database", "huggingface", "common_crawl", "upload
 SCHEMA = "id string, source string, source_type string, url string, title string, text string, language string, metadata map<string,string>, created_at timestamp"
 #: Tags whose text is no page text.
 DROPPED = frozenset(("script", "style", "nav", "footer", "header", "aside"))
+#: Pages that a parser holds as Python objects at a time.
+PAGES = 64
 
 
 def as_documents(df: DataFrame, source: str, kind: str, text: Column, title: Column, url: Column | None = None, language: Column | None = None, metadata: Column | None = None) -> DataFrame:
@@ -122,11 +125,14 @@ def page_text(html: str) -> tuple[str, str]:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Adds title and text to (url, html) rows, by a tolerant parser in Arrow batches."""
-
-    @F.pandas_udf("title string, text string")
-    def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([page_text(h) for h in html], columns=["title", "text"])
+    """Adds title and text to (url, html) rows, by a tolerant parser; of an Arrow batch, PAGES pages are Python objects at a time."""
+    kind = pa.struct([("title", pa.string()), ("text", pa.string())])
+
+    @F.arrow_udf("title string, text string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for html in batches:
+            for i in range(0, len(html), PAGES):
+                yield pa.array([dict(zip(("title", "text"), page_text(h.as_py()), strict=True)) for h in html.slice(i, PAGES)], kind)
 
     return pages.withColumn("_p", run("html")).withColumn("title", F.col("_p.title")).withColumn("text", F.col("_p.text")).drop("_p")
 
