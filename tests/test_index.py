@@ -93,3 +93,23 @@ def test_chunks_in_sql_inherit_metadata(spark, sample_text):
     again = spark.sql("SELECT doc_id, content FROM to_cut, LATERAL recursive_chunks(text, metadata, 200, 20)").collect()
     assert sorted(map(tuple, again)) == sorted((r.doc_id, r.content) for r in out)
     assert np.sum([len(r.content) for r in mine]) >= len(sample_text) * 0.9
+
+
+def test_index_rows_are_terms_of_blocks_and_repeated_ids_one_document(spark, tmp_path, monkeypatch):
+    rows = [(k, f"a b a w{k} Été x") for k in range(40)] + [(3, "a zz"), (3, "zz A q"), (50, None), (51, " \n"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    inverted.add(docs, f"{tmp_path}/one")
+    stored = spark.read.parquet(f"{tmp_path}/one/postings")
+    flat = sorted(tuple(r) for r in stored.selectExpr("term", "inline(docs)").collect())
+    want = Counter((w, k) for k, t in rows if k is not None for w in (t or "").lower().split())
+    longest = {k: max(len((t or "").split()) for i, t in rows if i == k) for k, _ in rows if k is not None}
+    assert flat == sorted((w, k, n, max(len(t.split()) for i, t in rows if i == k and w in t.lower().split())) for (w, k), n in want.items())
+    assert inverted.statistics(spark, f"{tmp_path}/one") == (40, sum(longest.values()) / 40)
+    once = docs.where("doc_id <> 3")
+    inverted.add(once, f"{tmp_path}/two")
+    assert spark.read.parquet(f"{tmp_path}/two/postings").count() == len({w for w, k in want if k != 3})  # not a row for each document
+    block = next(iter(once.select("doc_id", "text").toArrow().combine_chunks().to_batches()))
+    monkeypatch.setattr(inverted, "BLOCK", 60)
+    parts = list(inverted._blocks(block))
+    assert len(parts) > 10 and [i for p in parts for i in p.column(0).to_pylist()] == block.column(0).to_pylist()
+    assert sum(len(d) for p in parts for t, d in zip(*(c.to_pylist() for c in inverted._counted(*p.columns)), strict=True) if t) == sum(len(set(t.split())) for _, t in rows[:40]) - 5
