@@ -174,3 +174,17 @@ def test_vector_index_search_sends_no_vectors_to_the_driver(spark, tmp_path, mon
     want = vectors.knn(points.where("vec_id % 10 = 0"), points)
     key = lambda df: sorted((r.query_id, r["rank"], r.vec_id) for r in df.collect())
     assert key(found) == key(want)
+
+
+def test_distinct_words_of_a_block_are_cut_once(spark, monkeypatch):
+    """Words are counted where the texts are, and no row is made for a word or trigram of running text."""
+    docs = spark.createDataFrame([(k, f"the cat and the dog {k % 3}" * 3, ("en", "de")[k % 2]) for k in range(60)], "doc_id long, text string, lang string").coalesce(1)
+    model = language_model.fit(docs)
+    found = language_model.detect(docs, model)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    whole = sorted(map(tuple, found.collect()))
+    batch = docs.selectExpr("lang", "text").toArrow().combine_chunks().to_batches()[0]
+    rows = [r for b in language_model._word_counts(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(rows) == len({r[:2] for r in rows}) and sum(r[2] for r in rows) == sum(len(t.split()) for t in batch.column(1).to_pylist())
+    monkeypatch.setattr(language_model, "WORDS", 2)
+    assert sorted(map(tuple, language_model.detect(docs, model).collect())) == whole

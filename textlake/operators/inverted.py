@@ -45,12 +45,17 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def _counted(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.ListArray]:
-    """Terms of a block and their documents; first a term of null with all documents that have words."""
+def _coded(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of texts, as those of text.words() each, and the text that each is of."""
     split = pc.split_pattern_regex(texts, f"[{T.BLANKS}]+")
     row, word = pc.list_parent_indices(split), pc.list_flatten(split)
     held = pc.not_equal(word, "")
-    row, coded = row.filter(held).to_numpy().astype(np.int64), word.filter(held).dictionary_encode()
+    return row.filter(held).to_numpy().astype(np.int64), word.filter(held).dictionary_encode()
+
+
+def _counted(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.ListArray]:
+    """Terms of a block and their documents; first a term of null with all documents that have words."""
+    row, coded = _coded(texts)
     found, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(texts) + row, return_counts=True)
     n_words = np.bincount(row, minlength=len(texts))
     some = np.flatnonzero(n_words)
