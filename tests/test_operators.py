@@ -1,8 +1,10 @@
 """Chunking, dedup, search, ranking, storage, jobs, datasets, retrieval and crawl operators on small cases."""
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -253,3 +255,14 @@ def test_job_events(spark):
     assert {r.job_id: r.progress for r in log.collect()} == {"a": 50, "b": 100}
     with pytest.raises(ValueError):
         jobs.event(spark, "a", "odd")
+
+
+def test_signing_holds_one_text_of_a_batch_at_a_time(spark, monkeypatch):
+    """Texts of an Arrow batch are not all Python objects at once, and long words are not remembered."""
+    words = dedup._WordHashes()
+    monkeypatch.setattr(words, "MOST", 3, raising=False)
+    assert [words[w] for w in ("a", "b", "c", "d", "x" * 65)] == [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in ("a", "b", "c", "d", "x" * 65)]
+    assert set(words) == {"d"}
+    column = pa.array(["one", None, "two"])
+    each = dedup._each(column)
+    assert iter(each) is each and list(each) == column.to_pylist()

@@ -76,12 +76,16 @@ def char_shingles(text: str, k: int = 5) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """word -> the first digits of its MD5; words met lately are remembered."""
+    """word -> the first digits of its MD5; words met lately are remembered, unless they are long."""
+
+    MOST, LONGEST = 100_000, 64
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
+        out = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -101,6 +105,11 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _each(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow batch, one of which is a Python object at a time."""
+    return (t.as_py() for t in texts)
+
+
 def _shingler(kind: str):
     return _grams if kind == "char" else word_shingles  # repeats change no minimum
 
@@ -111,9 +120,11 @@ def signatures(docs: DataFrame, kind: str = "char") -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values = np.concatenate([np.empty(0, np.int64), *(minhash(shingle(t)).astype(np.int64) for t in part.column(1).to_pylist())])
+            values = np.concatenate([np.empty(0, np.int64), *(minhash(shingle(t)).astype(np.int64) for t in _each(part.column(1)))])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, NUM_PERM, dtype=np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "signature"])
+            out = pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "signature"])
+            del part  # before the next one comes
+            yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, signature array<long>")
 
@@ -125,14 +136,16 @@ def banded(docs: DataFrame, kind: str = "char") -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             same, keys = [], []
-            for text in part.column(1).to_pylist():
+            for text in _each(part.column(1)):
                 signature = minhash(shingle(text))
                 same.append(hashlib.blake2b(signature.tobytes(), digest_size=16).digest())
                 for band in range(BANDS):
                     of = signature[band * ROWS : (band + 1) * ROWS].tobytes()
                     keys.append(int.from_bytes(hashlib.blake2b(of, digest_size=8, salt=bytes([band])).digest(), "little", signed=True))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), lists], ["doc_id", "same", "bands"])
+            out = pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), lists], ["doc_id", "same", "bands"])
+            del part  # before the next one comes
+            yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
 
