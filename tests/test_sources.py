@@ -4,6 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from textlake.functions import urls as U
 from textlake.sources import documents as S
 from textlake.sources import registry
 from textlake.streaming import ingest
@@ -88,3 +89,17 @@ def test_articles_and_robots(spark):
     files = spark.createDataFrame([("e.org", 200, "User-agent: *\nDisallow: /a\nAllow: /a/b"), ("f.org", 500, "User-agent: *\nDisallow: /")], "origin string, status int, body string")
     pages = spark.createDataFrame([(1, "https://e.org/a/x"), (2, "https://e.org/a/b"), (3, "https://f.org/"), (4, "https://e.org")], "page_id int, url string")
     assert {r.page_id: r.allowed for r in robots.allowed(pages, robots.parse_rules(files)).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_patterns_are_sought_once_and_only_where_a_page_can_hold_them(spark):
+    rows = [
+        (0, None), (1, ""), (2, "<p>no such thing</p>"), (3, '<META Property="Article:Published_Time" x=1 CONTENT="2024-05-06">'), (4, '<meta content="a > b" name="keywords"><a REL="TAG" href=x> c </a>'),
+        (5, '<TIME datetime="2024-05-07 01:02:03">'), (6, '<script TYPE="Application/LD+JSON">{"datePublished": "2024-05-08", "keywords": ["z", "y"], "author": "A"}</script>'), (7, '<meta name="date" content="soon"><meta name="date" content="2024-05-09">'),
+    ]
+    df = spark.createDataFrame(rows, "id int, html string")
+    html = F.col("html")
+    found = df.select("id", F.date_format(U.published_at(html), "yyyy-MM-dd").alias("d"), U.tags(html).alias("t"), U.author(html).alias("a")).orderBy("id").collect()
+    assert [r.d for r in found] == [None, None, None, "2024-05-06", None, "2024-05-07", "2024-05-08", None]
+    assert [r.t for r in found] == [None, [], [], [], ["a > b", "c"], [], ["y", "z"], []] and [r.a for r in found] == [None] * 6 + ["A", None]
+    plan = df.select(U.published_at(html))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('"pubdate"[^>]*content=') <= 4  # not once a form of dates

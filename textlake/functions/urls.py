@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+
 
 def authority(c: Column) -> Column:
     return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -81,11 +83,16 @@ def images(html: Column, page: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: absolute(page, x)))
 
 
+def _holds(html: Column, part: str) -> Column:
+    """Whether a page holds a piece of text, in either case: a quick test before a pattern that can't match without it."""
+    return F.contains(F.lower(html), F.lit(part.lower()))
+
+
 def meta(html: Column, name: str) -> Column:
     """content of the meta element with that name or property, null if none."""
     a = F.regexp_extract(html, rf'(?is)<meta[^>]*(?:name|property)="{name}"[^>]*content="([^"]*)"', 1)
     b = F.regexp_extract(html, rf'(?is)<meta[^>]*content="([^"]*)"[^>]*(?:name|property)="{name}"', 1)
-    return F.nullif(F.when(a != "", a).otherwise(b), F.lit(""))
+    return F.when(_holds(html, f'="{name}"'), F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))))
 
 
 def canonical(html: Column) -> Column:
@@ -95,7 +102,7 @@ def canonical(html: Column) -> Column:
 
 def json_objects(html: Column) -> Column:
     """The JSON-LD objects of a page as variants: lists and @graph taken apart, bad JSON and bare values left out."""
-    bodies = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
+    bodies = F.when(_holds(html, "application/ld+json"), F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)).when(html.isNotNull(), F.array().cast("array<string>"))
     none = F.array().cast("array<variant>")
     kind = lambda v: F.schema_of_variant(v)
     listed = lambda v: F.when(kind(v).startswith("ARRAY"), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)).otherwise(F.array(v))
@@ -139,9 +146,10 @@ def published_at(html: Column, names: tuple[str, ...] = DATE_NAMES) -> Column:
     """From JSON-LD, meta elements of those names, then time elements; the first that can be parsed."""
     raw = [_first(html, lambda v: _text(v, "$.datePublished"))]
     raw += [meta(html, n) for n in names]
-    raw.append(F.nullif(F.regexp_extract(html, r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit("")))
+    raw.append(F.when(_holds(html, "<time"), F.nullif(F.regexp_extract(html, r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit(""))))
     forms = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
-    return F.coalesce(*(x for r in raw for x in (*(F.try_to_timestamp(r, F.lit(f)) for f in forms), rfc_date(r))))
+    parsed = lambda r: F.coalesce(*(F.try_to_timestamp(r, F.lit(f)) for f in forms), rfc_date(r))
+    return F.coalesce(*(T.let(r, parsed) for r in raw))  # each is looked for once, not once a form
 
 
 def tags(html: Column) -> Column:
@@ -149,6 +157,7 @@ def tags(html: Column) -> Column:
     empty = F.array().cast("array<string>")
     split = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     of_meta = F.coalesce(split(meta(html, "keywords")), empty)
-    of_links = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*rel="tag"[^>]*>(.*?)</a>'), 1), lambda x: F.trim(x))
+    links = F.when(_holds(html, 'rel="tag"'), F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*rel="tag"[^>]*>(.*?)</a>'), 1)).when(html.isNotNull(), empty)
+    of_links = F.transform(links, lambda x: F.trim(x))
     of_json = F.flatten(F.transform(json_objects(html), lambda v: F.coalesce(F.try_variant_get(v, "$.keywords", "array<string>"), split(_text(v, "$.keywords")), empty)))
     return F.array_sort(F.array_distinct(F.concat(of_meta, of_links, of_json)))
