@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textlake.operators import dedup
+from textlake.operators import dedup, near_index
 from textlake.operators.near_index import NearIndex
 from textlake.streaming import ingest
 
@@ -90,3 +90,11 @@ def test_code_pages(spark):
     for r in out:
         assert r.same == (r.text if r.text != "Ã©tude" else "étude")
         assert r.back == r.same
+
+
+def test_a_batch_that_lies_in_one_file_is_signed_by_all_tasks(spark, tmp_path, monkeypatch):
+    docs, dealt, old = spark.createDataFrame(corpus(), "doc_id long, text string").coalesce(1), [], near_index.banded
+    monkeypatch.setattr(near_index, "banded", lambda texts, kind: (dealt.append(texts.rdd.getNumPartitions()), old(texts, kind))[1])
+    marks = NearIndex(spark, f"file://{tmp_path}/bands").add(docs, 0)
+    assert sorted(map(tuple, marks.collect())) == sorted(map(tuple, dedup.greedy_marks(docs).collect()))
+    assert dealt == [spark.sparkContext.defaultParallelism] and dealt[0] > 1

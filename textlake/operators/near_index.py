@@ -45,7 +45,10 @@ class NearIndex:
 
     def add(self, docs: DataFrame, number: int, kind: str = "char", min_chars: int = MIN_CHARS, finish: int = FINISH) -> DataFrame:
         """doc_id and is_duplicate of every row of a batch, whose kept documents are stored under its number."""
-        signed = materialise(banded(docs.where(F.length("text") >= min_chars), kind), "signed")
+        texts = docs.where(F.length("text") >= min_chars).select("doc_id", "text")
+        # a batch by doc_id often lies in few files, whose tasks would sign it alone
+        spread = texts.repartition(max(self.spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()))
+        signed = materialise(banded(spread, kind), "signed")
         rows = signed.select("doc_id", F.explode("bands").alias("band")).withColumn("bucket", F.pmod("band", F.lit(BUCKETS)).cast("int"))
         seen = self.colliding(rows, number)
         gone = None if seen is None else materialise(seen, "seen")
